@@ -23,7 +23,11 @@ def unit(seed: int, *columns: Column) -> Column:
 
 def gaussian(seed: int, *columns: Column) -> Column:
     """Standard normal noise by the Box-Muller transform of two hashes."""
-    u, v = unit(2 * seed + 1, *columns), unit(2 * seed + 2, *columns)
+    bits = F.lit(2**52)
+    u, v = (
+        (F.pmod(F.xxhash64(F.lit(k), *columns), bits).cast("double") + 0.5) / float(2**52)
+        for k in (2 * seed + 1, 2 * seed + 2)
+    )
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * F.pi() * v)
 
 

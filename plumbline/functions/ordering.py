@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import key_number, quoted
+from .stages import settle
 
 _MAX_RANGES = 20_000
 COUNT, RANGE = "_count", "_range"
@@ -126,8 +127,11 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     return quantiles_of(place(value_counts(df, value, by), value, by), value, probs, by)
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles of many double columns in one job: ``(column, n, q0, …)``."""
+def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct non-null values of many double columns: ``(column, value, _range, _count)``.
+
+    Each column is cut at its own boundaries; all columns share one shuffle.
+    """
     columns = list(columns)
     cuts = boundaries(df, columns)
     ranged, parts = df.select(*_cols(columns)), []
@@ -135,51 +139,71 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         ranged = with_range(ranged, c, cuts[c], f"_r{i}")
         parts.append(f"'{c}', {quoted(c)}, _r{i}")
     longform = ranged.selectExpr(f"stack({len(columns)}, {', '.join(parts)}) as (column, value, {RANGE})")
-    counts = (
-        longform.where("value is not null")
-        .groupBy("column", "value", RANGE)
-        .agg(F.count(F.lit(1)).alias(COUNT))
+    return longform.where("value is not null").groupBy("column", "value", RANGE).agg(F.count(F.lit(1)).alias(COUNT))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of many double columns in one job: ``(column, n, q0, …)``."""
+    return quantiles_of(place(column_counts(df, columns), "value", ["column"]), "value", probs, ["column"])
+
+
+def column_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, ties, total, avg_rank)`` per distinct value of each column, written once."""
+    placed = place(column_counts(df, columns), "value", ["column"])
+    return settle(
+        placed.select("column", "value", "ties", "total", (F.col("less") + (F.col("ties") + 1) / 2.0).alias("avg_rank"))
     )
-    return quantiles_of(place(counts, "value", ["column"]), "value", probs, ["column"])
 
 
-def ordinal_position(df: DataFrame, value: str, key: str, by: Sequence[str] = (), out: str = "position") -> DataFrame:
-    """1-based position by ``(value, key)``, without a global sort.
+def ordinal_positions(df: DataFrame, values: Sequence[str], key: str) -> DataFrame:
+    """``(column, key, position, n_positions)``: 1-based position of each row by ``(value, key)``.
 
-    A heavily repeated value is cut into cells by ranges of the key; a cell starts
-    after the smaller values and after the earlier cells of its own value.
+    All value columns are ordered in one job, without a global sort. A heavily repeated
+    value is cut into cells by ranges of the key; a cell starts after the smaller values
+    and after the earlier cells of its own value.
     """
-    df = df.withColumn("_keynum", key_number(df, key))
-    cuts = boundaries(df, [value, "_keynum"])
-    cells = with_range(df, "_keynum", cuts["_keynum"], "_cell")
-    counts = with_range(
-        cells.groupBy(*_cols(by), F.col(quoted(value)), F.col("_cell")).agg(F.count(F.lit(1)).alias(COUNT)),
-        value,
-        cuts[value],
-    )
-    placed = place(counts, value, by)
-    earlier = (
-        Window.partitionBy(*_cols(by), F.col(RANGE), F.col(quoted(value)))
-        .orderBy("_cell")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    numbered = df.withColumn("_keynum", key_number(df, key))
+    cuts = boundaries(numbered, [*values, "_keynum"])
+    parts = []
+    for i, v in enumerate(values):
+        numbered = with_range(numbered, v, cuts[v], f"_r{i}")
+        parts.append(f"'{v}', cast({quoted(v)} as double), _r{i}")
+    cells = with_range(numbered, "_keynum", cuts["_keynum"], "_cell").select(
+        F.col(quoted(key)).alias("key"), "_cell", F.expr(f"stack({len(values)}, {', '.join(parts)}) as (column, value, {RANGE})")
     )
+    at = ["column", "value", "_cell"]
+    placed = place(cells.groupBy(*at, RANGE).agg(F.count(F.lit(1)).alias(COUNT)), "value", ["column"])
+    earlier = Window.partitionBy("column", RANGE, "value").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.select(
-        *_cols(by),
-        F.col(quoted(value)),
-        F.col("_cell"),
-        F.col("total"),
+        *at, F.col("total").alias("n_positions"),
         (F.col("less") + F.coalesce(F.sum(COUNT).over(earlier), F.lit(0))).alias("_start"),
     )
-    keys = [*by, value, "_cell"]
-    within = Window.partitionBy(*_cols(keys)).orderBy(quoted(key))
-    numbered = cells.withColumn("_rn", F.row_number().over(within))
-    left, right = numbered.alias("l"), starts.alias("s")
-    on = F.lit(True)
-    for name in keys:
-        on = on & F.col(f"l.{quoted(name)}").eqNullSafe(F.col(f"s.{quoted(name)}"))
-    kept = [c for c in df.columns if c != "_keynum"]
-    return left.join(right, on).select(
-        *[F.col(f"l.{quoted(c)}") for c in kept],
-        (F.col("_start") + F.col("_rn")).cast("long").alias(out),
-        F.col("total").cast("long").alias("n_positions"),
+    within = Window.partitionBy(*at).orderBy("key")
+    return (
+        cells.withColumn("_rn", F.row_number().over(within))
+        .join(starts, at)
+        .select("column", "key", (F.col("_start") + F.col("_rn")).cast("long").alias("position"),
+                F.col("n_positions").cast("long").alias("n_positions"))
+    )
+
+
+def cumulate(counts: DataFrame, value: str, measures: Sequence[str]) -> DataFrame:
+    """Running sums of several measures in value order (one row per distinct value, ``_range`` given).
+
+    Adds ``upto_<m>`` and ``all_<m>`` for each measure.
+    """
+    inside = Window.partitionBy(RANGE).orderBy(quoted(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(F.lit(0))
+    before = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy(RANGE).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    offsets = sizes.select(
+        F.col(RANGE).alias("_r"),
+        *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_s_{m}").over(whole).alias(f"all_{m}") for m in measures],
+    )
+    local = counts.withColumns({f"_u_{m}": F.sum(m).over(inside) for m in measures})
+    return local.join(offsets, F.col(RANGE) == F.col("_r")).select(
+        *[F.col(quoted(c)) for c in counts.columns],
+        *[(F.col(f"_u_{m}") + F.col(f"_o_{m}")).alias(f"upto_{m}") for m in measures],
+        *[F.col(f"all_{m}") for m in measures],
     )

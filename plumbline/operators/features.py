@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import finite, moment, numeric, quoted, require
 from ..functions.guard import check_expression
+from ..functions.joins import lookup
 from ..functions.ordering import quantiles
 
 BINARY_OPS = ("add", "subtract", "multiply", "divide", "ratio")
@@ -151,20 +152,19 @@ def group_aggregate(
     x = F.col(quoted(value)) if agg == "count" else numeric(df, value)
     out = name or f"{value}_{agg}_by_{group_by}"
     present = df.where(g.isNotNull())
-    stats: list[Column] = []
+    stats: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     if agg != "median":
         stat = _group_stat(x, agg).cast("double")
-        if agg == "sum":
-            stat = F.coalesce(stat, F.lit(0.0))
-        stats.append(stat.alias("_stat"))
+        stats.append((F.coalesce(stat, F.lit(0.0)) if agg == "sum" else stat).alias("_stat"))
     if add_deviation:
         stats.append(F.avg(numeric(df, value)).alias("_mean"))
-    table = present.groupBy(g.alias("_g")).agg(*stats) if stats else None
+    table = present.groupBy(g.alias("_g")).agg(*stats)
     if agg == "median":
         clean = present.select(g.alias("_g"), numeric(df, value).alias("_x"))
         med = quantiles(clean, "_x", [0.5], ["_g"]).select("_g", F.col("q0").alias("_stat"))
-        table = med if table is None else table.join(med, "_g", "left")
-    joined = df.join(table, g == F.col("_g"), "left")
+        table = table.join(med, "_g", "left")
+    outs = {"_stat": "_stat", **({"_mean": "_mean"} if add_deviation else {})}
+    joined = lookup(df, group_by, table, "_g", "_rows", outs)
     added = {out: finite(F.col("_stat"))}
     if add_deviation:
         added[f"{value}_dev_from_{group_by}"] = finite(numeric(df, value) - F.col("_mean"))
