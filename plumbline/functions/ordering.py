@@ -155,36 +155,56 @@ def column_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _number(cells: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
+    """Add ``position`` (1-based, by value then key) and ``n_positions`` to rows with ``_range`` and ``_cell``.
+
+    A heavily repeated value is cut into cells by ranges of the key; a cell starts after
+    the smaller values and after the earlier cells of its own value.
+    """
+    at = [*by, value, "_cell"]
+    counts = cells.groupBy(*_cols(at), RANGE).agg(F.count(F.lit(1)).alias(COUNT))
+    earlier = (
+        Window.partitionBy(*_cols(by), RANGE, quoted(value))
+        .orderBy("_cell")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = place(counts, value, by).select(
+        *[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(at)],
+        F.col("total").cast("long").alias("n_positions"),
+        (F.col("less") + F.coalesce(F.sum(COUNT).over(earlier), F.lit(0))).alias("_start"),
+    )
+    numbered = cells.withColumn("_rn", F.row_number().over(Window.partitionBy(*_cols(at)).orderBy(quoted(key))))
+    on = F.lit(True)
+    for i, c in enumerate(at):
+        on = on & F.col(quoted(c)).eqNullSafe(F.col(f"_k{i}"))
+    joined = numbered.join(starts, on)
+    kept = [c for c in cells.columns if c not in (RANGE, "_cell")]
+    return joined.select(*_cols(kept), (F.col("_start") + F.col("_rn")).cast("long").alias("position"), "n_positions")
+
+
 def ordinal_positions(df: DataFrame, values: Sequence[str], key: str) -> DataFrame:
-    """``(column, key, position, n_positions)``: 1-based position of each row by ``(value, key)``.
+    """``(key, column, value, position, n_positions)``: each row's place in the order of each value column.
 
-    All value columns are ordered in one job, without a global sort. A heavily repeated
-    value is cut into cells by ranges of the key; a cell starts after the smaller values
-    and after the earlier cells of its own value.
+    All value columns are ordered in one job, without a global sort; ties go by key.
     """
-    numbered = df.withColumn("_keynum", key_number(df, key))
-    cuts = boundaries(numbered, [*values, "_keynum"])
+    ranged = df.withColumn("_keynum", key_number(df, key))
+    cuts = boundaries(ranged, [*values, "_keynum"])
     parts = []
     for i, v in enumerate(values):
-        numbered = with_range(numbered, v, cuts[v], f"_r{i}")
+        ranged = with_range(ranged, v, cuts[v], f"_r{i}")
         parts.append(f"'{v}', cast({quoted(v)} as double), _r{i}")
-    cells = with_range(numbered, "_keynum", cuts["_keynum"], "_cell").select(
+    cells = with_range(ranged, "_keynum", cuts["_keynum"], "_cell").select(
         F.col(quoted(key)).alias("key"), "_cell", F.expr(f"stack({len(values)}, {', '.join(parts)}) as (column, value, {RANGE})")
     )
-    at = ["column", "value", "_cell"]
-    placed = place(cells.groupBy(*at, RANGE).agg(F.count(F.lit(1)).alias(COUNT)), "value", ["column"])
-    earlier = Window.partitionBy("column", RANGE, "value").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.select(
-        *at, F.col("total").alias("n_positions"),
-        (F.col("less") + F.coalesce(F.sum(COUNT).over(earlier), F.lit(0))).alias("_start"),
-    )
-    within = Window.partitionBy(*at).orderBy("key")
-    return (
-        cells.withColumn("_rn", F.row_number().over(within))
-        .join(starts, at)
-        .select("column", "key", (F.col("_start") + F.col("_rn")).cast("long").alias("position"),
-                F.col("n_positions").cast("long").alias("n_positions"))
-    )
+    return _number(cells, ["column"], "value", "key")
+
+
+def series_positions(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
+    """All columns plus ``position`` and ``n_positions`` within each ``by`` group, by (value, key)."""
+    ranged = df.withColumn("_keynum", key_number(df, key))
+    cuts = boundaries(ranged, [value, "_keynum"])
+    cells = with_range(with_range(ranged, "_keynum", cuts["_keynum"], "_cell"), value, cuts[value]).drop("_keynum")
+    return _number(cells, by, value, key)
 
 
 def cumulate(counts: DataFrame, value: str, measures: Sequence[str]) -> DataFrame:

@@ -132,11 +132,11 @@ def perm_importance(spark, sf_dir):
 
 
 def shapley_rows(spark, sf_dir):
-    """Contributions for every high-value line of the largest orders."""
-    model = _line_model(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1")
-    keyed = lines.withColumn("line", F.concat_ws("-", *_KEYS))
-    return interpret.shapley(model, keyed, "line", background=5, orderings=2)
+    """Contributions to every customer's predicted balance."""
+    df = table(spark, sf_dir, "customer")
+    roles = prep.Roles(("c_nationkey",), ("c_mktsegment",))
+    model = learn.train(df, "c_acctbal", "regression", roles, ["c_custkey"], rounds=5, depth=3)
+    return interpret.shapley(model, df, "c_custkey", background=10, orderings=2)
 
 
 def metric_tree(spark, sf_dir):
