@@ -184,7 +184,7 @@ def anova(groups: DataFrame) -> DataFrame:
     return sums.select(
         "k",
         "n",
-        F.try_divide(ssb / (k - 1), within).alias("f"),
+        F.try_divide(F.try_divide(ssb, k - 1), within).alias("f"),
         F.coalesce(F.try_divide(ssb, ssb + ssw), F.lit(0.0)).alias("eta_squared"),
         F.coalesce(F.greatest(F.lit(0.0), omega), F.lit(0.0)).alias("omega_squared"),
     )
@@ -197,8 +197,10 @@ def welch(groups: DataFrame) -> DataFrame:
     pair = groups.agg(first.alias("a"), second.alias("b"))
     va, vb = F.col("a.var") / F.col("a.n"), F.col("b.var") / F.col("b.n")
     return pair.select(
-        ((F.col("a.mean") - F.col("b.mean")) / F.sqrt(va + vb)).alias("t"),
-        ((va + vb) * (va + vb) / (va * va / (F.col("a.n") - 1) + vb * vb / (F.col("b.n") - 1))).alias("df"),
+        F.try_divide(F.col("a.mean") - F.col("b.mean"), F.sqrt(va + vb)).alias("t"),
+        F.try_divide(
+            (va + vb) * (va + vb), F.try_divide(va * va, F.col("a.n") - 1) + F.try_divide(vb * vb, F.col("b.n") - 1)
+        ).alias("df"),
     )
 
 
@@ -229,8 +231,8 @@ def kruskal(ranked: DataFrame) -> DataFrame:
         F.sum("tie_part").alias("tie_term"),
     )
     n = F.col("n").cast("double")
-    h = 12.0 * F.col("ss") / (n * (n + 1)) / (1 - F.col("tie_term") / (n * n * n - n))
-    return sums.select("k", "n", h.alias("h"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), h / (n - 1))).alias(
+    h = F.try_divide(12.0 * F.col("ss") / (n * (n + 1)), 1 - F.try_divide(F.col("tie_term"), n * n * n - n))
+    return sums.select("k", "n", h.alias("h"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(h, n - 1))).alias(
         "epsilon_squared"), "tie_term")
 
 
@@ -432,7 +434,7 @@ def two_samples(df: DataFrame) -> DataFrame:
         F.max("all_c2").alias("n2"),
         F.sum(F.col("c1") * centred).alias("s"),
         F.sum(t * t * t - t).alias("tie_term"),
-        F.max(F.abs(F.col("upto_c1") / n1 - F.col("upto_c2") / n2)).alias("d"),
+        F.max(F.abs(F.try_divide(F.col("upto_c1"), n1) - F.try_divide(F.col("upto_c2"), n2))).alias("d"),
     )
     n1, n2 = F.col("n1"), F.col("n2")
     u = F.col("s") + n1 * (n1 + n2 + 1) / 2 - n1 * (n1 + 1) / 2
@@ -465,7 +467,7 @@ def association_matrix(df: DataFrame, continuous: Sequence[str], categorical: Se
         F.count(F.lit(1)).alias("n"),
         *[F.count(quoted(c)).alias(f"n_{i}") for i, c in enumerate(order)],
         *[
-            F.when(F.max(quoted(c)) > F.min(quoted(c)),
+            F.when((F.max(quoted(c)) > F.min(quoted(c))) & (F.count(quoted(c)) > SHAPIRO_MAX_N),
                    normal_by_moments(F.count(quoted(c)), F.skewness(quoted(c)), F.kurtosis(quoted(c)))
                    ).otherwise(False).alias(f"normal_{i}")
             for i, c in enumerate(order) if c in continuous

@@ -229,7 +229,7 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.agg(
         n.alias("n"),
         F.avg(F.abs(y - p)).alias("mae"),
-        F.sqrt(sse / n).alias("rmse"),
+        F.sqrt(F.try_divide(sse, n)).alias("rmse"),
         (1 - F.try_divide(sse, F.var_pop(y) * n)).alias("r2"),
     )
 

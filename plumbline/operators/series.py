@@ -183,11 +183,11 @@ def _rows_ahead(last, last_w, last_e, phi, theta, sigma2, m, horizon) -> pd.Data
 
 
 def _short_series(horizon: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("pos")["v"].to_numpy()
         w = np.diff(y)
         phi, theta, sigma2, e = arima.fit_one_block(w)
-        return _rows_ahead(y[-1], w[-1], e, phi, theta, sigma2, len(w), horizon)
+        return _rows_ahead(y[-1], w[-1], e, phi, theta, sigma2, len(w), horizon).assign(series=key[0])
 
     return run
 
@@ -201,8 +201,7 @@ def forecast(points: DataFrame, horizon: int = 10, block: int = BLOCK) -> DataFr
     usable = points.where((F.col("n") >= MIN_FORECAST) & (F.col("n") >= 2 * infer_period(F.col("n"))))
     usable = settle(usable)
     short = usable.where(F.col("n") <= block).groupBy("series").applyInPandas(
-        lambda key, pdf: _short_series(horizon)(pdf).assign(series=key[0]),
-        f"series {_series_type(points)}, {_FORECAST_SCHEMA}",
+        _short_series(horizon), f"series {_series_type(points)}, {_FORECAST_SCHEMA}"
     )
     long_points = usable.where(F.col("n") > block)
     if long_points.isEmpty():
@@ -214,57 +213,74 @@ def _series_type(points: DataFrame) -> str:
     return points.schema["series"].dataType.simpleString()
 
 
+def _grid(pdf: pd.DataFrame, width: float | None) -> np.ndarray:
+    if width is None:
+        return arima.first_grid()
+    return arima.zoom(np.array([pdf["phi"].iloc[0], pdf["theta"].iloc[0]]), width)
+
+
+def _summarize_block(width: float | None, block: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        y, pos = pdf["v"].to_numpy(), pdf["pos"].to_numpy()
+        w = np.diff(y)
+        own = pos[1:] >= key[1] * block
+        before = w[~own][-1] if (~own).any() else 0.0
+        sums = arima.summarize(w[own], before, int(pos[1:][own][0]) - 1, _grid(pdf, width))
+        return pd.DataFrame({
+            "series": [key[0]], "block": [key[1]], "n_w": [int(own.sum())], "last_v": [y[-1]],
+            "last_w": [w[-1]], "sums": [sums.ravel().tolist()],
+        })
+
+    return run
+
+
+def _choose(width: float | None):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        grid = _grid(pdf, width)
+        total, logs, e = arima.fold([np.array(s).reshape(-1, 6) for s in pdf["sums"]])
+        m = int(pdf["n_w"].sum())
+        best = arima.pick(total, logs, m)
+        return pd.DataFrame({
+            "series": [key[0]], "phi": [grid[best, 0]], "theta": [grid[best, 1]], "sigma2": [total[best] / m],
+            "last_e": [e[best]], "last_v": [pdf["last_v"].iloc[-1]], "last_w": [pdf["last_w"].iloc[-1]], "m": [m],
+        })
+
+    return run
+
+
+def _ahead(horizon: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        made = _rows_ahead(
+            r["last_v"], r["last_w"], r["last_e"], r["phi"], r["theta"], r["sigma2"], int(r["m"]), horizon)
+        return made.assign(series=key[0])
+
+    return run
+
+
 def _long_forecast(points: DataFrame, horizon: int, block: int) -> DataFrame:
     kind = _series_type(points)
     blocks = settle(with_overlap(points, 2, 0, block))
-    center: DataFrame | None = None
-    state_schema = (
-        f"series {kind}, phi double, theta double, sigma2 double, last_e double, last_v double, last_w double, m long"
-    )
+    best: DataFrame | None = None
     for width in [None, *arima.widths()]:
-
-        def summary(key, pdf: pd.DataFrame, width=width) -> pd.DataFrame:
-            pdf = pdf.sort_values("pos")
-            y, pos = pdf["v"].to_numpy(), pdf["pos"].to_numpy()
-            home = pos >= key[1] * block
-            w = np.diff(y)
-            use = home[1:]
-            before = w[~use][-1] if (~use).any() else 0.0
-            grid = arima.first_grid() if width is None else arima.zoom(
-                np.array([pdf["phi"].iloc[0], pdf["theta"].iloc[0]]), width)
-            sums = arima.summarize(w[use], before, int(pos[1:][use][0]) - 1, grid)
-            return pd.DataFrame({
-                "series": [key[0]], "block": [key[1]], "n_w": [int(use.sum())], "last_v": [y[-1]], "last_w": [w[-1]],
-                "sums": [sums.ravel().tolist()],
-            })
-
-        def choose(key, pdf: pd.DataFrame, width=width) -> pd.DataFrame:
-            pdf = pdf.sort_values("block")
-            grid = arima.first_grid() if width is None else arima.zoom(
-                np.array([pdf["phi"].iloc[0], pdf["theta"].iloc[0]]), width)
-            total, logs, e = arima.fold([np.array(s).reshape(-1, 6) for s in pdf["sums"]])
-            m = int(pdf["n_w"].sum())
-            best = arima.pick(total, logs, m)
-            last = pdf.iloc[-1]
-            return pd.DataFrame({
-                "series": [key[0]], "phi": [grid[best, 0]], "theta": [grid[best, 1]], "sigma2": [total[best] / m],
-                "last_e": [e[best]], "last_v": [last["last_v"]], "last_w": [last["last_w"]], "m": [m],
-            })
-
-        known = blocks if center is None else lookup(
-            blocks, "series", center, "series", "m", {"phi": "phi", "theta": "theta"})
+        known = blocks
+        if best is not None:
+            known = lookup(blocks, "series", best, "series", "m", {"phi": "phi", "theta": "theta"})
         sums = known.groupBy("series", "block").applyInPandas(
-            summary, f"series {kind}, block long, n_w long, last_v double, last_w double, sums array<double>")
-        if center is not None:
-            sums = sums.join(center.select("series", "phi", "theta"), "series")
-        center = settle(sums.groupBy("series").applyInPandas(choose, state_schema))
-
-    def ahead(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        return _rows_ahead(r["last_v"], r["last_w"], r["last_e"], r["phi"], r["theta"], r["sigma2"], int(r["m"]),
-                           horizon).assign(series=key[0])
-
-    return center.groupBy("series").applyInPandas(ahead, f"series {kind}, {_FORECAST_SCHEMA}")
+            _summarize_block(width, block),
+            f"series {kind}, block long, n_w long, last_v double, last_w double, sums array<double>",
+        )
+        if best is not None:
+            sums = sums.join(best.select("series", "phi", "theta"), "series")
+        best = settle(
+            sums.groupBy("series").applyInPandas(
+                _choose(width),
+                f"series {kind}, phi double, theta double, sigma2 double, last_e double, last_v double, last_w double, m long",
+            )
+        )
+    return best.groupBy("series").applyInPandas(_ahead(horizon), f"series {kind}, {_FORECAST_SCHEMA}")
 
 
 # --- change points ------------------------------------------------------------------------
@@ -278,7 +294,7 @@ def changepoints(points: DataFrame, penalty: float = 10.0) -> DataFrame:
     """
     kind = _series_type(points)
 
-    def segments(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         x, t = pdf["v"].to_numpy(), pdf["t"].to_numpy()
         edges = [0, *change_points(x, penalty), len(x)]
