@@ -17,6 +17,12 @@ def finite(column: Column) -> Column:
     return F.when(F.abs(column) < F.lit(float("inf")), column)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN and infinities missing, whatever its type."""
+    column = F.col(quoted(name))
+    return finite(column) if isinstance(field_type(df, name), _FLOATS) else column
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Apply the missing-value model to every floating-point column."""
     dirty = {

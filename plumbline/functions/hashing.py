@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from .clean import quoted
 
-HASH_BITS = 60
-
-
-def hash60(seed: int, *columns: Column) -> Column:
-    """First 60 bits of ``md5('seed:col:col…')``: the same integer in any SQL engine."""
+def hash_text(seed: int, *columns: Column) -> Column:
+    """First 15 hex digits of ``md5('seed:col:col…')``: the same in any SQL engine, and ordered like the number."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-def unit(seed: int, *columns: Column) -> Column:
-    """A number in (0, 1) that depends only on the seed and the row's values."""
-    return (hash60(seed, *columns).cast("double") + 0.5) / float(2**HASH_BITS)
+    return F.substring(F.md5(text), 1, 15)
 
 
 def gaussian(seed: int, *columns: Column) -> Column:

@@ -48,7 +48,8 @@ def with_range(df: DataFrame, column: str, cuts: Sequence[float], out: str = RAN
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     stage = Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep")
-    return stage.transform(df).withColumn(out, F.col(out).cast("int"))
+    # Never null, so that no null filter is pushed into one of two otherwise equal branches.
+    return stage.transform(df).withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
 def _cols(names: Iterable[str]) -> list[Column]:
@@ -63,9 +64,9 @@ def place(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     ``ties`` the equal ones, ``total`` the whole group.
     """
     by = list(by)
-    inside = Window.partitionBy(*_cols(by), F.col(RANGE))
-    ordered = inside.orderBy(quoted(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*_cols(by), F.col(RANGE), F.col(quoted(value)))
+    inside = Window.partitionBy(*_cols(by), F.col(RANGE)).orderBy(quoted(value))
+    ordered = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = inside.rangeBetween(Window.currentRow, Window.currentRow)  # one sort serves both
     sizes = counts.groupBy(*_cols(by), RANGE).agg(F.sum(COUNT).alias("_size"))
     stitch = Window.partitionBy(*_cols(by)) if by else Window.partitionBy(F.lit(0))
     running = stitch.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.clean import nan_to_null, numeric, quoted
+from ..functions.clean import numeric, present, quoted
 from ..functions.joins import lookup
 from ..functions.ordering import (
     COUNT, boundaries, column_ranks, cumulate, place, quantiles_of, value_counts, with_range,
@@ -116,7 +116,7 @@ def attach_ranks(df: DataFrame, columns: Sequence[str], ranks: DataFrame) -> Dat
     """Add ``_rank_<i>``, the average rank of each column's value."""
     for i, c in enumerate(columns):
         own = ranks.where(F.col("column") == c)
-        df = lookup(df, c, own, "value", "ties", {"avg_rank": f"_rank_{i}"}, F.col("total"))
+        df = lookup(df, c, own, "value", "ties", {"avg_rank": f"_rank_{i}"}, F.col("total"), settled=True)
     return df
 
 
@@ -153,7 +153,7 @@ def test_numbers(df: DataFrame, x: str, y: str) -> Test:
 
 
 def group_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.select(F.col(quoted(group)).alias("g"), numeric(df, value).alias("v")).dropna()
+    return df.select(present(df, group).alias("g"), numeric(df, value).alias("v")).dropna()
 
 
 def group_moments(pairs: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def test_groups(df: DataFrame, group: str, value: str) -> Test:
 
 
 def category_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.lit(0).alias("pair"), F.col(quoted(a)).alias("a"), F.col(quoted(b)).alias("b")).dropna()
+    return df.select(F.lit(0).alias("pair"), present(df, a).alias("a"), present(df, b).alias("b")).dropna()
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
@@ -460,9 +460,8 @@ def association_matrix(df: DataFrame, continuous: Sequence[str], categorical: Se
     with missing values (their ranks depend on the partner) and the rare pairs that need
     group medians or small-sample checks take the single-pair route.
     """
-    df = nan_to_null(df)
     order = [c for c in df.columns if c in continuous or c in categorical]
-    clean = df.select(*[(numeric(df, c) if c in continuous else F.col(quoted(c))).alias(c) for c in order])
+    clean = df.select(*[(numeric(df, c) if c in continuous else present(df, c)).alias(c) for c in order])
     shape = clean.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(quoted(c)).alias(f"n_{i}") for i, c in enumerate(order)],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import numeric, quoted
+from ..functions.clean import numeric, present, quoted
 from ..functions.ordering import column_quantiles, quantiles
 from .typing import distinct_values
 
@@ -21,7 +21,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     columns = list(columns or df.columns)
     wide = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
     )
     pairs = ", ".join(f"'{c}', n_rows, n_rows - n{i}" for i, c in enumerate(columns))
     tidy = wide.selectExpr(f"stack({len(columns)}, {pairs}) as (column, n_rows, n_missing)")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import finite, moment, numeric, quoted, require
+from ..functions.clean import finite, moment, numeric, present, quoted, require
 from ..functions.guard import check_expression
 from ..functions.joins import lookup
 from ..functions.ordering import quantiles
@@ -149,18 +149,18 @@ def group_aggregate(
     _one_of(agg, AGGREGATES, "aggregate")
     require(df, group_by, value)
     g = F.col(quoted(group_by))
-    x = F.col(quoted(value)) if agg == "count" else numeric(df, value)
+    x = present(df, value) if agg == "count" else numeric(df, value)
     out = name or f"{value}_{agg}_by_{group_by}"
-    present = df.where(g.isNotNull())
+    known = df.where(g.isNotNull())
     stats: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     if agg != "median":
         stat = _group_stat(x, agg).cast("double")
         stats.append((F.coalesce(stat, F.lit(0.0)) if agg == "sum" else stat).alias("_stat"))
     if add_deviation:
         stats.append(F.avg(numeric(df, value)).alias("_mean"))
-    table = present.groupBy(g.alias("_g")).agg(*stats)
+    table = known.groupBy(g.alias("_g")).agg(*stats)
     if agg == "median":
-        clean = present.select(g.alias("_g"), numeric(df, value).alias("_x"))
+        clean = known.select(g.alias("_g"), numeric(df, value).alias("_x"))
         med = quantiles(clean, "_x", [0.5], ["_g"]).select("_g", F.col("q0").alias("_stat"))
         table = table.join(med, "_g", "left")
     outs = {"_stat": "_stat", **({"_mean": "_mean"} if add_deviation else {})}

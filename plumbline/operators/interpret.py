@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric, quoted
-from ..functions.hashing import hash60
+from ..functions.hashing import hash_text
+from ..functions.stages import settle
 from .learn import LABEL, PREDICTION, ROW, TrainedModel, hold_out, label_index
 from .prep import FEATURES, Roles, learn, value_sql
 
@@ -96,7 +97,7 @@ def shapley(
     k = len(features)
     sample = (
         model.test.select(*[F.col(quoted(c)) for c in features], ROW)
-        .orderBy(hash60(7, F.col(ROW)), ROW)
+        .orderBy(hash_text(7, F.col(ROW)), ROW)
         .limit(background)
         .drop(ROW)
         .collect()
@@ -191,7 +192,7 @@ class MetricTree:
             leafCol="_leaf", maxBins=256,
         )
         encoded = Pipeline(stages=[shape, gather]).fit(rows).transform(rows)
-        self._data = encoded.select(FEATURES, LABEL, "in_test")
+        self._data = settle(encoded.select(FEATURES, LABEL, "in_test"))  # read by both fits and every score
         self.model = learner.fit(self._data)
         self.importances = dict(
             sorted(zip(self.features, map(float, self.model.featureImportances.toArray())), key=lambda kv: (-kv[1], kv[0]))

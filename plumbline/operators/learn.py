@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import NUMERIC, field_type, numeric, quoted
-from ..functions.hashing import HASH_BITS, hash60
+from ..functions.hashing import hash_text
 from ..functions.joins import lookup
 from ..functions.ordering import COUNT, place, with_range
 from ..functions.stages import settle
@@ -26,7 +26,7 @@ from .prep import FEATURES, Roles, learn, stages
 MIN_TRAIN_ROWS = 30
 TEST_SHARE = 0.25
 SEED = 0
-_SPLIT_RANGES = 16  # bits
+_SPLIT_DIGITS = 4  # leading hex digits: 65,536 ranges
 
 LABEL, PREDICTION, ROW = "_label", "_prediction", "_row"
 
@@ -42,27 +42,25 @@ def hold_out(df: DataFrame, keys: Sequence[str], by: str | None = None, seed: in
     Counts per hash range find the range that holds each class's cut; only that range's
     rows, a tiny slice, are sorted.
     """
-    rows = df.withColumn("_h", hash60(seed, *[F.col(quoted(k)) for k in keys]))
-    rows = rows.withColumn("_hr", F.shiftright("_h", HASH_BITS - _SPLIT_RANGES))
+    rows = df.withColumn("_h", hash_text(seed, *[F.col(quoted(k)) for k in keys]))
+    rows = rows.withColumn("_hr", F.substring("_h", 1, _SPLIT_DIGITS))
     rows = rows.withColumn("_class", F.col(quoted(by)).cast("string") if by else F.lit("all"))
     counts = rows.groupBy("_class", "_hr").agg(F.count(F.lit(1)).alias("_n"))
     per = Window.partitionBy("_class")
     upto = F.sum("_n").over(per.orderBy("_hr").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    want = F.ceil(F.sum("_n").over(per) * TEST_SHARE)
-    edge = (
-        counts.select("_class", "_hr", "_n", upto.alias("_upto"), want.alias("_want"), F.sum("_n").over(per).alias("_size"))
+    size = F.sum("_n").over(per)
+    edges = settle(
+        counts.select("_class", "_hr", "_n", upto.alias("_upto"), F.ceil(size * TEST_SHARE).alias("_want"), size.alias("_size"))
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-        .select("_class", F.col("_hr").alias("_er"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need"), "_size")
-    )
-    slim = rows.select("_class", "_hr", "_h")
-    near = slim.join(edge, (slim["_class"].eqNullSafe(edge["_class"])) & (slim["_hr"] == edge["_er"])).select(
-        slim["_class"], "_h", "_need", "_size"
+        .select(
+            F.col("_class").alias("_ec"), F.col("_hr").alias("_er"),
+            (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need"), "_size",
+        )
     )
+    same = F.col("_class").eqNullSafe(F.col("_ec")) & (F.col("_hr") == F.col("_er"))
+    near = rows.select("_class", "_hr", "_h").join(edges, same)
     nth = F.row_number().over(Window.partitionBy("_class").orderBy("_h"))
     cuts = near.withColumn("_nth", nth).where("_nth = _need").select("_class", F.col("_h").alias("_cut"), "_size")
-    if by is None:
-        cut = cuts.select("_cut").scalar()
-        return rows.withColumn("in_test", F.col("_h") <= cut).drop("_h", "_hr", "_class")
     marked = lookup(rows, "_class", cuts, "_class", "_size", {"_cut": "_cut"})
     return marked.withColumn("in_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).drop(
         "_h", "_hr", "_class", "_cut"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import NUMERIC, TEMPORAL, quoted
+from ..functions.clean import NUMERIC, TEMPORAL, present
 
 CONTINUOUS, CATEGORICAL = "continuous", "categorical"
 NOMINAL, ORDINAL = "categorical_nominal", "categorical_ordinal"
@@ -23,8 +23,9 @@ IDENTIFIER_RATIO = 0.9
 
 def values_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value)`` pairs with values as text, nulls kept."""
-    pairs = ", ".join(f"'{c}', cast({quoted(c)} as string)" for c in columns)
-    return df.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
+    clean = df.select(*[present(df, c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)])
+    pairs = ", ".join(f"'{c}', _{i}" for i, c in enumerate(columns))
+    return clean.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

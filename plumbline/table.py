@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import tails
-from .functions.clean import NUMERIC, field_type, micros, moment, quoted, require
+from .functions.clean import NUMERIC, field_type, micros, moment, present, quoted, require
 from .functions.hashing import fingerprint_text
 from .operators import associate, basket, causal, cluster, customers, describe, features, interpret, learn, prep
 from .operators import series as ts
@@ -60,7 +60,7 @@ class Table:
 
     def count_non_null(self, column: str) -> dict[str, int]:
         require(self.df, column)
-        row = self.df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(quoted(column)).alias("n_non_null")).first()
+        row = self.df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(present(self.df, column)).alias("n_non_null")).first()
         return {"n_non_null": row["n_non_null"], "n_rows": row["n_rows"], "n_null": row["n_rows"] - row["n_non_null"]}
 
     def replace(self, df: DataFrame, added: Iterable[str] = (), feature: bool = True) -> None:
