@@ -23,14 +23,6 @@ def present(df: DataFrame, name: str) -> Column:
     return finite(column) if isinstance(field_type(df, name), _FLOATS) else column
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Apply the missing-value model to every floating-point column."""
-    dirty = {
-        f.name: finite(F.col(quoted(f.name))) for f in df.schema.fields if isinstance(f.dataType, _FLOATS)
-    }
-    return df.withColumns(dirty) if dirty else df
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import quoted, require
+from ..functions.stages import settle
 
 
 def item_rows(df: DataFrame, transaction: str, item: str) -> DataFrame:
@@ -34,14 +35,14 @@ def itemsets(rows: DataFrame, n_transactions: int, min_support: float = 0.01) ->
     least = max(1, math.ceil(min_support * n_transactions - 1e-9))
     single = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     kept = rows.join(single.select("item"), "item", "left_semi")
-    baskets = kept.groupBy("txn").agg(F.array_sort(F.collect_set("item")).alias("items")).select("items").persist()
+    baskets = settle(kept.groupBy("txn").agg(F.array_sort(F.collect_set("item")).alias("items")).select("items"))
     n_kept = baskets.count()
     share = (least - 0.5) / max(1, n_kept)  # FPGrowth counts against the baskets it sees
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, share)).fit(baskets)
     sets = model.freqItemsets.where(F.col("freq") >= least)
-    return sets.select(
-        F.array_sort("items").alias("items"), "freq", (F.col("freq") / F.lit(float(n_transactions))).alias("support")
-    )
+    support = F.col("freq") / F.lit(float(n_transactions))
+    # The model mines again on every read, and rules read the sets three times.
+    return settle(sets.select(F.array_sort("items").alias("items"), "freq", support.alias("support")))
 
 
 def rules(sets: DataFrame, min_confidence: float = 0.2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import numeric, present, quoted
 from ..functions.ordering import column_quantiles, quantiles
-from .typing import distinct_values
+from .typing import distinct_counts, distinct_values
 
 TOP_VALUES = 5
 IQR_FENCE = 1.5
@@ -61,8 +61,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def profile_values(df: DataFrame, columns: Sequence[str], top_for: Sequence[str]) -> DataFrame:
     """``(column, n_unique, top)``: distinct counts, and for some columns the top values with counts."""
-    found = distinct_values(df, columns)
-    counts = found.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    counts = unique_counts(df, columns)
     tops = (
         top_values(df, top_for)
         .groupBy("column")
@@ -84,7 +83,7 @@ def top_values(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) ->
 
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or df.columns)
-    return distinct_values(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    return distinct_counts(df, columns).withColumnRenamed("n_distinct", "n_unique")
 
 
 def outlier_limits(df: DataFrame, column: str) -> dict[str, float | None]:

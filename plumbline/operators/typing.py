@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,73 +20,81 @@ MAX_CATEGORICAL_DISTINCT = 15
 CONTINUOUS_RATIO = 0.5
 IDENTIFIER_RATIO = 0.9
 
+# Sketches err by about 5 %: these estimates are beyond doubt on their side of a threshold.
+_CLEARLY_MANY = 200
+_CLEARLY_REPEATED = 0.6
+_LONG_TEXT = 64
 
-def values_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value)`` pairs with values as text, nulls kept."""
-    clean = df.select(*[present(df, c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)])
+
+def values_long(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
+    """``(column, value)`` pairs with values as text; with ``digest`` long text is replaced by its MD5."""
+    clean = []
+    for i, c in enumerate(columns):
+        text = present(df, c).cast("string")
+        if digest:
+            text = F.when(F.length(text) > _LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+        clean.append(text.alias(f"_{i}"))
     pairs = ", ".join(f"'{c}', _{i}" for i, c in enumerate(columns))
-    return clean.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
+    return df.select(*clean).selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distinct_values(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
     """``(column, value, n)``: every column's distinct non-null values, one shuffle for all of them."""
     return (
-        values_long(df, columns)
+        values_long(df, columns, digest)
         .where("value is not null")
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, n_non_null, n_distinct)``, exact, for all columns in one job."""
-    columns = list(columns or df.columns)
-    found = distinct_values(df, columns).groupBy("column").agg(
-        F.sum("n").alias("n_non_null"), F.count(F.lit(1)).alias("n_distinct")
-    )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(found, "column", "left").na.fill(0, ["n_non_null", "n_distinct"])
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, n_distinct)``, exact, for all columns in one job; documents are counted by their digest."""
+    return distinct_values(df, columns, digest=True).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
-def _rule(df: DataFrame):
-    """The detection rule as a column over ``(column, n_rows, n_distinct)``."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    real = [n for n, k in kinds.items() if isinstance(k, (T.DoubleType, T.FloatType, T.DecimalType))]
-    number = [n for n, k in kinds.items() if isinstance(k, NUMERIC)]
-    temporal = [n for n, k in kinds.items() if isinstance(k, TEMPORAL)]
-    text = [n for n, k in kinds.items() if isinstance(k, T.StringType)]
-    name = F.col("column")
-    share = F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).otherwise(0.0)
-    return (
-        F.when(name.isin(temporal), DATETIME)
-        .when(name.isin(number) & (F.col("n_distinct") > MAX_CATEGORICAL_DISTINCT), CONTINUOUS)
-        .when(name.isin(real) & (share > CONTINUOUS_RATIO), CONTINUOUS)
-        .when(name.isin(text) & (share > IDENTIFIER_RATIO), IDENTIFIER)
-        .otherwise(CATEGORICAL)
-    )
+def _decide(kind: T.DataType, n_rows: int, n_distinct: int) -> str:
+    share = n_distinct / n_rows if n_rows else 0.0
+    if isinstance(kind, NUMERIC):
+        real = isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
+        many = n_distinct > MAX_CATEGORICAL_DISTINCT or (real and share > CONTINUOUS_RATIO)
+        return CONTINUOUS if many else CATEGORICAL
+    return IDENTIFIER if share > IDENTIFIER_RATIO else CATEGORICAL
+
 
+def detect_types(df: DataFrame) -> dict[str, str]:
+    """Type of every column of a table.
 
-def detect_types(df: DataFrame) -> DataFrame:
-    """``(column, type)`` for a table. Only text and number columns are counted."""
-    counted = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC + (T.StringType,))]
-    others = [c for c in df.columns if c not in counted]
-    spark = df.sparkSession
-    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    frames = []
+    One pass of small sketches settles every column that is far from its threshold; only
+    the rest, few-valued numbers and nearly unique text, are counted exactly.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    counted = [c for c, k in kinds.items() if isinstance(k, NUMERIC + (T.StringType,))]
+    types = {c: DATETIME if isinstance(k, TEMPORAL) else CATEGORICAL for c, k in kinds.items()}
     if counted:
-        frames.append(distinct_counts(df, counted).select("column", "n_distinct"))
-    if others:
-        frames.append(spark.createDataFrame([(c, 0) for c in others], "column string, n_distinct long"))
-    stats = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return stats.withColumn("n_rows", rows.scalar()).select("column", _rule(df).alias("type"))
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(counted)],
+        ).first()
+        unsure = []
+        for i, c in enumerate(counted):
+            guess = row[f"d{i}"]
+            if isinstance(kinds[c], NUMERIC) and guess >= _CLEARLY_MANY:
+                types[c] = CONTINUOUS
+            elif isinstance(kinds[c], T.StringType) and guess <= _CLEARLY_REPEATED * row["n"]:
+                types[c] = CATEGORICAL
+            else:
+                unsure.append(c)
+        if unsure:
+            exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, unsure).collect()}
+            types |= {c: _decide(kinds[c], row["n"], exact.get(c, 0)) for c in unsure}
+    return types
 
 
 def categorical_worklist(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Unrefined categorical columns: distinct count and the ten smallest values as text."""
     distinct = distinct_values(df, columns)
     counts = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    from pyspark.sql import Window
-
     first = Window.partitionBy("column").orderBy("value")
     sample = (
         distinct.withColumn("rank", F.row_number().over(first))

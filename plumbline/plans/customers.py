@@ -57,9 +57,20 @@ def basket_rules(spark, sf_dir):
     return rounded(flat, 9, "support", "confidence", "lift")
 
 
+def _flat(found):
+    return found.withColumns({c: F.concat_ws("|", c) for c in ("antecedents", "consequents")})
+
+
+def basket_rules_all(spark, sf_dir):
+    """Rules with any number of items on either side."""
+    found = _flat(basket.rules(_sets(spark, sf_dir, 0.01), 0.2))
+    return rounded(found, 9, "support", "confidence", "lift")
+
+
 def basket_top_rules(spark, sf_dir):
     """The report itself: at most fifty rules, best lift first, itemsets of any size."""
-    return basket.top_rules(basket.rules(_sets(spark, sf_dir, 0.005), 0.2))
+    found = basket.top_rules(basket.rules(_sets(spark, sf_dir, 0.005), 0.2))
+    return rounded(_flat(found), 9, "support", "confidence", "lift")
 
 
 def causal_linear(spark, sf_dir):
@@ -84,7 +95,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         rfm_scores, rfm_segments, retention_orders, retention_events, basket_itemsets, basket_itemsets_all,
-        basket_rules, basket_top_rules, causal_linear, causal_adjusted,
+        basket_rules, basket_rules_all, basket_top_rules, causal_linear, causal_adjusted,
     )
 }
 
@@ -126,7 +137,34 @@ def _baskets_sql(support: float) -> str:
                      GROUP BY 1, 2 HAVING count(*) >= {support} * (SELECT n FROM n))"""
 
 
+def _all_sets_sql(support: float) -> str:
+    """Every itemset grown from the frequent items, and every split of it into a rule."""
+    return f"""
+        WITH RECURSIVE b AS (SELECT l_orderkey AS t, list_sort(list(DISTINCT p_type)) AS items
+                             FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+             n AS (SELECT count(*) AS n FROM b),
+             one AS (SELECT i FROM (SELECT unnest(items) AS i FROM b) u GROUP BY i
+                     HAVING count(*) >= {support} * (SELECT n FROM n)),
+             grown AS (SELECT [i] AS s FROM one UNION ALL
+                       SELECT list_append(g.s, o.i) FROM grown g JOIN one o ON o.i > g.s[len(g.s)]),
+             sets AS (SELECT s, count(*) AS freq FROM grown JOIN b ON list_has_all(b.items, s) GROUP BY s
+                      HAVING count(*) >= {support} * (SELECT n FROM n)),
+             rules AS (SELECT array_to_string(a.s, '|') AS antecedents, array_to_string(c.s, '|') AS consequents,
+                              w.freq / n AS support, (w.freq / n) / (a.freq / n) AS confidence,
+                              (w.freq / n) / (a.freq / n) / (c.freq / n) AS lift, a.s AS al, c.s AS cl
+                       FROM sets w, sets a, sets c, n
+                       WHERE len(a.s) + len(c.s) = len(w.s) AND list_has_all(w.s, a.s) AND list_has_all(w.s, c.s)
+                         AND NOT list_has_any(a.s, c.s) AND (w.freq / n) / (a.freq / n) >= 0.2)"""
+
+
+_RULE_COLUMNS = """antecedents, consequents, round(support, 9) + 0.0 AS support, round(confidence, 9) + 0.0 AS confidence,
+               round(lift, 9) + 0.0 AS lift"""
+
 ORACLE: dict[str, str] = {
+    "basket_itemsets_all": _all_sets_sql(0.01) + " SELECT array_to_string(s, '|') AS items, freq FROM sets",
+    "basket_rules_all": _all_sets_sql(0.01) + f" SELECT {_RULE_COLUMNS} FROM rules",
+    "basket_top_rules": _all_sets_sql(0.005) + f"""
+        SELECT {_RULE_COLUMNS} FROM (SELECT * FROM rules ORDER BY lift DESC, support DESC, al, cl LIMIT 50) r""",
     "rfm_scores": f"""{_RFM_SQL}
         SELECT customer, recency, frequency, round(monetary, 2) + 0.0 AS monetary, CAST(r AS INTEGER) AS r,
                CAST(f AS INTEGER) AS f, CAST(m AS INTEGER) AS m, CAST(fm AS INTEGER) AS fm, segment FROM rfm""",

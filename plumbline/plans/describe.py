@@ -123,12 +123,8 @@ _OUTLIER_SQL = """
 
 
 def column_types(spark, sf_dir):
-    return _union(
-        [
-            typing.detect_types(table(spark, sf_dir, t)).select(F.lit(t).alias("table"), "column", "type")
-            for t in TABLES
-        ]
-    )
+    rows = [(t, c, kind) for t in TABLES for c, kind in typing.detect_types(table(spark, sf_dir, t)).items()]
+    return spark.createDataFrame(rows, "`table` string, column string, type string")
 
 
 def _type_sql(t: str, c: str, kind: str) -> str:

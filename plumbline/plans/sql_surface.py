@@ -66,7 +66,7 @@ _sql("sql_join_range", "nation customer", """
     JOIN (SELECT * FROM (VALUES (-1000.0::DOUBLE, 0.0::DOUBLE), (0.0, 5000.0), (5000.0, 10000.0)) AS t(lo, hi)) b
     ON c_acctbal >= b.lo AND c_acctbal < b.hi GROUP BY n_nationkey, b.lo""")
 _sql("sql_join_cross", "region nation", """
-    SELECT r_regionkey, count(*) AS pairs FROM region, nation GROUP BY r_regionkey""")
+    SELECT r_regionkey, r_name, n_nations FROM region CROSS JOIN (SELECT count(*) AS n_nations FROM nation) one_row""")
 _sql("sql_join_asof", "events orders", """
     SELECT event_id, last(order_day, true) OVER (PARTITION BY user_id ORDER BY moment, is_event
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS previous, is_event

@@ -93,14 +93,13 @@ class Table:
         """Type of every column; only columns without a known type are computed."""
         missing = [c for c in self.df.columns if c not in self._types]
         if missing:
-            found = detect_types(self.df.select(*[quoted(c) for c in missing])).collect()
-            self._types |= {r["column"]: r["type"] for r in found}
+            self._types |= detect_types(self.df.select(*[quoted(c) for c in missing]))
         return {c: self._types[c] for c in self.df.columns}
 
     def classify_column(self, column: str, override: bool = False) -> str:
         require(self.df, column)
         if override or column not in self._types:
-            self._types[column] = detect_types(self.df.select(quoted(column))).first()["type"]
+            self._types[column] = detect_types(self.df.select(quoted(column)))[column]
         return self._types[column]
 
     def set_column_type(self, column: str, kind: str) -> None:

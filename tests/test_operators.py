@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import Session, TrustLevel
-from plumbline.functions.clean import nan_to_null
+from plumbline.functions.clean import present
 from plumbline.operators import basket, causal, cluster, customers, describe, features, learn, prep, relate, typing
 from plumbline.results import Trust, combine, decline, from_sample_size, json_safe, operation_key
 
@@ -29,8 +29,8 @@ def _values(df, column):
 
 
 def test_nan_and_infinity_are_missing(dirty):
-    assert _values(nan_to_null(dirty), "x") == [1.0, None, None, 4.0, 9.0, None, 2.0]
-    row = {r["column"]: r for r in describe.missing_counts(nan_to_null(dirty)).collect()}["x"]
+    assert _values(dirty.select(present(dirty, "x").alias("x")), "x") == [1.0, None, None, 4.0, 9.0, None, 2.0]
+    row = {r["column"]: r for r in describe.missing_counts(dirty).collect()}["x"]
     assert (row["n_missing"], row["n_rows"]) == (3, 7)
 
 
@@ -137,8 +137,7 @@ def test_types_at_their_limits(spark):
     df = spark.createDataFrame(
         [(i, i % 15, float(i % 12), float(i) if i < 11 else 1.0, i % 2 == 0, str(i), "x", dt.date(2020, 1, 1)) for i in range(20)],
         "many int, few int, steps double, mostly double, flag boolean, id string, word string, day date")
-    got = {r["column"]: r["type"] for r in typing.detect_types(df).collect()}
-    assert got == {"many": "continuous", "few": "categorical", "steps": "continuous", "mostly": "continuous",
+    assert typing.detect_types(df) == {"many": "continuous", "few": "categorical", "steps": "continuous", "mostly": "continuous",
                    "flag": "categorical", "id": "identifier", "word": "categorical", "day": "datetime"}
 
 
