@@ -29,12 +29,12 @@ _PARTS = ("v", "trend", "seasonal", "resid")
 
 def decompose_daily(spark, sf_dir):
     out = series.decompose(_daily_orders(spark, sf_dir))
-    return rounded(out.select("pos", "period", *_PARTS), 3, *_PARTS)
+    return rounded(out.select("pos", "period", *_PARTS), 5, *_PARTS)
 
 
 def decompose_by_priority(spark, sf_dir):
     out = series.decompose(_monthly_by_priority(spark, sf_dir))
-    return rounded(out.select("series", "pos", "period", *_PARTS), 3, *_PARTS)
+    return rounded(out.select("series", "pos", "period", *_PARTS), 5, *_PARTS)
 
 
 def forecast_by_key(spark, sf_dir):
@@ -96,8 +96,8 @@ def _decompose_sql(points: str, period: int) -> str:
                    AS trend FROM ma JOIN f USING (series)),
              m AS (SELECT series, pos % {period} AS ph, avg(v - trend) AS m FROM t GROUP BY 1, 2),
              c AS (SELECT series, ph, m - avg(m) OVER (PARTITION BY series) AS seasonal FROM m)
-        SELECT t.series, pos, CAST({period} AS INTEGER) AS period, round(v, 3) + 0.0 AS v, round(trend, 3) + 0.0 AS trend,
-               round(seasonal, 3) + 0.0 AS seasonal, round(v - trend - seasonal, 3) + 0.0 AS resid
+        SELECT t.series, pos, CAST({period} AS INTEGER) AS period, round(v, 5) + 0.0 AS v, round(trend, 5) + 0.0 AS trend,
+               round(seasonal, 5) + 0.0 AS seasonal, round(v - trend - seasonal, 5) + 0.0 AS resid
         FROM t JOIN c ON t.series = c.series AND t.pos % {period} = c.ph"""
 
 

@@ -82,13 +82,8 @@ class Session:
     def _add(self, name: str, df: DataFrame, key: Sequence[str] | None = None) -> Table:
         table = Table(name, df, self, key)
         self._tables[name] = table
-        self.publish(table)
         return table
 
-    def publish(self, table: Table) -> None:
-        """Make the table's current rows visible to SQL by its bare name."""
-        table.df.createOrReplaceTempView(table.name)
-
     def add_table(self, source: str | DataFrame, name: str | None = None, key: Sequence[str] | None = None) -> Table:
         df = read_table(self.spark, source) if isinstance(source, str) else source
         raw = name or (stem(source) if isinstance(source, str) else "tbl")
@@ -122,7 +117,14 @@ class Session:
         return list(self._tables)
 
     def run_sql(self, query: str) -> DataFrame:
-        return guard.run_query(self.spark, query)
+        """A read-only query; this session's tables, and no other's, are visible by their bare names."""
+        for name, table in self._tables.items():
+            table.df.createOrReplaceTempView(name)
+        try:
+            return guard.run_query(self.spark, query)  # names are resolved here, once
+        finally:
+            for name in self._tables:
+                self.spark.catalog.dropTempView(name)
 
     def query(self, query: str, limit: int = 1000) -> dict[str, Any]:
         """First ``limit`` rows and whether there are more; only limit + 1 rows are fetched."""
@@ -169,7 +171,6 @@ class Session:
             table.df.write.mode("overwrite").parquet(path)
             table.df = self.spark.read.schema(table.df.schema).parquet(path)
             self._version[name] = version
-            self.publish(table)
         self._write_meta()
 
     def _write_meta(self) -> None:

@@ -69,8 +69,6 @@ class Table:
             self._types.pop(c, None)
             (self.derived.discard if feature else self.derived.add)(c)
         self.df = df
-        if self.session is not None:
-            self.session.publish(self)
 
     def write_column(self, name: str, value: Column | DataFrame, on: Sequence[str] = (), feature: bool = False) -> None:
         """Add or replace a column from an expression, or from a keyed frame joined on ``on``."""

@@ -39,6 +39,8 @@ def test_csv_is_named_after_its_file_and_summed(spark, orders_csv):
     "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM text.`/etc/passwd`",
     "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
     "SELECT TRANSFORM(amount) USING 'cat' FROM orders", "INSERT INTO orders VALUES ('a', 1)",
+    "SELECT * FROM `csv`.`/etc/passwd`", "SELECT * FROM (SELECT * FROM parquet.`/tmp/x`)",
+    "SELECT * FROM orders WHERE EXISTS (SELECT TRANSFORM(amount) USING 'cat' FROM orders)",
     "SELECT 1; SELECT 2", "SELECT (SELECT java_method('java.util.UUID', 'randomUUID')) AS u",
 ])
 def test_sql_is_confined(spark, orders_csv, query):
@@ -47,6 +49,17 @@ def test_sql_is_confined(spark, orders_csv, query):
         session.run_sql(query).collect()
 
 
+def test_sessions_do_not_see_each_other(spark, orders_csv):
+    first, second = Session.load(spark, orders_csv), Session(spark)
+    second.create_table("orders", columns=[("x", "INT")])
+    second.create_table("mine", columns=[("x", "INT")])
+    got = first.run_sql("SELECT * FROM orders")
+    assert second.query("SELECT count(*) AS n FROM orders")["rows"] == [{"n": 0}]
+    assert got.count() == 2
+    with pytest.raises(Exception):
+        first.run_sql("SELECT * FROM mine")
+
+
 def test_truncation_reports_the_full_count(spark, orders_csv):
     got = Session.load(spark, orders_csv).query("SELECT * FROM orders ORDER BY amount", limit=1)
     assert got == {"n_rows": 2, "truncated": True, "rows": [{"region": "north", "amount": 10}]}
