@@ -79,6 +79,19 @@ def summarize(w: np.ndarray, before: float, first: int, grid: np.ndarray) -> np.
     return np.column_stack([a, b, s0, s1, s2, logs])
 
 
+def compose(blocks: list[np.ndarray]) -> np.ndarray:
+    """Consecutive blocks as one: affine maps and their squares chain exactly."""
+    a, b, s0, s1, s2, logs = blocks[0].T
+    for a2, b2, t0, t1, t2, more in (block.T for block in blocks[1:]):
+        s0, s1, s2 = (
+            s0 + t0 + 2 * t1 * a + t2 * a * a,
+            s1 + t1 * b + t2 * a * b,
+            s2 + t2 * b * b,
+        )
+        a, b, logs = a2 + b2 * a, b2 * b, logs + more
+    return np.column_stack([a, b, s0, s1, s2, logs])
+
+
 def fold(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks in order → ``(sum of squares, sum of logs, last error)`` per candidate."""
     e = np.zeros(len(blocks[0]))

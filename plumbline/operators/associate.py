@@ -116,7 +116,7 @@ def attach_ranks(df: DataFrame, columns: Sequence[str], ranks: DataFrame) -> Dat
     """Add ``_rank_<i>``, the average rank of each column's value."""
     for i, c in enumerate(columns):
         own = ranks.where(F.col("column") == c)
-        df = lookup(df, c, own, "value", "ties", {"avg_rank": f"_rank_{i}"}, F.col("total"), settled=True)
+        df = lookup(df, c, own, "value", "ties", {"avg_rank": f"_rank_{i}"}, settled=True)
     return df
 
 

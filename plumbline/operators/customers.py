@@ -97,8 +97,3 @@ def retention(df: DataFrame, customer: str, date: str) -> DataFrame:
     return cells.select(
         label.alias("cohort"), "months_since", "customers", F.round(F.col("customers") / size, 4).alias("rate")
     )
-
-
-def retention_matrix(cells: DataFrame, months: int) -> DataFrame:
-    """Cohorts down, months since first activity across."""
-    return cells.groupBy("cohort").pivot("months_since", list(range(months + 1))).agg(F.first("customers"))

@@ -27,6 +27,7 @@ MIN_FORECAST = 12
 MIN_DECOMPOSE = 4
 MIN_CHANGE = 4
 BLOCK = 20_000
+MERGE = 64
 MAX_CHANGE_POINTS_ROWS = 50_000
 
 
@@ -250,6 +251,17 @@ def _choose(width: float | None):
     return run
 
 
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring block summaries as one."""
+    pdf = pdf.sort_values("block")
+    sums = arima.compose([np.array(s).reshape(-1, 6) for s in pdf["sums"]])
+    last = pdf.iloc[-1]
+    return pd.DataFrame({
+        "series": [last["series"]], "block": [int(pdf["block"].iloc[0]) // MERGE], "n_w": [int(pdf["n_w"].sum())],
+        "last_v": [last["last_v"]], "last_w": [last["last_w"]], "sums": [sums.ravel().tolist()],
+    })
+
+
 def _ahead(horizon: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -263,15 +275,20 @@ def _ahead(horizon: int):
 def _long_forecast(points: DataFrame, horizon: int, block: int) -> DataFrame:
     kind = _series_type(points)
     blocks = settle(with_overlap(points, 2, 0, block))
+    schema = f"series {kind}, block long, n_w long, last_v double, last_w double, sums array<double>"
+    n_blocks = blocks.agg(F.max("block")).first()[0] + 1
     best: DataFrame | None = None
     for width in [None, *arima.widths()]:
         known = blocks
         if best is not None:
             known = lookup(blocks, "series", best, "series", "m", {"phi": "phi", "theta": "theta"})
         sums = known.groupBy("series", "block").applyInPandas(
-            _summarize_block(width, block),
-            f"series {kind}, block long, n_w long, last_v double, last_w double, sums array<double>",
+            _summarize_block(width, block), schema
         )
+        left = n_blocks
+        while left > MERGE:  # never more than MERGE summaries in one task
+            sums = sums.groupBy("series", F.floor(F.col("block") / MERGE)).applyInPandas(_merge, schema)
+            left = -(-left // MERGE)
         if best is not None:
             sums = sums.join(best.select("series", "phi", "theta"), "series")
         best = settle(

@@ -84,10 +84,11 @@ def test_cumulate(ties):
     assert got == {v: (n, 2 * n, sizes.iloc[-1]) for v, n in sizes.items()}
 
 
-def test_lookup_with_a_hot_and_a_missing_key(ties):
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_lookup_with_a_hot_and_a_missing_key(ties, broadcast_rows):
     df, frame = ties
     table = df.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last"))
-    got = lookup(df, "v", table, "v", "n", {"last": "last"})
+    got = lookup(df, "v", table, "v", "n", {"last": "last"}, broadcast_rows=broadcast_rows)
     want = frame.assign(last=frame.groupby("v")["k"].transform("max"))
     assert {(r["k"], r["last"]) for r in got.collect()} == {
         (k, None if pd.isna(x) else int(x)) for k, x in zip(want["k"], want["last"])}

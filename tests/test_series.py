@@ -76,12 +76,17 @@ def test_arima_likelihood_is_exact():
     total, logs, _ = arima.fold([arima.summarize(w, 0.0, 0, grid)])
     got = len(w) * np.log(total / len(w)) + logs
     assert np.allclose(got, [_loglik(w, p, q) for p, q in grid])
+    three = [arima.summarize(w[:9], 0.0, 0, grid), arima.summarize(w[9:17], w[8], 9, grid), arima.summarize(w[17:], w[16], 17, grid)]
+    whole = arima.summarize(w, 0.0, 0, grid)
+    assert np.allclose(arima.compose(three), whole)
+    assert np.allclose(arima.compose([three[0], arima.compose(three[1:])]), whole)
     halves = [arima.summarize(w[:17], 0.0, 0, grid), arima.summarize(w[17:], w[16], 17, grid)]
     for a, b in zip(arima.fold(halves), arima.fold([arima.summarize(w, 0.0, 0, grid)])):
         assert np.allclose(a, b)
 
 
-def test_long_series_forecast_equals_short_route(spark):
+def test_long_series_forecast_equals_short_route(spark, monkeypatch):
+    monkeypatch.setattr(ts, "MERGE", 2)
     rng = np.random.default_rng(4)
     e = rng.normal(size=160)
     w = np.zeros(160)
