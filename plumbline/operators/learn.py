@@ -59,8 +59,14 @@ def hold_out(df: DataFrame, keys: Sequence[str], by: str | None = None, seed: in
     )
     same = F.col("_class").eqNullSafe(F.col("_ec")) & (F.col("_hr") == F.col("_er"))
     near = rows.select("_class", "_hr", "_h").join(edges, same)
-    nth = F.row_number().over(Window.partitionBy("_class").orderBy("_h"))
-    cuts = near.withColumn("_nth", nth).where("_nth = _need").select("_class", F.col("_h").alias("_cut"), "_size")
+    # Equal hashes are counted, not listed: rows that share a key stay on one side together.
+    slots = near.groupBy("_class", "_h", "_need", "_size").agg(F.count(F.lit(1)).alias("_c"))
+    seen = F.sum("_c").over(per.orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cuts = (
+        slots.withColumn("_seen", seen)
+        .where((F.col("_seen") >= F.col("_need")) & (F.col("_seen") - F.col("_c") < F.col("_need")))
+        .select("_class", F.col("_h").alias("_cut"), "_size")
+    )
     marked = lookup(rows, "_class", cuts, "_class", "_size", {"_cut": "_cut"})
     return marked.withColumn("in_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).drop(
         "_h", "_hr", "_class", "_cut"
