@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secret_scan
 from .common import table
 
 QUERIES = {
     "op2_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents"), keep="largest"),
+    "op9_secret_scan": lambda spark, d: secret_scan.scan_all(spark, table(spark, d, "documents")),
 }
 
 ORACLE = {
