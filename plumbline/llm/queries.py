@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan, simhash_dedup
+from . import exact_dedup, packing, secret_scan, simhash_dedup
 from .common import table
 
 QUERIES = {
     "op2_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents"), keep="largest"),
     "op10_simhash_dedup": lambda spark, d: simhash_dedup.near_duplicates(table(spark, d, "documents")),
+    "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_secret_scan": lambda spark, d: secret_scan.scan_all(spark, table(spark, d, "documents")),
 }
 
