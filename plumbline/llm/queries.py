@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secret_scan, simhash_dedup
+from . import exact_dedup, packing, quality, secret_scan, simhash_dedup
 from .common import table
 
 QUERIES = {
+    "op1_quality": lambda spark, d: quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents"), keep="largest"),
     "op10_simhash_dedup": lambda spark, d: simhash_dedup.near_duplicates(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
