@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, secret_scan, simhash_dedup, topk, toxicity
+from . import exact_dedup, packing, quality, secret_scan, simhash_dedup, topk, toxicity, unigram
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op10_simhash_dedup": lambda spark, d: simhash_dedup.near_duplicates(table(spark, d, "documents")),
     "op3_topk": lambda spark, d: topk.every_fiftieth(table(spark, d, "embeddings")),
     "op6_toxicity": lambda spark, d: toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_unigram": lambda spark, d: unigram.encode_and_check(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_secret_scan": lambda spark, d: secret_scan.scan_all(spark, table(spark, d, "documents")),
 }
