@@ -277,7 +277,7 @@ class Unigram:
         if len(self.cache) > _CACHE_ENTRIES:
             self.cache = {}
         cut = [self.stretches(t) if t else [] for t in texts]
-        new = list(set().union(*cut) - self.cache.keys())
+        new = [s for s in set().union(*cut) if s not in self.cache]
         for c in range(0, len(new), _TOGETHER):
             part = new[c : c + _TOGETHER]
             self.cache.update(zip(part, (ids.tobytes() for ids in self.segment(part))))
