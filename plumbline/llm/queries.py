@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, secret_scan, simhash_dedup, topk, toxicity, unigram
+from . import exact_dedup, kneser_ney, packing, quality, secret_scan, simhash_dedup, topk, toxicity, unigram
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents"), keep="largest"),
     "op10_simhash_dedup": lambda spark, d: simhash_dedup.near_duplicates(table(spark, d, "documents")),
     "op3_topk": lambda spark, d: topk.every_fiftieth(table(spark, d, "embeddings")),
+    "op4_kneser_ney": lambda spark, d: kneser_ney.score_held_out(table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_unigram": lambda spark, d: unigram.encode_and_check(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
