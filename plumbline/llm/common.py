@@ -28,6 +28,16 @@ def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, nor would have with more underscores behind."""
+    taken = [c.lower() for c in df.columns]
+    return [next(n for k in range(len(taken) + 1) if not any(t.startswith(n := f"_{name}{k}") for t in taken)) for name in names]
+
+
+def docs_columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def text_bytes(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("text", F.col("text").cast("binary"))
 

@@ -18,9 +18,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.stages import settle
-from .common import id_and_text
+from .common import docs_columns, id_and_text, spare_names
 
 FOLD_BYTES = 16 << 20
 TRIE_BYTES = 64 << 20
@@ -220,3 +221,19 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", budget: int = TRIE_BYTE
             F.lower(F.hex("hash")).alias("text_sha256"),
         )
     )
+
+
+def drop_copies(docs: DataFrame, keep: str = "smallest", budget: int = TRIE_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one per distinct text, chosen as in ``exact_dedup``.
+
+    Of repeated rows with the doc_id that stays, any one stays.
+    """
+    size, digest, owner, turn = spare_names(docs, "size", "hash", "owner", "turn")
+    owned = settle(owners(docs, keep, budget)).select(
+        F.col("size").alias(f"{size}_"), F.col("hash").alias(f"{digest}_"), F.col("owner").alias(owner))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({size: F.octet_length(text).cast("long"), digest: F.unhex(F.sha2(text, 256))})
+    stay = rows.join(owned, (F.col(size) == F.col(f"{size}_")) & (F.col(digest) == F.col(f"{digest}_"))
+                     & F.col("doc_id").cast("long").eqNullSafe(F.col(owner)))
+    order = Window.partitionBy(size, digest, "doc_id").orderBy("doc_id")
+    return stay.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*docs_columns(docs))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from ..functions.stages import settle
 from .components import components
-from .common import text_bytes
+from .common import docs_columns, spare_names, text_bytes
 from .hamming import BLOCK, PIVOTS, links
 
 WORDS = 4
@@ -75,11 +77,42 @@ def near_duplicates(
     table gives no rows.
     """
     prints = settle(fingerprints(docs, words))
+    return prints.join(_named(prints, limit, block, pivot_count), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, limit: int, block: int, pivot_count: int) -> DataFrame:
+    """fp, root (a fingerprint of the component), component_id; one row per distinct fingerprint, settled."""
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = settle(components(links(classes, limit, block, pivot_count), "a", "b"))
     rooted = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(rooted.join(settle(smallest), "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return settle(rooted.join(settle(smallest), "root").select("fp", "root", "component_id"))
+
+
+def drop_near_copies(
+    docs: DataFrame, words: int = WORDS, limit: int = LIMIT, block: int = BLOCK, pivot_count: int = PIVOTS,
+) -> DataFrame:
+    """One row of ``docs`` per component, with all its columns: the one whose doc_id names the component.
+
+    Should several rows have that doc_id, the one with the smallest fingerprint stays, and any one of equals.
+    """
+    prints = settle(fingerprints(docs, words))
+    named = _named(prints, limit, block, pivot_count)
+    print_name, turn = spare_names(docs, "fp", "turn")
+    stay = (
+        prints.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("id"))
+        .select(F.col("fp").alias(f"{print_name}_"), F.col("id").alias(f"{turn}_"))
+    )
+
+    @F.pandas_udf("long")
+    def own(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in text], np.uint64).view(np.int64))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.withColumn(print_name, own(text)).join(
+        settle(stay), (F.col(print_name) == F.col(f"{print_name}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{turn}_")))
+    order = Window.partitionBy(print_name, "doc_id").orderBy("doc_id")
+    return rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*docs_columns(docs))
