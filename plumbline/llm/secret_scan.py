@@ -106,7 +106,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
         F.when(~F.array_contains("pending", r.name), None)
         .when(F.col("text").rlike(_HINTS.get(r.name, r.pattern)), spans(F.col("text"), r)).otherwise(none).alias(r.name)
         for r in rules
-    ])
+    ]).dropDuplicates(["blob"])  # repeated rows of a carrier
     rows = found.select("blob", F.explode(F.array(*[
         F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.col(r.name).alias("spans")) for r in rules
     ])).alias("x")).select("blob", "x.*").where(F.col("spans").isNotNull())
