@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,6 @@ _FORBIDDEN_NODES = ("Command", "Statement", "Transform", "Insert", "Create", "Dr
                     "Replace", "Truncate", "Merge", "Update", "Delete", "Cache", "Load", "Analyze", "Write")
 _QUERY_NODES_WITH_SUCH_NAMES = ("SetOperation", "WithWindowDefinition")
 _FORBIDDEN_FUNCTIONS = frozenset({"reflect", "try_reflect", "java_method", "read_files"})
-_SCRIPT = re.compile(r"""(?i)\busing\s*['"]""")
 
 # Words a feature expression may not contain, as the feature contract lists them.
 EXPRESSION_BLOCKLIST = frozenset(
@@ -35,10 +35,11 @@ def _nodes(plan):
                 yield from _nodes(child)
 
 
-def check_query(spark: SparkSession, query: str) -> None:
-    """Raise unless ``query`` is one SELECT/VALUES query over named relations."""
+def check_query(spark: SparkSession, query: str, tables: Iterable[str] | None = None) -> None:
+    """Raise unless ``query`` is one SELECT/VALUES query, over no relations but ``tables`` where these are given."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    for node in _nodes(plan):
+    nodes = list(_nodes(plan))
+    for node in nodes:
         name = node.getClass().getSimpleName()
         if name in _QUERY_NODES_WITH_SUCH_NAMES:
             continue
@@ -48,23 +49,42 @@ def check_query(spark: SparkSession, query: str) -> None:
     bad = words & _FORBIDDEN_FUNCTIONS
     if bad:
         raise ValueError(f"Functions {sorted(bad)} may not be used.")
-    if _SCRIPT.search(query):
-        raise ValueError("Scripts may not be run from SQL.")
+    if tables is not None:
+        unknown = _relations(nodes) - {t.lower() for t in tables}
+        if unknown:
+            raise ValueError(f"Unknown tables {sorted(unknown)}; known: {sorted(tables)}.")
+
+
+def _relations(nodes: list) -> set[str]:
+    """Names that the parsed query reads from, without those it defines by WITH."""
+    read, defined = set(), set()
+    for node in nodes:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            read.add(node.multipartIdentifier().mkString(".").lower())
+        elif kind == "UnresolvedWith":
+            for i in range(node.cteRelations().size()):
+                defined.add(node.cteRelations().apply(i)._1().lower())
+    return read - defined
 
 
 def _without_strings(text: str) -> str:
     return re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
 
 
-def run_query(spark: SparkSession, query: str) -> DataFrame:
-    """The analysed query; while it is resolved, a path can not stand in for a table."""
-    check_query(spark, query)
-    before = spark.conf.get(_ON_FILES)
-    spark.conf.set(_ON_FILES, "false")
-    try:
-        return spark.sql(query)
-    finally:
-        spark.conf.set(_ON_FILES, before)
+def run_query(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The analysed query over ``tables`` alone; a path can not stand in for one.
+
+    Names are resolved in a copy of the session, so the caller's views and settings are neither seen nor touched.
+    """
+    check_query(spark, query, tables)
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set(_ON_FILES, "false")
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset
+    for name, df in tables.items():
+        rows.ofRows(own, df._jdf.queryExecution().logical()).createOrReplaceTempView(name)
+    analysed = own.sql(query).queryExecution().analyzed()
+    return DataFrame(rows.ofRows(spark._jsparkSession, analysed), spark)
 
 
 def check_expression(df: DataFrame, expression: str) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .clean import quoted
+from .clean import field_type, quoted
 
 def hash_text(seed: int, *columns: Column) -> Column:
     """First 15 hex digits of ``md5('seed:col:col…')``: the same in any SQL engine, and ordered like the number."""
@@ -23,13 +24,26 @@ def gaussian(seed: int, *columns: Column) -> Column:
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * F.pi() * v)
 
 
+def _cell(df: DataFrame, name: str) -> Column:
+    """A value with its type and length, so that no two rows of values share a text; NULL differs from any value."""
+    kind, column = field_type(df, name), F.col(quoted(name))
+    if isinstance(kind, T.BinaryType):
+        text = F.hex(column)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.to_json(F.struct(column), {"ignoreNullFields": "false"})
+    else:
+        text = column.cast("string")
+    there = F.concat(F.lit(f"{kind.simpleString()}:"), F.length(text).cast("string"), F.lit(":"), text)
+    return F.when(column.isNull(), F.lit("-")).otherwise(there)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row ``(n_rows, checksum, parity)``; any changed value changes it, row order does not."""
-    row = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
-    return df.select(row.alias("h")).agg(
+    """One row ``(n_rows, checksum, parity)``; any changed or moved value changes it, row order does not."""
+    row = F.md5(F.concat_ws(",", *[_cell(df, c) for c in df.columns]))
+    return df.select(F.conv(F.substring(row, 1, 15), 16, 10).cast("long").alias("h")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("checksum"),
-        F.bit_xor("h").alias("parity"),
+        F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum"),
+        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("parity"),
     )
 
 

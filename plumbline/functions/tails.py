@@ -104,9 +104,8 @@ def correlation_p(r: float, n: int) -> float:
 def mann_whitney_p(u1: float, n1: int, n2: int, tie_term: float) -> float:
     """Two-sided p of U. Exact when a group has at most 8 values and nothing is tied."""
     top = max(u1, n1 * n2 - u1)
-    if tie_term == 0 and min(n1, n2) <= 8 and n1 * n2 <= 200_000:
-        counts = _u_counts(n1, n2)
-        return min(1.0, 2.0 * float(counts[int(math.ceil(top)):].sum()))
+    if tie_term == 0 and min(n1, n2) <= 8:
+        return min(1.0, 2.0 * u_at_most(n1 * n2 - math.ceil(top), n1, n2))
     n = n1 + n2
     sd = math.sqrt(n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0))))
     if sd == 0:
@@ -114,19 +113,36 @@ def mann_whitney_p(u1: float, n1: int, n2: int, tie_term: float) -> float:
     return min(1.0, 2.0 * normal_sf((top - n1 * n2 / 2.0 - 0.5) / sd))
 
 
-def _u_counts(n1: int, n2: int) -> np.ndarray:
-    """Null probabilities of U = 0 … n1·n2 (Gaussian binomial coefficients, normalised)."""
+def u_at_most(u: int, n1: int, n2: int) -> float:
+    """P(U <= u) without ties, exact for a small group beside one of any size.
+
+    U counts partitions into at most ``small`` parts of at most ``large``: coefficients of the product of
+    (1 - q^(large + i)) / (1 - q^i). The numerator is expanded; what is left is a coefficient of
+    1 / ((1 - q) prod(1 - q^i)), a quasi-polynomial of period lcm(1..small).
+    """
     small, large = sorted((n1, n2))
-    poly = np.ones(1)
-    for i in range(1, small + 1):
-        up = np.zeros(len(poly) + large + i)
-        up[: len(poly)] += poly
-        up[large + i:] -= poly
-        down = up.copy()
-        for j in range(i, len(down)):
-            down[j] += down[j - i]
-        poly = down[: i * large + 1]
-    return poly / poly.sum()
+    if small == 0 or u < 0:
+        return float(u >= 0)
+    period = math.lcm(*range(1, small + 1))
+    numerator = [1]
+    for i in (1, *range(1, small + 1)):  # times 1 + q^i + ... + q^(period - i)
+        summed = numerator + [0] * (period - i)
+        for j in range(i, len(summed)):
+            summed[j] += summed[j - i]
+        numerator = [c - (summed[j - period] if j >= period else 0) for j, c in enumerate(summed)]
+    factors = small + 1
+
+    def partitions(m: int) -> int:
+        start = m % period
+        return sum(numerator[j] * math.comb((m - j) // period + factors - 1, factors - 1)
+                   for j in range(start, min(m, len(numerator) - 1) + 1, period))
+
+    ways = 0
+    for chosen in range(1 << small):
+        shift = sum(large + i + 1 for i in range(small) if chosen >> i & 1)
+        if shift <= u:
+            ways += (-1) ** chosen.bit_count() * partitions(u - shift)
+    return ways / math.comb(small + large, small)
 
 
 def kolmogorov_sf(x: float) -> float:

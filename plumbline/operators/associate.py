@@ -91,6 +91,14 @@ def _shapiro_group(pdf: pd.DataFrame) -> pd.DataFrame:
 # --- continuous × continuous -----------------------------------------------------------
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r over the rows that have both; NULL where one of them is constant there."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def number_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(numeric(df, x).alias("x"), numeric(df, y).alias("y")).dropna()
 
@@ -98,7 +106,7 @@ def number_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 def pearson(pairs: DataFrame) -> DataFrame:
     """``(n, r, normal_x, normal_y)``; normality by moments, meaningful above 50 rows."""
     flags = {}
-    stats = [F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")]
+    stats = [F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r")]
     for c in ("x", "y"):
         stats += [
             F.skewness(c).alias(f"s_{c}"),
@@ -123,7 +131,7 @@ def attach_ranks(df: DataFrame, columns: Sequence[str], ranks: DataFrame) -> Dat
 def spearman(pairs: DataFrame) -> DataFrame:
     """``(n, rho)``: average ranks, joined back per distinct value, then correlated."""
     ranked = attach_ranks(pairs, ["x", "y"], column_ranks(pairs, ["x", "y"]))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rank_0", "_rank_1").alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation("_rank_0", "_rank_1").alias("rho"))
 
 
 def test_numbers(df: DataFrame, x: str, y: str) -> Test:
@@ -137,6 +145,7 @@ def test_numbers(df: DataFrame, x: str, y: str) -> Test:
         sample = pairs.toPandas()  # at most 50 rows
         normal = shapiro_normal(sample["x"]) and shapiro_normal(sample["y"])
     r = base["r"] if normal else spearman(pairs).first()["rho"]
+    r = None if r is None else max(-1.0, min(1.0, r))  # a last digit too much
     if r is None or math.isnan(r):
         return Test("degenerate", n, {"statistic": 0.0, "p_value": 1.0, "effect_size": 0.0, "n": n},
                     {"constant_value_column": True})
@@ -507,10 +516,10 @@ def _number_matrix(clean: DataFrame, ranked: DataFrame, nums: list[str], normal:
         if not chosen:
             continue
         name = (lambda c: quoted(c)) if method == "pearson" else (lambda c: f"_rank_{nums.index(c)}")
-        row = frame.agg(*[F.corr(name(a), name(b)).alias(f"p{i}") for i, (a, b) in enumerate(chosen)]).first()
+        row = frame.agg(*[correlation(name(a), name(b)).alias(f"p{i}") for i, (a, b) in enumerate(chosen)]).first()
         for i, pair in enumerate(chosen):
             r = row[f"p{i}"]
-            out[pair] = ("degenerate", 0.0) if r is None or math.isnan(r) else (method, abs(r))
+            out[pair] = ("degenerate", 0.0) if r is None or math.isnan(r) else (method, min(1.0, abs(r)))
     return out
 
 

@@ -49,7 +49,7 @@ def rules(sets: DataFrame, min_confidence: float = 0.2) -> DataFrame:
     """Every split of a frequent itemset into antecedents and consequents above the confidence."""
     splits = (
         sets.where(F.size("items") > 1)
-        .withColumn("mask", F.explode(F.expr("sequence(1, cast(pow(2, size(items)) as int) - 2)")))
+        .withColumn("mask", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")))
         .select(
             "items",
             "support",

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric, quoted, require
 from ..functions.hashing import gaussian
+from ..functions.stages import settle
 
 # Rows needed to answer, rows for moderate trust, tolerated shift of the effect.
 MIN_ROWS = 50
@@ -41,7 +42,7 @@ def complete_rows(
     return df.select(*picked).dropna()
 
 
-def _one_hot(rows: DataFrame, n_categories: int) -> tuple[DataFrame, list[str]]:
+def _one_hot(rows: DataFrame, n_categories: int) -> dict[str, Column]:
     """0/1 columns per level, the first level of each column left out."""
     added = {}
     for i in range(n_categories):
@@ -50,7 +51,7 @@ def _one_hot(rows: DataFrame, n_categories: int) -> tuple[DataFrame, list[str]]:
             raise ValueError(f"A confounder has more than {MAX_ENCODED} levels; group it first.")
         for j, level in enumerate(found[1:]):
             added[f"_h{i}_{j}"] = (F.col(f"_c{i}") == level[0]).cast("double")
-    return (rows.withColumns(added) if added else rows), list(added)
+    return added
 
 
 def covariance(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -83,12 +84,14 @@ def causal_effect(
     out = Estimate(shape["n"], 2 if shape["varies"] else 1)
     if out.n < MIN_ROWS or not shape["varies"]:
         return out
-    encoded, dummies = _one_hot(rows, len(categories))
+    dummies = _one_hot(rows, len(categories))
     base = ["_t", *[f"_n{i}" for i in range(len(numbers))], *dummies]
-    # Noise is a function of the row's own numbers and its place in the table.
-    seedable = encoded.withColumn("_row", F.monotonically_increasing_id())
-    noise = {f"_z{s}": gaussian(s, F.col("_row"), F.col("_t"), F.col("_y")) for s in range(RANDOM_CAUSES)}
-    wide = seedable.withColumns(noise)
+    # Noise depends on a row's values and, among equal rows, on its number: the same in any layout of the table.
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_times"))
+    numbered = counted.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+    noise = {f"_z{s}": gaussian(s, F.col("_turn"), *[F.col(c) for c in rows.columns]) for s in range(RANDOM_CAUSES)}
+    wide = settle(numbered.withColumns(noise | dummies))
+    dummies = list(dummies)
     cov = covariance(wide, [*base, "_y", *noise])
     y = len(base)
     out.effect = _coefficient(cov, list(range(len(base))), y)

@@ -177,9 +177,7 @@ class MetricTree:
         self.levels = plan.levels
         self.classes: list[Any] = []
         if not continuous:
-            self.classes = sorted(r[0] for r in present.select(quoted(target)).distinct().limit(1001).collect())
-            if len(self.classes) > 1000:
-                raise ValueError(f"{target!r} has more than 1000 classes; it cannot be explained as a category.")
+            self.classes = sorted(r[0] for r in present.select(quoted(target)).distinct().collect())
             present = present.withColumn(LABEL, label_index(present, target, self.classes))
         else:
             present = present.withColumn(LABEL, numeric(present, target))

@@ -20,7 +20,7 @@ from ..functions.hashing import hash_text
 from ..functions.joins import lookup
 from ..functions.ordering import COUNT, place, with_range
 from ..functions.stages import settle
-from .prep import FEATURES, Roles, learn, stages
+from .prep import FEATURES, OWN, Roles, learn, stages
 
 # Rows needed to train, share held out, rows below which trust is moderate.
 MIN_TRAIN_ROWS = 30
@@ -29,6 +29,7 @@ SEED = 0
 _SPLIT_DIGITS = 4  # leading hex digits: 65,536 ranges
 
 LABEL, PREDICTION, ROW = "_label", "_prediction", "_row"
+_INPUT, _RAW_PREDICTION, _PROBABILITY = (OWN + n for n in ("input", "prediction", "probability"))
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -93,11 +94,14 @@ class TrainedModel:
         missing = [c for c in self.roles.names if c not in df.columns]
         if missing:
             raise ValueError(f"Feature columns are missing: {missing}")
-        out = self.fitted.transform(df)
+        # The caller's columns travel as one struct, so none of them can meet a working column.
+        row = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(_INPUT)
+        out = self.fitted.transform(df.select(row, *[F.col(quoted(c)) for c in self.roles.names]))
+        made = [F.col(_RAW_PREDICTION).alias(PREDICTION)]
         if self.task == "classification":
-            out = out.withColumn("_proba", vector_to_array("probability"))
-        drop = ["rawPrediction", "probability", *working_columns_of(out)]
-        return out.withColumnRenamed("prediction", PREDICTION).drop(*drop)
+            made.append(vector_to_array(_PROBABILITY).alias("_proba"))
+        kept = [c for c in df.columns if c not in (PREDICTION, "_proba")]
+        return out.select(*[F.col(_INPUT).getField(c).alias(c) for c in kept], *made)
 
     def predicted_value(self, kind: T.DataType) -> Column:
         if self.task == "regression":
@@ -111,10 +115,6 @@ class TrainedModel:
         return df.withColumn(LABEL, label_index(df, self.target, self.classes))
 
 
-def working_columns_of(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c == FEATURES or (c[:2] in ("_x", "_c", "_i", "_h") and c[2:].isdigit())]
-
-
 def label_index(df: DataFrame, target: str, classes: Sequence[Any]) -> Column:
     kind = field_type(df, target)
     values = F.array(*[F.lit(c) for c in classes]).cast(T.ArrayType(kind))
@@ -142,8 +142,6 @@ def check_training(df: DataFrame, target: str, task: str) -> tuple[str | None, i
             return f"{target!r} has a single class, so there is nothing to tell apart", n, []
         if least < 2:
             return f"class {rare!r} occurs once, so it cannot be both learned and checked", n, []
-        if n_classes > 1000:
-            return f"{target!r} has {n_classes} classes, too many for a classifier", n, []
         classes = sorted(r["class"] for r in counts.select("class").collect())
     return None, n, classes
 
@@ -186,7 +184,9 @@ def train(
             else RandomForestClassifier(numTrees=max(20, 2 * rounds), maxDepth=depth + 3)
         )
         name = "gradient_boosted_trees" if binary else "random_forest"
-    learner = learner.setFeaturesCol(FEATURES).setLabelCol(LABEL).setSeed(SEED)
+    learner = learner.setFeaturesCol(FEATURES).setLabelCol(LABEL).setSeed(SEED).setPredictionCol(_RAW_PREDICTION)
+    if task == "classification":
+        learner = learner.setProbabilityCol(_PROBABILITY).setRawPredictionCol(OWN + "margin")
     plan = learn(labelled, roles, scale=False)
     fitted = Pipeline(stages=[*stages(labelled, plan), learner]).fit(labelled)
     return TrainedModel(fitted, roles, target, task, name, classes, data, n)

@@ -17,7 +17,8 @@ from .describe import medians
 from .typing import CATEGORICAL, CONTINUOUS, NOMINAL, ORDINAL, distinct_values
 
 MAX_LEVELS = 10_000
-FEATURES = "features"
+OWN = "_plumbline_"  # what working columns begin with; input columns may not
+FEATURES = OWN + "features"
 
 
 @dataclass(frozen=True)
@@ -118,27 +119,27 @@ def stages(df: DataFrame, plan: Plan) -> list[Estimator | Transformer]:
         value = value_sql(df, plan, c)
         if plan.scales:
             value = f"(({value}) - {plan.means[c]!r}D) / {plan.scales[c]!r}D"
-        exprs.append(f"{value} AS _x{i}")
-        inputs.append(f"_x{i}")
+        exprs.append(f"{value} AS {OWN}x{i}")
+        inputs.append(f"{OWN}x{i}")
     for i, c in enumerate(plan.roles.nominal):
-        exprs.append(f"coalesce(cast({quoted(c)} as string), {_sql_text(plan.modes.get(c, ''))}) AS _c{i}")
+        exprs.append(f"coalesce(cast({quoted(c)} as string), {_sql_text(plan.modes.get(c, ''))}) AS {OWN}c{i}")
     made: list[Estimator | Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
     k = len(plan.roles.nominal)
     if k:
         # The slot kept for unseen levels is the one the encoder drops: unseen becomes all zeros.
         made.append(
             StringIndexer(
-                inputCols=[f"_c{i}" for i in range(k)], outputCols=[f"_i{i}" for i in range(k)],
+                inputCols=[f"{OWN}c{i}" for i in range(k)], outputCols=[f"{OWN}i{i}" for i in range(k)],
                 stringOrderType="alphabetAsc", handleInvalid="keep",
             )
         )
         made.append(
             OneHotEncoder(
-                inputCols=[f"_i{i}" for i in range(k)], outputCols=[f"_h{i}" for i in range(k)],
+                inputCols=[f"{OWN}i{i}" for i in range(k)], outputCols=[f"{OWN}h{i}" for i in range(k)],
                 dropLast=True,
             )
         )
-        inputs += [f"_h{i}" for i in range(k)]
+        inputs += [f"{OWN}h{i}" for i in range(k)]
     made.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
     return made
 
@@ -146,7 +147,7 @@ def stages(df: DataFrame, plan: Plan) -> list[Estimator | Transformer]:
 def working_columns(plan: Plan) -> list[str]:
     n = len(plan.roles.numeric + plan.roles.ordinal)
     k = len(plan.roles.nominal)
-    return [f"_x{i}" for i in range(n)] + [f"_{p}{i}" for p in "cih" for i in range(k)] + [FEATURES]
+    return [f"{OWN}x{i}" for i in range(n)] + [f"{OWN}{p}{i}" for p in "cih" for i in range(k)] + [FEATURES]
 
 
 def matrix(df: DataFrame, roles: Roles, scale: bool = True):

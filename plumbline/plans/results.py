@@ -30,7 +30,17 @@ def fingerprint(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (trust_levels, json_rows, fingerprint)}
 
+# A cell's text in the fingerprint: type, length, value; the types are those of the table's schema.
+_CELLS = ", ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE '{kind}:' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    for c, kind in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+                    ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))
+)
+
 ORACLE: dict[str, str] = {
+    "fingerprint": f"""
+        SELECT count(*) AS n_rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS checksum, bit_xor(h) AS parity
+        FROM (SELECT CAST('0x' || substr(md5(concat_ws(',', {_CELLS})), 1, 15) AS BIGINT) AS h FROM orders)""",
     "trust_levels": """
         SELECT o_custkey, count(*) AS n, CASE WHEN count(*) < 5 THEN 'low' WHEN count(*) < 10 THEN 'moderate' ELSE 'high' END
                AS level FROM orders GROUP BY o_custkey""",

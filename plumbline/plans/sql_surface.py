@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guard import run_query
 from ..sources.readers import empty_table, insert_rows
-from .common import Query, register_views, table
+from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -14,8 +14,7 @@ ORACLE: dict[str, str] = {}
 
 def _sql(name: str, views: str, spark_sql: str, duck_sql: str | None = None) -> None:
     def run(spark, sf_dir):
-        register_views(spark, sf_dir, *views.split())
-        return run_query(spark, spark_sql)
+        return run_query(spark, spark_sql, {v: table(spark, sf_dir, v) for v in views.split()})
 
     QUERIES[name] = run
     ORACLE[name] = duck_sql or spark_sql
@@ -144,10 +143,10 @@ _sql("create_table_select", "lineitem", """
 
 def insert_into_typed(spark, sf_dir):
     """A typed empty table filled by position from a SELECT, then from VALUES."""
-    register_views(spark, sf_dir, "customer")
     target = empty_table(spark, [("id", "bigint"), ("label", "varchar(40)"), ("balance", "double")])
-    filled = insert_rows(target, run_query(spark, "SELECT c_custkey, trim(c_name), c_acctbal FROM customer"))
-    return insert_rows(filled, run_query(spark, "VALUES (-1, 'extra', 1.5), (-2, 'other', 2.5)"))
+    customer = {"customer": table(spark, sf_dir, "customer")}
+    filled = insert_rows(target, run_query(spark, "SELECT c_custkey, trim(c_name), c_acctbal FROM customer", customer))
+    return insert_rows(filled, run_query(spark, "VALUES (-1, 'extra', 1.5), (-2, 'other', 2.5)", {}))
 
 
 def write_back_flag(spark, sf_dir):

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-import re
 import secrets
 import string
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import Any
+from urllib.parse import quote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .functions import guard
+from .functions.clean import field_type
+from .functions.stages import settle
 from .operators import learn, prep, relate
 from .sources.readers import empty_table, insert_rows, read_table, stem, table_name
 from .table import Table
@@ -92,18 +95,17 @@ class Session:
     def create_table(self, name: str, columns: Sequence[tuple[str, str]] | None = None, select_sql: str | None = None) -> Table:
         if (columns is None) == (select_sql is None):
             raise ValueError("Give either columns (an empty table) or select_sql, not both.")
-        df = empty_table(self.spark, list(columns)) if columns is not None else self.run_sql(select_sql)
+        df = empty_table(self.spark, list(columns)) if columns is not None else settle(self.run_sql(select_sql))
         return self._add(table_name(name, list(self._tables)), df)
 
     def insert_into(self, name: str, source_sql: str) -> dict[str, int]:
         """Append rows by column position; ``{inserted, n_rows}``."""
         table = self.table(name)
-        source = self.run_sql(source_sql)
-        before = table.count_rows()
-        table.replace(insert_rows(table.df, source))
+        added = settle(insert_rows(table.df.limit(0), self.run_sql(source_sql)))  # written once, whatever is asked later
+        inserted = added.count()
+        table.replace(table.df.unionByName(added))
         table._types.clear()
-        total = table.count_rows()
-        return {"inserted": total - before, "n_rows": total}
+        return {"inserted": inserted, "n_rows": table.count_rows()}
 
     # --- asking ---------------------------------------------------------------------------
 
@@ -118,13 +120,7 @@ class Session:
 
     def run_sql(self, query: str) -> DataFrame:
         """A read-only query; this session's tables, and no other's, are visible by their bare names."""
-        for name, table in self._tables.items():
-            table.df.createOrReplaceTempView(name)
-        try:
-            return guard.run_query(self.spark, query)  # names are resolved here, once
-        finally:
-            for name in self._tables:
-                self.spark.catalog.dropTempView(name)
+        return guard.run_query(self.spark, query, self._frames())
 
     def query(self, query: str, limit: int = 1000) -> dict[str, Any]:
         """First ``limit`` rows and whether there are more; only limit + 1 rows are fetched."""
@@ -186,7 +182,7 @@ class Session:
                                        "updated_at": now, "tables": tables})
 
     def _model_folder(self, table: str, model: str) -> str:
-        return f"{self.folder}/models/{table}__{re.sub(r'[^A-Za-z0-9_]+', '_', model)}"
+        return f"{self.folder}/models/{table}__{quote(model, safe='')}"
 
     def save_model(self, table: Table, name: str) -> None:
         if self.folder is None:
@@ -195,8 +191,12 @@ class Session:
         folder = self._model_folder(table.name, name)
         m.fitted.write().overwrite().save(f"{folder}/pipeline")
         m.data.write.mode("overwrite").parquet(f"{folder}/data")
+        kind = field_type(m.data, m.target)
+        classes = self.spark.createDataFrame(
+            list(enumerate(m.classes)), T.StructType([T.StructField("i", T.IntegerType()), T.StructField("class", kind)]))
+        classes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/classes")  # typed: dates and decimals come back as such
         _write_json(self.spark, f"{folder}/model.json", {
-            "target": m.target, "task": m.task, "algorithm": m.algorithm, "classes": m.classes, "n_rows": m.n_rows,
+            "target": m.target, "task": m.task, "algorithm": m.algorithm, "n_rows": m.n_rows,
             "numeric": m.roles.numeric, "nominal": m.roles.nominal, "ordinal": m.roles.ordinal,
         })
         self._write_meta()
@@ -213,7 +213,8 @@ class Session:
             roles = prep.Roles(*(tuple(info[k]) for k in ("numeric", "nominal", "ordinal")))
             table.models[name] = learn.TrainedModel(
                 PipelineModel.load(f"{folder}/pipeline"), roles, info["target"], info["task"], info["algorithm"],
-                info["classes"], self.spark.read.parquet(f"{folder}/data"), info["n_rows"])
+                [r["class"] for r in self.spark.read.parquet(f"{folder}/classes").orderBy("i").collect()],
+                self.spark.read.parquet(f"{folder}/data"), info["n_rows"])
             table.unloaded_models.pop(name, None)
         except Exception as exc:
             table.unloaded_models[name] = f"{type(exc).__name__}: {str(exc)[:200]}"

@@ -77,6 +77,8 @@ class Table:
         else:
             if not on:
                 raise ValueError("A frame is written back by key: name the key columns.")
+            if value.groupBy(*[quoted(k) for k in on]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+                raise ValueError(f"The frame has several rows for one key {list(on)}; there is no single value to write back.")
             base = self.df.drop(name)
             df = base.join(value.select(*[quoted(k) for k in on], quoted(name)), list(on), "left")
             df = df.select(*[quoted(c) for c in base.columns], quoted(name))
