@@ -79,5 +79,4 @@ def key_number(df: DataFrame, name: str) -> Column:
         return column.cast("double")
     if isinstance(kind, TEMPORAL):
         return micros(df, name).cast("double")
-    prefix = F.rpad(F.hex(F.encode(column.cast("string"), "UTF-8")), 14, "0")
-    return F.conv(prefix, 16, 10).cast("double")
+    raise ValueError(f"{name!r} is neither a number nor a time.")

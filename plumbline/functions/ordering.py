@@ -16,10 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import key_number, quoted
+from .clean import NUMERIC, TEMPORAL, field_type, key_number, quoted
 from .stages import settle
 
 _MAX_RANGES = 20_000
+_TEXT_CUTS, _TEXT_SAMPLE = 127, 4096
 COUNT, RANGE = "_count", "_range"
 
 
@@ -52,6 +53,36 @@ def with_range(df: DataFrame, column: str, cuts: Sequence[float], out: str = RAN
     return stage.transform(df).withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
+def with_cell(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_cell``, a number that never decreases as the key grows; only the layout of the work depends on it.
+
+    Text is cut at whole texts, so keys that begin alike spread as well as others.
+    """
+    if isinstance(field_type(df, key), NUMERIC + TEMPORAL):
+        ranged = df.withColumn("_keynum", key_number(df, key))
+        return with_range(ranged, "_keynum", boundaries(ranged, ["_keynum"])["_keynum"], "_cell").drop("_keynum")
+    text = F.col(quoted(key)).cast("string")
+    return df.withColumn("_cell", F.coalesce(_text_cell(text, text_boundaries(df, key)), F.lit(0)))
+
+
+def text_boundaries(df: DataFrame, key: str) -> list[str]:
+    """At most ``_TEXT_CUTS`` increasing texts from a random sample of rows, in the order Spark compares text."""
+    text = F.col(quoted(key)).cast("string").alias("k")
+    sample = df.select(text).where(F.col("k").isNotNull()).orderBy(F.rand(7)).limit(_TEXT_SAMPLE).collect()
+    found = sorted({r["k"] for r in sample}, key=lambda k: k.encode())
+    step = max(1, len(found) // (_TEXT_CUTS + 1))
+    return found[step::step][:_TEXT_CUTS]
+
+
+def _text_cell(text: Column, cuts: Sequence[str], first: int = 0) -> Column:
+    """How many cuts are at or below the text, by comparing with the middle one, then in one half."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(text < F.lit(cuts[middle]), _text_cell(text, cuts[:middle], first)).otherwise(
+        _text_cell(text, cuts[middle + 1:], first + middle + 1))
+
+
 def _cols(names: Iterable[str]) -> list[Column]:
     return [F.col(quoted(n)) for n in names]
 
@@ -188,13 +219,13 @@ def ordinal_positions(df: DataFrame, values: Sequence[str], key: str) -> DataFra
 
     All value columns are ordered in one job, without a global sort; ties go by key.
     """
-    ranged = df.withColumn("_keynum", key_number(df, key))
-    cuts = boundaries(ranged, [*values, "_keynum"])
+    ranged = with_cell(df, key)
+    cuts = boundaries(df, values)
     parts = []
     for i, v in enumerate(values):
         ranged = with_range(ranged, v, cuts[v], f"_r{i}")
         parts.append(f"'{v}', cast({quoted(v)} as double), _r{i}")
-    cells = with_range(ranged, "_keynum", cuts["_keynum"], "_cell").select(
+    cells = ranged.select(
         F.col(quoted(key)).alias("key"), "_cell", F.expr(f"stack({len(values)}, {', '.join(parts)}) as (column, value, {RANGE})")
     )
     return _number(cells, ["column"], "value", "key")
@@ -202,9 +233,7 @@ def ordinal_positions(df: DataFrame, values: Sequence[str], key: str) -> DataFra
 
 def series_positions(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
     """All columns plus ``position`` and ``n_positions`` within each ``by`` group, by (value, key)."""
-    ranged = df.withColumn("_keynum", key_number(df, key))
-    cuts = boundaries(ranged, [value, "_keynum"])
-    cells = with_range(with_range(ranged, "_keynum", cuts["_keynum"], "_cell"), value, cuts[value]).drop("_keynum")
+    cells = with_range(with_cell(df, key), value, boundaries(df, [value])[value])
     return _number(cells, by, value, key)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.clean import NUMERIC, field_type, numeric, quoted
 from ..functions.hashing import hash_text
 from ..functions.joins import lookup
-from ..functions.ordering import COUNT, place, with_range
+from ..functions.ordering import COUNT, boundaries, place, with_range
 from ..functions.stages import settle
 from .prep import FEATURES, OWN, Roles, learn, stages
 
@@ -241,11 +241,10 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def class_auc(df: DataFrame) -> DataFrame:
     """From ``(class, positive, score)``: ``(class, n_pos, n_neg, auc)``, one-vs-rest, ties halved.
 
-    Scores are counted per (class, score) and cut at fixed ranges of [0, 1], so no class
-    is ranked in one task.
+    Scores are counted per (class, score) and cut where they lie, so no class is ranked in one task.
     """
     counts = df.groupBy("class", "positive", "score").agg(F.count(F.lit(1)).alias(COUNT))
-    cuts = [i / 64 for i in range(1, 64)]
+    cuts = boundaries(df, ["score"])["score"]
     placed = place(with_range(counts, "score", cuts), "score", ["class"])
     c = F.col(COUNT).cast("double")
     rank = F.col("less") + (F.col("ties") + 1) / 2

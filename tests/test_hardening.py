@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 from plumbline import Session
-from plumbline.functions import guard, hashing, stages, tails
+from plumbline.functions import guard, hashing, ordering, stages, tails
 from plumbline.operators import associate, basket, causal, learn, prep
 
 
@@ -124,3 +124,12 @@ def test_intermediate_results_need_a_shared_folder(spark):
     assert spark.sparkContext.applicationId in folder
     source = open(stages.__file__).read()
     assert "tempfile" not in source and "RuntimeError" in source
+
+
+def test_text_keys_with_a_common_beginning_spread_over_cells(spark):
+    df = spark.range(5000).selectExpr("concat('Customer#000000000', lpad(id, 9, '0')) AS k", "1.0D AS v")
+    cells = ordering.with_cell(df, "k").selectExpr("k", "_cell").collect()
+    assert len({r._cell for r in cells}) > 50
+    assert [r._cell for r in sorted(cells, key=lambda r: r.k)] == sorted(r._cell for r in cells)
+    placed = ordering.ordinal_positions(df, ["v"], "k").collect()
+    assert [r.position for r in sorted(placed, key=lambda r: r.key)] == list(range(1, 5001))
