@@ -42,7 +42,7 @@ def _silhouette(model, data: DataFrame, n: int) -> float | None:
     return float(scorer.evaluate(model.transform(data)))
 
 
-def kmeans(df: DataFrame, roles: Roles, k: int | None = None, restarts: int = 3) -> Clustering:
+def kmeans(df: DataFrame, roles: Roles, k: int | None = None, restarts: int = 10) -> Clustering:
     """Label rows; without ``k`` the best silhouette among 2 … 10 decides, smallest k first."""
     encoded, _, plan = matrix(df.drop(LABEL), roles)
     data = encoded.select(FEATURES).persist()

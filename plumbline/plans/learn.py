@@ -71,13 +71,13 @@ def eval_reg(spark, sf_dir):
 
 
 def kmeans_orders(spark, sf_dir):
-    found = cluster.kmeans(table(spark, sf_dir, "orders"), prep.Roles(("o_totalprice", "o_custkey")), k=4, restarts=1)
+    found = cluster.kmeans(table(spark, sf_dir, "orders"), prep.Roles(("o_totalprice", "o_custkey")), k=4)
     return found.labelled.select("o_orderkey", "cluster")
 
 
 def kmeans_choose(spark, sf_dir):
     """The chosen k and its silhouette, k from 2 to 10."""
-    found = cluster.kmeans(table(spark, sf_dir, "customer"), prep.Roles(("c_acctbal", "c_nationkey")), restarts=1)
+    found = cluster.kmeans(table(spark, sf_dir, "customer"), prep.Roles(("c_acctbal", "c_nationkey")))
     return spark.createDataFrame([(found.k, found.silhouette)], "k int, silhouette double")
 
 
@@ -102,7 +102,7 @@ def pca_lineitem(spark, sf_dir):
 def _order_model(spark, sf_dir, task="classification"):
     target, roles = ("o_orderstatus", _ORDERS) if task == "classification" else ("o_totalprice", prep.Roles(
         ("o_custkey",), ("o_orderpriority", "o_orderstatus")))
-    return learn.train(table(spark, sf_dir, "orders"), target, task, roles, ["o_orderkey"], rounds=10, depth=4)
+    return learn.train(table(spark, sf_dir, "orders"), target, task, roles, ["o_orderkey"])
 
 
 def train_predict(spark, sf_dir):
@@ -113,7 +113,7 @@ def train_predict(spark, sf_dir):
 
 def _line_model(spark, sf_dir):
     roles = prep.Roles(("l_quantity", "l_discount", "l_tax"), ("l_returnflag",))
-    return learn.train(table(spark, sf_dir, "lineitem"), "l_extendedprice", "regression", roles, _KEYS, rounds=5, depth=4)
+    return learn.train(table(spark, sf_dir, "lineitem"), "l_extendedprice", "regression", roles, _KEYS)
 
 
 def train_regression_metrics(spark, sf_dir):
@@ -122,21 +122,48 @@ def train_regression_metrics(spark, sf_dir):
 
 def train_binary_metrics(spark, sf_dir):
     roles = prep.Roles(("l_quantity", "l_extendedprice"), ("l_returnflag",))
-    model = learn.train(table(spark, sf_dir, "lineitem"), "l_linestatus", "classification", roles, _KEYS, rounds=5, depth=4)
+    model = learn.train(table(spark, sf_dir, "lineitem"), "l_linestatus", "classification", roles, _KEYS)
     found = learn.holdout_metrics(model)
     return spark.createDataFrame([{k: v for k, v in found.items() if k != "confusion_matrix"}])
 
 
 def perm_importance(spark, sf_dir):
-    return interpret.permutation_importance(_line_model(spark, sf_dir), repeats=3)
+    return interpret.permutation_importance(_line_model(spark, sf_dir))
 
 
 def shapley_rows(spark, sf_dir):
     """Contributions to every customer's predicted balance."""
     df = table(spark, sf_dir, "customer")
     roles = prep.Roles(("c_nationkey",), ("c_mktsegment",))
-    model = learn.train(df, "c_acctbal", "regression", roles, ["c_custkey"], rounds=5, depth=3)
-    return interpret.shapley(model, df, "c_custkey", background=10, orderings=2)
+    model = learn.train(df, "c_acctbal", "regression", roles, ["c_custkey"])
+    return interpret.shapley(model, df, "c_custkey")
+
+
+def shapley_sums(spark, sf_dir):
+    """Per customer: contributions add up to prediction minus base, one for each feature."""
+    gap = F.sum("contribution") - F.first("prediction") + F.first("base_value")
+    return shapley_rows(spark, sf_dir).groupBy("c_custkey").agg(
+        F.count(F.lit(1)).alias("n_features"), (F.abs(gap) < 1e-6).alias("adds_up"))
+
+
+def kmeans_nearest(spark, sf_dir):
+    """Orders, those in a cluster whose centre (the mean of its scaled rows) is the nearest, and distinct clusters."""
+    roles = prep.Roles(("o_totalprice", "o_custkey"))
+    orders = prep.scaled_columns(table(spark, sf_dir, "orders"), roles)
+    found = cluster.kmeans(orders, roles, k=4).labelled
+    x, y = "o_totalprice_scaled", "o_custkey_scaled"
+    centres = found.groupBy("cluster").agg(F.avg(x).alias("cx"), F.avg(y).alias("cy")).collect()  # four
+    near = F.least(*[(F.col(x) - c["cx"]) ** 2 + (F.col(y) - c["cy"]) ** 2 for c in centres])
+    own = F.coalesce(*[F.when(F.col("cluster") == c["cluster"], (F.col(x) - c["cx"]) ** 2 + (F.col(y) - c["cy"]) ** 2) for c in centres])
+    share = F.avg((own <= near + 1e-2).cast("double"))  # the fit stops a little before the means stand still
+    return found.agg(F.count(F.lit(1)).alias("n"), (share > 0.99).alias("nearest"), F.countDistinct("cluster").alias("k"))
+
+
+def pca_two(spark, sf_dir):
+    """Two scaled columns turn by 45 degrees: scores are their sum and difference over the root of two."""
+    out, _, _ = cluster.principal_components(table(spark, sf_dir, "lineitem"), prep.Roles(("l_quantity", "l_extendedprice")), 2)
+    a, b = F.abs("pca_0"), F.abs("pca_1")  # which axis comes first hangs on the sign of the correlation
+    return rounded(out.select(*_KEYS, F.greatest(a, b).alias("far"), F.least(a, b).alias("near")), 6, "far", "near")
 
 
 def metric_tree(spark, sf_dir):
@@ -145,12 +172,19 @@ def metric_tree(spark, sf_dir):
     return rounded(tree.segments(), 4, "mean")
 
 
+def metric_tree_totals(spark, sf_dir):
+    """What the leaves of a tree hold together: all rows, and the mean of the whole."""
+    leaves = metric_tree(spark, sf_dir).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    return rounded(leaves, 2, "mean")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         prep_scaled, prep_onehot, class_counts, split_check, split_plain, eval_class, eval_confusion, eval_auc,
         eval_reg, kmeans_orders, kmeans_choose, cluster_numbers, cluster_categories, pca_lineitem, train_predict,
-        train_regression_metrics, train_binary_metrics, perm_importance, shapley_rows, metric_tree,
+        train_regression_metrics, train_binary_metrics, perm_importance, shapley_rows, shapley_sums, metric_tree,
+        metric_tree_totals, kmeans_nearest, pca_two,
     )
 }
 
@@ -180,6 +214,14 @@ def _dominant_sql(c: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "shapley_sums": "SELECT c_custkey, CAST(2 AS BIGINT) AS n_features, true AS adds_up FROM customer",
+    "kmeans_nearest": "SELECT count(*) AS n, true AS nearest, CAST(4 AS BIGINT) AS k FROM orders",
+    "metric_tree_totals": "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 2) + 0.0 AS mean FROM lineitem",
+    "pca_two": f"""
+        SELECT {_KEYS_SQL}, round(greatest(abs(a + b), abs(a - b)) / sqrt(2), 6) + 0.0 AS far,
+               round(least(abs(a + b), abs(a - b)) / sqrt(2), 6) + 0.0 AS near
+        FROM (SELECT *, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a,
+                     (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem)""",
     "prep_scaled": f"""
         SELECT {_KEYS_SQL}, {_scaled_sql('l_quantity')}, {_scaled_sql('l_extendedprice')}, {_scaled_sql('l_linenumber')}
         FROM lineitem""",
