@@ -1,4 +1,4 @@
-"""Change points of one bounded series: PELT (Killick et al. 2012) with a Gaussian-kernel cost."""
+"""Change points of one bounded stretch of a series: PELT (Killick et al. 2012) with a Gaussian-kernel cost."""
 
 from __future__ import annotations
 
@@ -37,15 +37,54 @@ def _kth_gap(s: np.ndarray, k: int) -> float:
     return hi
 
 
-def change_points(x: np.ndarray, penalty: float) -> list[int]:
+def weighted_median_square_gap(values: np.ndarray, counts: np.ndarray) -> float:
+    """The same from values with counts, as a histogram gives them: every pair of different rows counts."""
+    gaps = ((values[:, None] - values[None, :]) ** 2).ravel()
+    pairs = np.outer(counts, counts).astype(float) - np.diag(counts)
+    order = np.argsort(gaps)
+    below = np.cumsum(pairs.ravel()[order])
+    return float(gaps[order][np.searchsorted(below, below[-1] / 2)]) if len(values) and below[-1] else 0.0
+
+
+def scale_of(spread: float) -> float:
+    return 1.0 / spread if spread > 0 else 1.0
+
+
+def best_intervals(histograms: np.ndarray, centres: np.ndarray, gamma: float, penalty: float) -> list[int]:
+    """Which of the given consecutive intervals start a segment, the first left out.
+
+    Interval i has ``histograms[i, b]`` points near ``centres[b]``. Kernel sums of a run of intervals follow from
+    prefix sums of the histograms, so every partition is weighed without the points.
+    """
+    kernel = np.exp(-np.clip(gamma * (centres[:, None] - centres[None, :]) ** 2, *CLIP))
+    prefix = np.vstack([np.zeros(histograms.shape[1]), np.cumsum(histograms, axis=0)])
+    gram = prefix @ kernel @ prefix.T
+    size = prefix.sum(1)
+    own = 1.0 - np.exp(-CLIP[0])  # a point with itself counts 1, not the clipped kernel
+    best, came_from = np.zeros(len(size)), np.zeros(len(size), int)
+    for end in range(1, len(size)):
+        n = size[end] - size[:end]
+        sums = gram[end, end] - 2 * gram[:end, end] + np.diag(gram)[:end] + own * n
+        total = best[:end] + n - sums / np.maximum(n, 1) + penalty
+        came_from[end] = int(total.argmin())
+        best[end] = total[came_from[end]]
+    starts, at = [], len(size) - 1
+    while at > 0:
+        at = came_from[at]
+        if at > 0:
+            starts.append(int(at))
+    return starts[::-1]
+
+
+def change_points(x: np.ndarray, penalty: float, gamma: float | None = None) -> list[int]:
     """Positions where a new segment starts (the end of the series is left out).
 
     Kernel sums of every open segment grow by one point at a time, so memory stays linear.
     """
     x = np.asarray(x, dtype=float)
     n = len(x)
-    spread = median_square_gap(x)
-    gamma = 1.0 / spread if spread > 0 else 1.0
+    if gamma is None:
+        gamma = scale_of(median_square_gap(x))
     starts = np.arange(0, n, JUMP)
     kernel = np.zeros(len(starts))  # sum of the kernel over the segment from each start
     best = {0: 0.0}

@@ -16,7 +16,7 @@ from ..functions import arima
 from ..functions.clean import micros, numeric, quoted, require
 from ..functions.joins import lookup
 from ..functions.ordering import quantiles, series_positions
-from ..functions.pelt import change_points
+from ..functions.pelt import JUMP, best_intervals, change_points, scale_of, weighted_median_square_gap
 from ..functions.stages import settle
 from .associate import two_samples
 
@@ -28,7 +28,8 @@ MIN_DECOMPOSE = 4
 MIN_CHANGE = 4
 BLOCK = 20_000
 MERGE = 64
-MAX_CHANGE_POINTS_ROWS = 50_000
+#: Points of a block that proposes changes, intervals decided together, bins of their histograms.
+CHANGE_BLOCK, CHANGE_CHUNK, CHANGE_BINS = 20_000, 256, 512
 
 
 def bucketed(df: DataFrame, time: str, value: str, unit: str, agg: str = "sum", series: str | None = None) -> DataFrame:
@@ -303,13 +304,16 @@ def _long_forecast(points: DataFrame, horizon: int, block: int) -> DataFrame:
 # --- change points ------------------------------------------------------------------------
 
 
-def changepoints(points: DataFrame, penalty: float = 10.0) -> DataFrame:
-    """``(series, segment, start, end, mean, n)`` of every series of 4 … 50,000 points.
+def changepoints(points: DataFrame, penalty: float = 10.0, block: int = CHANGE_BLOCK, chunk: int = CHANGE_CHUNK) -> DataFrame:
+    """``(series, segment, start, end, mean, n)`` of every series of 4 points or more.
 
-    The kernel cost compares all points of a series with each other, so longer series are
-    not answered here (see :func:`changepoint_status`); bucket them to a coarser step.
+    The kernel cost compares all points of a stretch. Overlapping blocks of a series propose changes; all points then
+    count in the histograms of the intervals between proposals, and a second pass over overlapping chunks of intervals
+    decides which proposals stay, with kernel sums that follow from the histograms. No task sees more than a block. A
+    series within one block has exact costs throughout, so its proposals are the answer.
     """
     kind = _series_type(points)
+    usable = points.where(F.col("n") >= MIN_CHANGE)
 
     def segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -320,19 +324,97 @@ def changepoints(points: DataFrame, penalty: float = 10.0) -> DataFrame:
             columns=["series", "segment", "start", "end", "mean", "n"],
         )
 
-    usable = points.where((F.col("n") >= MIN_CHANGE) & (F.col("n") <= MAX_CHANGE_POINTS_ROWS))
-    found = usable.groupBy("series").applyInPandas(
+    found = usable.where(F.col("n") <= block).groupBy("series").applyInPandas(
         segments, f"series {kind}, segment int, start long, end long, mean double, n long"
     )
+    long_points = usable.where(F.col("n") > block)
+    named, unnamed = long_points.where(F.col("series").isNotNull()), long_points.where(F.col("series").isNull())
+    if not named.isEmpty():
+        found = found.unionByName(_long_changes(named, penalty, block, chunk))
+    if not unnamed.isEmpty():  # joins below would lose a null key
+        one = _long_changes(unnamed.withColumn("series", F.lit(0)), penalty, block, chunk)
+        found = found.unionByName(one.withColumn("series", F.lit(None).cast(kind)))
     return found.withColumns({c: as_time(F.col(c)) for c in ("start", "end")})
 
 
+def _same(key: tuple, n: int) -> pd.Series:
+    return pd.Series([key[0]] * n, dtype=object)
+
+
+def _long_changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataFrame:
+    kind = _series_type(points)
+    low, high = (F.percentile_approx("v", q, 1000) for q in (0.005, 0.995))
+    spans = settle(points.groupBy("series").agg(low.alias("low"), high.alias("high")))  # a row per long series
+    share = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
+    at = F.floor(F.coalesce(share, F.lit(0.0)) * CHANGE_BINS)
+    binned = settle(points.join(spans, "series").withColumn(
+        "bin", F.greatest(F.lit(0), F.least(F.lit(CHANGE_BINS - 1), at)).cast("int")).drop("low", "high"))
+
+    def scales(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        gamma = scale_of(weighted_median_square_gap(pdf["centre"].to_numpy(), pdf["c"].to_numpy()))
+        return pd.DataFrame({"series": _same(key, 1), "gamma": [gamma], "bins": [pdf["bin"].tolist()], "centres": [pdf["centre"].tolist()]})
+
+    bins = binned.groupBy("series", "bin").agg(F.avg("v").alias("centre"), F.count(F.lit(1)).alias("c"))
+    scale = settle(bins.groupBy("series").applyInPandas(  # at most CHANGE_BINS rows each
+        scales, f"series {kind}, gamma double, bins array<int>, centres array<double>"))
+
+    step = max(JUMP, block * 3 // 4 // JUMP * JUMP)
+
+    def propose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        cuts = change_points(pdf["v"].to_numpy(), penalty, float(pdf["gamma"].iloc[0])) if len(pdf) >= MIN_CHANGE else []
+        return pd.DataFrame({"series": _same(key, len(cuts)), "pos": pdf["pos"].to_numpy()[cuts]})
+
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - block) / step) + 1)
+    cells = binned.join(scale.select("series", "gamma"), "series").withColumn(
+        "cell", F.explode(F.sequence(first.cast("long"), F.floor(F.col("pos") / step).cast("long"))))
+    proposed = settle(cells.groupBy("series", "cell").applyInPandas(propose, f"series {kind}, pos long").distinct())
+
+    # Number of proposals at or before a point: inside its cell, and in the cells before.
+    marked = binned.join(proposed.withColumn("mark", F.lit(1)), ["series", "pos"], "left").withColumn("cell", F.floor(F.col("pos") / step))
+    inside = Window.partitionBy("series", "cell").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("series").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = proposed.groupBy("series", F.floor(F.col("pos") / step).alias("cell")).agg(F.count(F.lit(1)).alias("m"))
+    every = binned.select("series", F.floor(F.col("pos") / step).alias("cell")).distinct()
+    offsets = every.join(offsets, ["series", "cell"], "left").select(
+        "series", "cell", F.coalesce(F.sum(F.coalesce("m", F.lit(0))).over(before), F.lit(0)).alias("ahead"))
+    numbered = marked.withColumn("own", F.sum(F.coalesce("mark", F.lit(0))).over(inside)).join(offsets, ["series", "cell"]).withColumn(
+        "interval", F.col("own") + F.col("ahead"))
+    pieces = settle(numbered.groupBy("series", "interval", "bin").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.min(F.struct("pos", "t")).alias("first"), F.max(F.struct("pos", "t")).alias("last")))
+
+    margin = chunk // 4
+    part = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("interval") - margin) / chunk)).cast("long"),
+                                F.floor((F.col("interval") + margin) / chunk).cast("long")))
+
+    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        numbers = np.sort(pdf["interval"].unique())
+        where = {b: i for i, b in enumerate(pdf["bins"].iloc[0])}
+        table = np.zeros((len(numbers), len(where)))
+        table[np.searchsorted(numbers, pdf["interval"]), pdf["bin"].map(where)] = pdf["c"]
+        starts = best_intervals(table, np.array(pdf["centres"].iloc[0]), float(pdf["gamma"].iloc[0]), penalty)
+        kept = [int(numbers[i]) for i in starts if numbers[i] // chunk == key[1]]
+        return pd.DataFrame({"series": _same(key, len(kept)), "interval": pd.Series(kept, dtype="int64")})
+
+    chunks = pieces.select("series", "interval", "bin", "c").withColumn("part", part).join(scale, "series")
+    kept = settle(chunks.groupBy("series", "part").applyInPandas(decide, f"series {kind}, interval long"))
+    intervals = pieces.groupBy("series", "interval").agg(
+        F.sum("c").alias("c"), F.sum("s").alias("s"), F.min("first").alias("first"), F.max("last").alias("last"))
+    upto = Window.partitionBy("series").orderBy("interval").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        intervals.join(kept.withColumn("starts", F.lit(1)), ["series", "interval"], "left")
+        .withColumn("segment", F.sum(F.coalesce("starts", F.lit(0))).over(upto).cast("int"))
+        .groupBy("series", "segment")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.sum("s") / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+        .select("series", "segment", F.col("first.t").alias("start"), F.col("last.t").alias("end"), "mean", "n")
+    )
+
+
 def changepoint_status(points: DataFrame) -> DataFrame:
     """``(series, n, declined)``."""
     n = F.max("n")
-    return points.groupBy("series").agg(
-        n.alias("n"), ((n < MIN_CHANGE) | (n > MAX_CHANGE_POINTS_ROWS)).alias("declined")
-    )
+    return points.groupBy("series").agg(n.alias("n"), (n < MIN_CHANGE).alias("declined"))
 
 
 # --- before and after ---------------------------------------------------------------------

@@ -516,8 +516,7 @@ class Table:
         n = status[0] or 0
         meta = {"time_column": time, "value_column": value, "penalty": penalty, "n_points": n}
         if status[2] is None or status[2]:
-            limit = f"between {ts.MIN_CHANGE} and {ts.MAX_CHANGE_POINTS_ROWS}"
-            return declined_result("pelt_rbf", f"{status[1] or 0} points; {limit} can be searched (bucket longer series).", meta)
+            return declined_result("pelt_rbf", f"{status[1] or 0} points; at least {ts.MIN_CHANGE} are needed.", meta)
         frame = ts.changepoints(points, penalty)
         trust = from_sample_size(n, 30, 100, "points").note("Says where the series shifts, not why.")
         values: dict[str, Any] = {}
