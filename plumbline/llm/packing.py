@@ -8,6 +8,7 @@ of squared counts of open sequences with that gap becomes smallest; a new sequen
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 8192
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_ENTRIES = 500_000
+#: Per generation; the older of two is dropped when the younger is full.
+_CACHE_ENTRIES = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -43,9 +45,13 @@ class WordEncoder:
     _loaded: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.older = Tokenizer.from_file(path), {}, {}
+        tokens = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(tokens.values()) + 1, bool)
+        self.closing[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -53,10 +59,43 @@ class WordEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        for chunk, encoding in zip(chunks, found):
-            self.ids[chunk] = np.array(encoding.ids, "<u4").tobytes()
+        """Words of Latin letters go many at a time: each is one group of tokens, whose last closes a word."""
+        rest = []
+        for c in range(0, len(chunks), 512):
+            words, plain = [], []
+            for chunk in chunks[c : c + 512]:
+                word = chunk.decode()
+                simple = word.isalpha() and (word.isascii() or max(word) < "\u0250")
+                (plain if simple else rest).append(chunk)
+                if simple:
+                    words.append(word)
+            if not words:
+                continue
+            (ids,) = self._ids([" ".join(words)])
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(words):
+                rest += plain
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self.ids.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        for chunk, ids in zip(rest, self._ids([c.decode() for c in rest])):
+            self.ids[chunk] = ids.tobytes()
+
+    def _know(self, chunks: set[bytes]) -> list[bytes]:
+        """Of ``chunks``, those that are in neither generation of the cache; what the older one has moves up."""
+        new = []
+        for chunk in chunks:
+            if chunk not in self.ids:
+                known = self.older.get(chunk)
+                if known is None:
+                    new.append(chunk)
+                else:
+                    self.ids[chunk] = known
+        return new
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -64,12 +103,12 @@ class WordEncoder:
             text = text.lower()
         chunks = text.split()
         if len(self.ids) > _CACHE_ENTRIES:
-            self.ids = {}
-        new = set(chunks) - self.ids.keys()
+            self.ids, self.older = {}, self.ids
+        new = self._know(set(chunks))
         if new:
             ended = {c for c in new if len(c) > 1 and c[-1] in b".,!?;:" and (65 <= c[-2] <= 90 or 97 <= c[-2] <= 122)}
-            plain = (new - ended) | {c[:-1] for c in ended} | {c[-1:] for c in ended}
-            self._encode(list(plain - self.ids.keys()))
+            plain = {c for c in new if c not in ended} | {c[:-1] for c in ended} | {c[-1:] for c in ended}
+            self._encode(self._know(plain))
             for c in ended:  # a mark after a letter is a token group of its own
                 self.ids[c] = self.ids[c[:-1]] + self.ids[c[-1:]]
         return b"".join(map(self.ids.__getitem__, chunks))
