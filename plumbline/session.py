@@ -149,7 +149,7 @@ class Session:
 
     def __getattr__(self, name: str) -> Any:
         """With exactly one table, its analytics can be called on the session."""
-        if name.startswith("_") or not hasattr(Table, name):
+        if name.startswith("_") or not (hasattr(Table, name) or any(name in vars(t) for t in self._tables.values())):
             raise AttributeError(name)
         if len(self._tables) != 1:
             raise ValueError(f"There are {len(self._tables)} tables; call session.table(name).{name}(…).")

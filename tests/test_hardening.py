@@ -133,3 +133,11 @@ def test_text_keys_with_a_common_beginning_spread_over_cells(spark):
     assert [r._cell for r in sorted(cells, key=lambda r: r.k)] == sorted(r._cell for r in cells)
     placed = ordering.ordinal_positions(df, ["v"], "k").collect()
     assert [r.position for r in sorted(placed, key=lambda r: r.key)] == list(range(1, 5001))
+
+
+def test_one_table_session_shows_its_models(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/t.parquet")
+    session = Session.load(spark, [f"{tmp_path}/t.parquet"])
+    assert session.models == {} and session.count_rows() == 5
+    with pytest.raises(AttributeError):
+        session.no_such_thing
