@@ -33,10 +33,10 @@ from .common import SPACE, id_and_text, offsets_and_bytes, remainder
 FOLDS, HELD = 7, 2
 SPREAD = 64
 HOT_SHARE = 1000
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_500_000
 #: Bytes of text that one shard's counts come from.
 SHARD_BYTES = 16 << 20
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -239,8 +239,9 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
 class Mapped:
     """A file of one shard as an array: mapped where the store is mounted, else copied to the task's scratch."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, present: dict[str, frozenset[int]]):
         self.files, self.root = _open(folder)
+        self.present = present
         self.scratch = None if isinstance(self.files, pafs.LocalFileSystem) else tempfile.TemporaryDirectory()
         self.held: dict[str, np.ndarray] = {}
 
@@ -263,6 +264,8 @@ class Mapped:
         """Values of sorted keys, zero where a key is not there; ``shard`` goes up with the keys."""
         out = [np.zeros(len(key), kind) for kind in kinds]
         for s, p in _by_shard(shard, shards):
+            if s not in self.present[name]:
+                continue
             keys = self.get(f"{name}-{s}.0", np.uint64)
             if not len(keys):
                 continue
@@ -385,6 +388,11 @@ class Model:
     contexts_total: int
     left_over: float  # weight of the uniform distribution in that of the words
     hot: dict  # previous word: (total, n1, n2, n3)
+    present: dict  # kind of array: the shards that have any (at most 2**16 numbers)
+
+
+def _shards(sums: DataFrame) -> frozenset[int]:
+    return frozenset(r["shard"] for r in sums.select("shard").distinct().collect())
 
 
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
@@ -420,6 +428,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         folder, shards, n, v, discounts(*[counted[c] or 0 for c in ("c1", "c2", "c3", "c4")]), word_discounts,
         w["tokens"] or 0, left / w["tokens"] if w["tokens"] else 1.0,
         {r["word"] & _MASK: (r["total"], r["n1"], r["n2"], r["n3"]) for r in hot_rows},
+        {"words": _shards(sums), "pairs": (both := _shards(merged)), "contexts": both, "follows": _shards(follows)},
     )
 
 
@@ -463,7 +472,7 @@ def _score(model: Model):
         return np.log10(p), count.astype(np.int64)[token]
 
     def run(batches):
-        mapped = Mapped(model.folder)
+        mapped = Mapped(model.folder, model.present)
         scale = math.log10(model.tokens + model.kinds + 1)
         for part, hashes, starts in _batches(batches):
             logs, count = log_probabilities(mapped, hashes, starts)
