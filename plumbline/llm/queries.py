@@ -11,7 +11,7 @@ QUERIES = {
     "op10_simhash_dedup": lambda spark, d: simhash_dedup.near_duplicates(table(spark, d, "documents")),
     "op3_topk": lambda spark, d: topk.every_fiftieth(table(spark, d, "embeddings")),
     "op4_kneser_ney": lambda spark, d: kneser_ney.score_held_out(table(spark, d, "documents")),
-    "op5_line_dedup": lambda spark, d: line_dedup.line_report(table(spark, d, "documents")),
+    "op5_line_dedup": lambda spark, d: line_dedup.line_report(table(spark, d, "documents"), limit=None),
     "op6_toxicity": lambda spark, d: toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_unigram": lambda spark, d: unigram.encode_and_check(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
