@@ -343,12 +343,14 @@ def _same(key: tuple, n: int) -> pd.Series:
 
 def _long_changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataFrame:
     kind = _series_type(points)
-    low, high = (F.percentile_approx("v", q, 1000) for q in (0.005, 0.995))
-    spans = settle(points.groupBy("series").agg(low.alias("low"), high.alias("high")))  # a row per long series
-    share = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
-    at = F.floor(F.coalesce(share, F.lit(0.0)) * CHANGE_BINS)
-    binned = settle(points.join(spans, "series").withColumn(
-        "bin", F.greatest(F.lit(0), F.least(F.lit(CHANGE_BINS - 1), at)).cast("int")).drop("low", "high"))
+    # Bins at quantiles: each holds a like share of the points however far the rest lies out.
+    at = F.percentile_approx("v", [k / CHANGE_BINS for k in range(1, CHANGE_BINS)], 20 * CHANGE_BINS)
+    spans = settle(points.groupBy("series").agg(F.array_sort(F.array_distinct(at)).alias("cuts")))  # a row per long series
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(CHANGE_BINS.bit_length()))])
+    # Number of cuts at or below a value, by bisection.
+    below = F.aggregate(halves, F.lit(0), lambda found, half: F.when(
+        F.coalesce(F.get("cuts", found + half - 1) <= F.col("v"), F.lit(False)), found + half).otherwise(found))
+    binned = settle(points.join(spans, "series").withColumn("bin", below.cast("int")).drop("cuts"))
 
     def scales(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")

@@ -59,3 +59,18 @@ def test_long_series_are_answered(spark, n):
     assert sum(r["n"] for r in found) == n and not ts.changepoint_status(long).first()["declined"]
     assert [round(r["mean"]) for r in found] == [0, 6, -5]
     assert abs(found[0]["n"] - n // 3) <= 5 and abs(found[1]["n"] - n // 3) <= 10
+
+
+@pytest.mark.parametrize("kind", ["far", "heavy"])
+def test_far_off_points_do_not_hide_a_shift(spark, kind):
+    rng = np.random.default_rng(9)
+    x = steps([0, 5, -3], 1_000, 7)
+    if kind == "far":
+        x[rng.choice(len(x), len(x) // 100, replace=False)] = 1e6
+    else:
+        x = np.repeat([0.0, 5.0, -3.0], 1_000) + rng.standard_t(1.2, len(x))
+    exact = ts.changepoints(points(spark, {"a": x})).orderBy("segment").collect()
+    blocks = ts.changepoints(points(spark, {"a": x}), block=700).orderBy("segment").collect()
+    ends = lambda found: np.cumsum([r["n"] for r in found])
+    assert len(exact) == len(blocks) >= 3 and abs(ends(exact) - ends(blocks)).max() <= 5
+    assert abs(ends(blocks) - [1_000, 2_000, 3_000]).max() <= 5
