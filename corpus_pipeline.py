@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, the document with the smallest doc_id."""
+    """Of linked fingerprints (op10's 4-word shingles and four bits; looser copies stay), the document with the smallest doc_id."""
     return simhash_dedup.drop_near_copies(docs)
 
 
