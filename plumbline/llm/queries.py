@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    exact_dedup, kneser_ney, line_dedup, packing, quality, secret_scan, simhash_dedup, spelling, token_counts, topk,
-    toxicity, unigram,
+    conversations, exact_dedup, kneser_ney, line_dedup, packing, quality, secret_scan, simhash_dedup, spelling, token_counts,
+    topk, toxicity, unigram,
 )
 from .common import table
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op7_unigram": lambda spark, d: unigram.encode_and_check(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_secret_scan": lambda spark, d: secret_scan.scan_all(spark, table(spark, d, "documents")),
+    "op11_conversation_repair": lambda spark, d: conversations.repair_damaged(table(spark, d, "conversations")),
     "op12_token_counts": lambda spark, d: token_counts.count_tokens(table(spark, d, "documents")),
     "op13_spelling_variants": lambda spark, d: spelling.variants_of(table(spark, d, "documents")),
 }
