@@ -16,7 +16,7 @@ _SPREAD = 4096
 
 def lookup(
     df: DataFrame, key: str, table: DataFrame, table_key: str, weight: str, outs: dict[str, str],
-    settled: bool = False, broadcast_rows: int = BROADCAST_ROWS,
+    settled: bool = False, broadcast_rows: int = BROADCAST_ROWS, size: int | None = None,
 ) -> DataFrame:
     """Left-join ``table`` (one row per key) to ``df``, adding ``outs`` (table column → new name).
 
@@ -24,7 +24,8 @@ def lookup(
     ``broadcast_rows`` rows it is broadcast and the rows of ``df`` do not move. Beyond that
     only the hot keys by ``weight`` (the rows of ``df`` per key) are broadcast, fewer than a
     thousand by their definition; rows of hot or missing keys then pass the shuffle join
-    under spread-out keys that match nothing, so no partition collects them.
+    under spread-out keys that match nothing, so no partition collects them. ``size`` is the
+    number of rows of ``table`` where it is known.
     """
     if not settled:
         table = settle(table)
@@ -38,7 +39,7 @@ def lookup(
             *[values.getField(f"_v{i}").alias(n) for i, n in enumerate(outs.values())],
         )
 
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if (table.limit(broadcast_rows + 1).count() if size is None else size) <= broadcast_rows:
         small = table.select(F.col(quoted(table_key)).alias("_small"), F.struct(*payload).alias("_values"))
         return finish(df.join(F.broadcast(small), k == F.col("_small"), "left"), F.col("_values"))
 

@@ -44,7 +44,7 @@ def _silhouette(model, data: DataFrame, n: int) -> float | None:
 
 def kmeans(df: DataFrame, roles: Roles, k: int | None = None, restarts: int = 10) -> Clustering:
     """Label rows; without ``k`` the best silhouette among 2 … 10 decides, smallest k first."""
-    encoded, _, plan = matrix(df.drop(LABEL), roles)
+    encoded, plan = matrix(df.drop(LABEL), roles)
     data = encoded.select(FEATURES).persist()
     try:
         n = data.count()
@@ -88,7 +88,7 @@ def principal_components(df: DataFrame, roles: Roles, n: int = 2) -> tuple[DataF
 
     A component's sign is fixed by making its largest loading positive.
     """
-    encoded, _, plan = matrix(df, roles)
+    encoded, plan = matrix(df, roles)
     centred = StandardScaler(inputCol=FEATURES, outputCol="_centred", withMean=True, withStd=False).fit(encoded)
     ready = centred.transform(encoded)
     model = PCA(k=n, inputCol="_centred", outputCol="_scores").fit(ready)

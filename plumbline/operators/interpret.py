@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from ..functions.clean import numeric, quoted
 from ..functions.hashing import hash_text
 from ..functions.stages import settle
 from .learn import LABEL, PREDICTION, ROW, TrainedModel, hold_out, label_index
-from .prep import FEATURES, Roles, learn, value_sql
+from .prep import FEATURES, Roles, encode, encoded_names, learn
 
 # Shuffles per feature, smallest segment worth reporting.
 REPEATS = 10
@@ -26,6 +25,7 @@ MIN_LEAF = 0.05
 BLOCK = 1000
 BACKGROUND = 20
 ORDERINGS = 8
+_LISTED = 100
 
 
 def permuted_copies(df: DataFrame, features: Sequence[str], keep: Sequence[str], repeats: int, n: int) -> DataFrame:
@@ -174,7 +174,7 @@ class MetricTree:
         coded = Roles(roles.numeric, (), roles.nominal + roles.ordinal)
         present = df.where(F.col(quoted(target)).isNotNull())
         plan = learn(present, coded, scale=False)
-        self.levels = plan.levels
+        self._levels, self._sizes = plan.levels, plan.sizes
         self.classes: list[Any] = []
         if not continuous:
             self.classes = sorted(r[0] for r in present.select(quoted(target)).distinct().collect())
@@ -182,14 +182,12 @@ class MetricTree:
         else:
             present = present.withColumn(LABEL, numeric(present, target))
         rows = hold_out(present, keys or [*self.features, target])
-        exprs = ", ".join(f"{value_sql(present, plan, c)} AS _t{i}" for i, c in enumerate(self.features))
-        shape = SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
-        gather = VectorAssembler(inputCols=[f"_t{i}" for i in range(len(self.features))], outputCol=FEATURES)
+        gather = VectorAssembler(inputCols=encoded_names(plan), outputCol=FEATURES)
         learner = (DecisionTreeRegressor if continuous else DecisionTreeClassifier)(
             featuresCol=FEATURES, labelCol=LABEL, maxDepth=max_depth, minWeightFractionPerNode=MIN_LEAF, seed=0,
             leafCol="_leaf", maxBins=256,
         )
-        encoded = Pipeline(stages=[shape, gather]).fit(rows).transform(rows)
+        encoded = gather.transform(encode(rows, plan))
         self._data = settle(encoded.select(FEATURES, LABEL, "in_test"))  # read by both fits and every score
         self.model = learner.fit(self._data)
         self.importances = dict(
@@ -214,6 +212,17 @@ class MetricTree:
     def held_out_score(self) -> float:
         return self._score(self._checked, self._data.where("in_test"))
 
+    def _sides(self, name: str, cut: float) -> tuple[str, str]:
+        """Both sides of a split in words. Up to ``_LISTED`` levels are listed, more are told by the last on the lower side."""
+        if name not in self._levels:
+            return f"{name} <= {cut:.6g}", f"{name} > {cut:.6g}"
+        last, table = int(math.floor(cut)), self._levels[name]
+        if self._sizes[name] <= _LISTED:
+            levels = [r["level"] for r in table.orderBy("slot").collect()]
+            return f"{name} in {levels[: last + 1]}", f"{name} in {levels[last + 1:]}"
+        edge = table.where(F.col("slot") == last).first()["level"]
+        return f"{name} up to {edge!r}", f"{name} after {edge!r}"
+
     def rules(self) -> list[tuple[int, str]]:
         """``(leaf number, rule text)`` in tree order; at most 2^depth of them."""
         out: list[tuple[int, str]] = []
@@ -224,12 +233,7 @@ class MetricTree:
                 return
             split = node.split()
             name, cut = self.features[split.featureIndex()], split.threshold()
-            levels = self.levels.get(name)
-            low, high = (
-                (f"{name} in {levels[: int(math.floor(cut)) + 1]}", f"{name} in {levels[int(math.floor(cut)) + 1:]}")
-                if levels
-                else (f"{name} <= {cut:.6g}", f"{name} > {cut:.6g}")
-            )
+            low, high = self._sides(name, cut)
             walk(node.leftChild(), [*path, low])
             walk(node.rightChild(), [*path, high])
 

@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +16,8 @@ from ..functions.hashing import hash_text
 from ..functions.joins import lookup
 from ..functions.ordering import COUNT, boundaries, place, with_range
 from ..functions.stages import settle
-from .prep import FEATURES, OWN, Roles, learn, stages
+from . import boost
+from .prep import OWN, Plan, Roles, encode, encoded_names, learn
 
 # Rows needed to train, share held out, rows below which trust is moderate.
 MIN_TRAIN_ROWS = 30
@@ -29,7 +26,8 @@ SEED = 0
 _SPLIT_DIGITS = 4  # leading hex digits: 65,536 ranges
 
 LABEL, PREDICTION, ROW = "_label", "_prediction", "_row"
-_INPUT, _RAW_PREDICTION, _PROBABILITY = (OWN + n for n in ("input", "prediction", "probability"))
+_INPUT, _ANSWER = OWN + "input", OWN + "answer"
+ALGORITHM = "gradient_boosted_trees"
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -76,7 +74,8 @@ def hold_out(df: DataFrame, keys: Sequence[str], by: str | None = None, seed: in
 
 @dataclass
 class TrainedModel:
-    fitted: PipelineModel
+    plan: Plan
+    booster: boost.Booster
     roles: Roles
     target: str
     task: str
@@ -96,10 +95,13 @@ class TrainedModel:
             raise ValueError(f"Feature columns are missing: {missing}")
         # The caller's columns travel as one struct, so none of them can meet a working column.
         row = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(_INPUT)
-        out = self.fitted.transform(df.select(row, *[F.col(quoted(c)) for c in self.roles.names]))
-        made = [F.col(_RAW_PREDICTION).alias(PREDICTION)]
+        encoded = encode(df.select(row, *[F.col(quoted(c)) for c in self.roles.names]), self.plan)
+        out = encoded.select(_INPUT, boost.answer(self.booster, [F.col(c) for c in encoded_names(self.plan)]).alias(_ANSWER))
         if self.task == "classification":
-            made.append(vector_to_array(_PROBABILITY).alias("_proba"))
+            likeliest = F.array_position(_ANSWER, F.array_max(_ANSWER)) - 1  # the first of equals
+            made = [likeliest.cast("double").alias(PREDICTION), F.col(_ANSWER).alias("_proba")]
+        else:
+            made = [F.get(_ANSWER, F.lit(0)).alias(PREDICTION)]
         kept = [c for c in df.columns if c not in (PREDICTION, "_proba")]
         return out.select(*[F.col(_INPUT).getField(c).alias(c) for c in kept], *made)
 
@@ -157,8 +159,8 @@ def train(
 ) -> TrainedModel | tuple[str, int]:
     """A fitted model, or ``(reason, rows)`` when the data cannot carry one.
 
-    Two classes and numbers use gradient-boosted trees; three or more classes a random
-    forest, because boosted trees here are binary.
+    Boosted trees in all cases: squared loss for numbers, logistic for two classes, and for more classes softmax with one
+    tree per class and round.
     """
     if not roles.names:
         raise ValueError("There is no usable feature column to train on.")
@@ -172,24 +174,27 @@ def train(
     data = settle(split.withColumn(ROW, F.monotonically_increasing_id()))
     fit_rows = data.where("not in_test")
     if task == "regression":
-        labelled = fit_rows.withColumn(LABEL, numeric(fit_rows, target))
-        learner = GBTRegressor(maxIter=rounds, maxDepth=depth)
-        name = "gradient_boosted_trees"
+        labelled = fit_rows.withColumn(LABEL, numeric(fit_rows, target)).where(F.col(LABEL).isNotNull())
+        loss, base = boost.SQUARED, [float(labelled.agg(F.avg(LABEL)).first()[0])]
     else:
         labelled = fit_rows.withColumn(LABEL, label_index(fit_rows, target, classes))
-        binary = len(classes) == 2
-        learner = (
-            GBTClassifier(maxIter=rounds, maxDepth=depth)
-            if binary
-            else RandomForestClassifier(numTrees=max(20, 2 * rounds), maxDepth=depth + 3)
-        )
-        name = "gradient_boosted_trees" if binary else "random_forest"
-    learner = learner.setFeaturesCol(FEATURES).setLabelCol(LABEL).setSeed(SEED).setPredictionCol(_RAW_PREDICTION)
-    if task == "classification":
-        learner = learner.setProbabilityCol(_PROBABILITY).setRawPredictionCol(OWN + "margin")
+        sizes = {int(r[LABEL]): r["count"] for r in labelled.groupBy(LABEL).count().collect()}  # a row per class
+        loss, base = start(sizes, len(classes))
     plan = learn(labelled, roles, scale=False)
-    fitted = Pipeline(stages=[*stages(labelled, plan), learner]).fit(labelled)
-    return TrainedModel(fitted, roles, target, task, name, classes, data, n)
+    rows = encode(labelled, plan)
+    names = encoded_names(plan)
+    ordered = len(roles.numeric + roles.ordinal)
+    edges = boost.bin_edges(rows, names[:ordered])
+    booster = boost.boost(rows, [F.col(c) for c in names], F.col(LABEL), loss, edges, base, rounds, depth)
+    return TrainedModel(plan, booster, roles, target, task, ALGORITHM, classes, data, n)
+
+
+def start(sizes: dict[int, int], classes: int) -> tuple[str, list[float]]:
+    """Loss and first scores from the training rows of each class: log odds of two, log shares of more."""
+    n = sum(sizes.values())
+    if classes == 2:
+        return boost.LOGISTIC, [math.log(max(sizes.get(1, 0), 0.5) / max(sizes.get(0, 0), 0.5))]
+    return boost.SOFTMAX, [math.log(max(sizes.get(c, 0), 0.5) / n) for c in range(classes)]
 
 
 # --- metrics on a frame of labels and predictions -----------------------------------------

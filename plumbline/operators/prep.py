@@ -1,22 +1,21 @@
-"""From table columns to a model matrix: impute, scale, encode, as saved Spark ML stages."""
+"""From table columns to a model matrix: impute, scale, encode; levels are tables that are joined, however many."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Any
 
-from pyspark.ml import Transformer
-from pyspark.ml.base import Estimator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import field_type, quoted
+from ..functions.clean import field_type, finite, quoted
+from ..functions.joins import lookup
+from ..functions.ordering import with_cell
+from ..functions.stages import settle
 from .describe import medians
 from .typing import CATEGORICAL, CONTINUOUS, NOMINAL, ORDINAL, distinct_values
 
-MAX_LEVELS = 10_000
 OWN = "_plumbline_"  # what working columns begin with; input columns may not
 FEATURES = OWN + "features"
 
@@ -44,12 +43,14 @@ def feature_roles(types: Mapping[str, str], exclude: Iterable[str] = ()) -> Role
 
 @dataclass
 class Plan:
-    """What the encoder learned: fill values, scales and level order (small, driver-side)."""
+    """What the encoder learned: fill values and scales, and per coded column a table of its levels."""
 
     roles: Roles
     medians: dict[str, float] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
-    levels: dict[str, list[Any]] = field(default_factory=dict)
+    #: ``level``, ``slot`` (its place in sorted order, from 0), ``n`` (rows); one row per level, written out.
+    levels: dict[str, DataFrame] = field(default_factory=dict)
+    sizes: dict[str, int] = field(default_factory=dict)
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, float] = field(default_factory=dict)
 
@@ -63,12 +64,20 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _sql_text(value: Any) -> str:
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+def level_table(df: DataFrame, column: str, as_text: bool) -> DataFrame:
+    """``level``, ``slot``, ``n`` of a column's distinct values, numbered in their order without gathering them.
+
+    Levels are cut into ranges of their own order; a range's first number follows from the sizes of those before it.
+    """
+    value = F.col(quoted(column)).cast("string") if as_text else F.col(quoted(column))
+    found = settle(df.where(F.col(quoted(column)).isNotNull()).groupBy(value.alias("level")).agg(F.count(F.lit(1)).alias("n")))
+    placed = with_cell(found, "level")
+    before = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size")).select(  # one row per range
+        F.col("_cell").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy("level"))
+    return settle(placed.withColumn("_turn", inside).join(starts, F.col("_cell") == F.col("_at")).select(
+        "level", (F.col("_start") + F.col("_turn") - 1).cast("int").alias("slot"), "n"))
 
 
 def learn(df: DataFrame, roles: Roles, scale: bool) -> Plan:
@@ -79,102 +88,112 @@ def learn(df: DataFrame, roles: Roles, scale: bool) -> Plan:
     coded = roles.nominal + roles.ordinal
     if coded:
         for r in modes(df, coded).collect():
-            if r["n_levels"] > MAX_LEVELS:
-                raise ValueError(f"{r['column']!r} has {r['n_levels']} levels, more than {MAX_LEVELS}; group it first.")
-            plan.modes[r["column"]] = r["mode"]
-    for c in roles.ordinal:
-        rows = df.select(quoted(c)).where(F.col(quoted(c)).isNotNull()).distinct().collect()
-        plan.levels[c] = sorted(r[0] for r in rows)
+            plan.modes[r["column"]], plan.sizes[r["column"]] = r["mode"], r["n_levels"]
+    for c in coded:
+        plan.levels[c] = level_table(df, c, c in roles.nominal)
     if scale and (roles.numeric or roles.ordinal):
-        sized = df.select(*[F.expr(value_sql(df, plan, c)).alias(c) for c in roles.numeric + roles.ordinal])
-        names = sized.columns
+        names = roles.numeric + roles.ordinal
+        sized = encode(df, Plan(Roles(roles.numeric, (), roles.ordinal), plan.medians, plan.modes, plan.levels, plan.sizes))
         row = sized.agg(
-            *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(names)],
-            *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(names)],
+            *[F.avg(f"{OWN}x{i}").alias(f"m{i}") for i in range(len(names))],
+            *[F.stddev_pop(f"{OWN}x{i}").alias(f"s{i}") for i in range(len(names))],
         ).first()
         plan.means = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(names)}
         plan.scales = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(names)}
     return plan
 
 
-def value_sql(df: DataFrame, plan: Plan, column: str) -> str:
-    """The imputed (and for ordinals, coded) value of a numeric or ordinal column."""
-    c = quoted(column)
-    if column in plan.roles.numeric:
-        x = f"try_cast({c} AS DOUBLE)"
-        return f"coalesce(CASE WHEN abs({x}) < double('infinity') THEN {x} END, {plan.medians[column]!r}D)"
-    kind = field_type(df, column)
-    listed = ", ".join(_sql_text(v) for v in plan.levels[column])
-    base = f"array({listed})" if listed else "array()"
-    typed = f"cast({base} as array<{kind.simpleString()}>)"
-    mode = plan.modes.get(column)
-    filled = c if mode is None else f"coalesce({c}, cast({_sql_text(mode)} as {kind.simpleString()}))"
-    return f"cast(coalesce(array_position({typed}, {filled}), 0) - 1 as double)"
-
-
-def stages(df: DataFrame, plan: Plan) -> list[Estimator | Transformer]:
-    """ML stages from raw columns to the ``features`` vector; ``slots`` says what each entry is."""
-    exprs, inputs = [], []
-    for i, c in enumerate(plan.roles.numeric + plan.roles.ordinal):
-        value = value_sql(df, plan, c)
-        if plan.scales:
-            value = f"(({value}) - {plan.means[c]!r}D) / {plan.scales[c]!r}D"
-        exprs.append(f"{value} AS {OWN}x{i}")
-        inputs.append(f"{OWN}x{i}")
-    for i, c in enumerate(plan.roles.nominal):
-        exprs.append(f"coalesce(cast({quoted(c)} as string), {_sql_text(plan.modes.get(c, ''))}) AS {OWN}c{i}")
-    made: list[Estimator | Transformer] = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-    k = len(plan.roles.nominal)
-    if k:
-        # The slot kept for unseen levels is the one the encoder drops: unseen becomes all zeros.
-        made.append(
-            StringIndexer(
-                inputCols=[f"{OWN}c{i}" for i in range(k)], outputCols=[f"{OWN}i{i}" for i in range(k)],
-                stringOrderType="alphabetAsc", handleInvalid="keep",
-            )
-        )
-        made.append(
-            OneHotEncoder(
-                inputCols=[f"{OWN}i{i}" for i in range(k)], outputCols=[f"{OWN}h{i}" for i in range(k)],
-                dropLast=True,
-            )
-        )
-        inputs += [f"{OWN}h{i}" for i in range(k)]
-    made.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    return made
+def _number(df: DataFrame, plan: Plan, column: str) -> Column:
+    value = F.expr(f"try_cast({quoted(column)} AS DOUBLE)")
+    return F.coalesce(finite(value), F.lit(plan.medians[column]))
 
 
-def working_columns(plan: Plan) -> list[str]:
-    n = len(plan.roles.numeric + plan.roles.ordinal)
-    k = len(plan.roles.nominal)
-    return [f"{OWN}x{i}" for i in range(n)] + [f"{OWN}{p}{i}" for p in "cih" for i in range(k)] + [FEATURES]
+def _with_slot(df: DataFrame, plan: Plan, column: str, as_text: bool, out: str) -> DataFrame:
+    """Add the place of a column's level; a missing value counts as the most frequent one, an unseen one has none."""
+    kind = "string" if as_text else field_type(df, column)
+    value = F.col(quoted(column)).cast(kind)
+    if column in plan.modes:
+        value = F.coalesce(value, F.lit(plan.modes[column]).cast(kind))
+    keyed = df.withColumn(OWN + "key", value)
+    size = plan.sizes.get(column, 0)
+    return lookup(keyed, OWN + "key", plan.levels[column], "level", "n", {"slot": out}, settled=True, size=size).drop(OWN + "key")
+
 
+def encode(df: DataFrame, plan: Plan) -> DataFrame:
+    """Add ``_plumbline_x…`` (numbers and places of ordinals, scaled if the plan has scales) and ``_plumbline_i…`` (slots).
+
+    Levels come by joins with their tables. An unseen ordinal is -1, an unseen nominal the slot behind the last level.
+    """
+    ordered = plan.roles.numeric + plan.roles.ordinal
+    for i, c in enumerate(ordered):
+        if c in plan.roles.numeric:
+            df = df.withColumn(f"{OWN}x{i}", _number(df, plan, c))
+        else:
+            df = _with_slot(df, plan, c, False, f"{OWN}x{i}")
+    for i, c in enumerate(plan.roles.nominal):
+        df = _with_slot(df, plan, c, True, f"{OWN}i{i}")
+    made = {f"{OWN}x{i}": F.coalesce(F.col(f"{OWN}x{i}").cast("double"), F.lit(-1.0)) for i in range(len(ordered))}
+    if plan.scales:
+        made = {f"{OWN}x{i}": (made[f"{OWN}x{i}"] - plan.means[c]) / plan.scales[c] for i, c in enumerate(ordered)}
+    made |= {f"{OWN}i{i}": F.coalesce(F.col(f"{OWN}i{i}").cast("double"), F.lit(float(plan.sizes.get(c, 0))))
+             for i, c in enumerate(plan.roles.nominal)}
+    return df.withColumns(made)
+
+
+def encoded_names(plan: Plan) -> list[str]:
+    n, k = len(plan.roles.numeric + plan.roles.ordinal), len(plan.roles.nominal)
+    return [f"{OWN}x{i}" for i in range(n)] + [f"{OWN}i{i}" for i in range(k)]
+
+
+def assemble(encoded: DataFrame, plan: Plan) -> DataFrame:
+    """Add the ``features`` vector: numbers, then a sparse 0/1 entry for each level; unseen levels are all zeros.
+
+    The number of slots is handed on as column metadata, so that no pass and no list of levels is needed for it.
+    """
+    ordered = plan.roles.numeric + plan.roles.ordinal
+    inputs = [f"{OWN}x{i}" for i in range(len(ordered))]
+    spread = [i for i, c in enumerate(plan.roles.nominal) if plan.sizes.get(c, 0)]
+    if spread:
+        sized = {
+            f"{OWN}i{i}": F.col(f"{OWN}i{i}").alias(
+                f"{OWN}i{i}", metadata={"ml_attr": {"type": "nominal", "num_vals": plan.sizes[plan.roles.nominal[i]] + 1}})
+            for i in spread
+        }
+        encoded = encoded.select(*[sized.get(c, F.col(quoted(c))) for c in encoded.columns])
+        # The slot kept for unseen levels is the one the encoder drops.
+        names = [f"{OWN}i{i}" for i in spread], [f"{OWN}h{i}" for i in spread]
+        encoded = OneHotEncoder(inputCols=names[0], outputCols=names[1], dropLast=True).fit(encoded).transform(encoded)
+        inputs += names[1]
+    return VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(encoded)
 
-def matrix(df: DataFrame, roles: Roles, scale: bool = True):
-    """``(df with features, fitted stages, plan)`` for distance-based methods."""
-    from pyspark.ml import Pipeline
 
+def matrix(df: DataFrame, roles: Roles, scale: bool = True) -> tuple[DataFrame, Plan]:
+    """``(df with features, plan)`` for distance-based methods."""
     if not roles.names:
         raise ValueError("There is no usable feature column.")
     plan = learn(df, roles, scale)
-    fitted = Pipeline(stages=stages(df, plan)).fit(df)
-    return fitted.transform(df), fitted, plan
+    return assemble(encode(df, plan), plan), plan
+
+
+def working_columns(plan: Plan) -> list[str]:
+    return [*encoded_names(plan), *[f"{OWN}h{i}" for i in range(len(plan.roles.nominal))], FEATURES]
 
 
 def scaled_columns(df: DataFrame, roles: Roles) -> DataFrame:
     """``<c>_scaled`` for numeric and ordinal columns: the matrix, readable."""
     plan = learn(df, roles, scale=True)
-    return df.withColumns(
-        {
-            f"{c}_scaled": (F.expr(value_sql(df, plan, c)) - plan.means[c]) / plan.scales[c]
-            for c in roles.numeric + roles.ordinal
-        }
-    )
+    ordered = roles.numeric + roles.ordinal
+    out = encode(df, Plan(Roles(roles.numeric, (), roles.ordinal), plan.medians, plan.modes, plan.levels, plan.sizes, plan.means, plan.scales))
+    return out.withColumns({f"{c}_scaled": F.col(f"{OWN}x{i}") for i, c in enumerate(ordered)}).drop(
+        *[f"{OWN}x{i}" for i in range(len(ordered))])
 
 
 def one_hot_columns(df: DataFrame, column: str) -> DataFrame:
-    """``<c>_<level>`` 0/1 columns of a nominal column; missing counts as the most frequent level."""
+    """``<c>_<level>`` 0/1 columns of a nominal column, one per level; missing counts as the most frequent level.
+
+    For reading: a column for each level is what is asked for. Models take the sparse ``features`` instead.
+    """
     plan = learn(df, Roles(nominal=(column,)), scale=False)
-    rows = df.select(F.col(quoted(column)).cast("string")).where(F.col(quoted(column)).isNotNull()).distinct().collect()
+    rows = plan.levels[column].orderBy("slot").select("level").collect()
     value = F.coalesce(F.col(quoted(column)).cast("string"), F.lit(plan.modes.get(column)))
-    return df.withColumns({f"{column}_{v}": (value == v).cast("int") for v in sorted(r[0] for r in rows)})
+    return df.withColumns({f"{column}_{r['level']}": (value == r["level"]).cast("int") for r in rows})

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, interpret, learn, prep
+from ..operators import boost, cluster, interpret, learn, prep
 from .common import Query, rounded, table
 
 _LINE = prep.Roles(("l_quantity", "l_extendedprice"), ("l_returnflag",), ("l_linenumber",))
 _ORDERS = prep.Roles(("o_totalprice", "o_custkey"), ("o_orderpriority",))
+_FLAGS, _ROUNDS = ("A", "N", "R"), 3
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -116,6 +117,21 @@ def _line_model(spark, sf_dir):
     return learn.train(table(spark, sf_dir, "lineitem"), "l_extendedprice", "regression", roles, _KEYS)
 
 
+def boost_softmax(spark, sf_dir):
+    """Chances of each return flag by line status after three rounds of boosting with one tree per flag."""
+    df = table(spark, sf_dir, "lineitem").withColumn(
+        "_y", learn.label_index(table(spark, sf_dir, "lineitem"), "l_returnflag", _FLAGS))
+    plan = prep.learn(df, prep.Roles(nominal=("l_linestatus",)), scale=False)
+    rows, slot = prep.encode(df, plan), F.col(prep.encoded_names(plan)[0])
+    sizes = {int(r["_y"]): r["count"] for r in rows.groupBy("_y").count().collect()}
+    loss, base = learn.start(sizes, len(_FLAGS))
+    model = boost.boost(rows, [slot], F.col("_y"), loss, [], base, rounds=_ROUNDS, depth=2)
+    chances = rows.select("l_linestatus", boost.answer(model, [slot]).alias("p"))
+    out = chances.groupBy("l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.get("p", F.lit(i))).alias(f"chance_{f}") for i, f in enumerate(_FLAGS)])
+    return rounded(out, 6, *[f"chance_{f}" for f in _FLAGS])
+
+
 def train_regression_metrics(spark, sf_dir):
     return spark.createDataFrame([learn.holdout_metrics(_line_model(spark, sf_dir))])
 
@@ -183,7 +199,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         prep_scaled, prep_onehot, class_counts, split_check, split_plain, eval_class, eval_confusion, eval_auc,
         eval_reg, kmeans_orders, kmeans_choose, cluster_numbers, cluster_categories, pca_lineitem, train_predict,
-        train_regression_metrics, train_binary_metrics, perm_importance, shapley_rows, shapley_sums, metric_tree,
+        boost_softmax, train_regression_metrics, train_binary_metrics, perm_importance, shapley_rows, shapley_sums, metric_tree,
         metric_tree_totals, kmeans_nearest, pca_two,
     )
 }
@@ -213,7 +229,23 @@ def _dominant_sql(c: str) -> str:
     )
 
 
+def _softmax_sql() -> str:
+    """Newton steps from the shares of all rows, per line status: each round adds 0.3 (share - chance) / (chance (1 - chance))."""
+    total = ", ".join(f"ln(avg((l_returnflag = '{f}')::DOUBLE) OVER ()) AS m{f}, (l_returnflag = '{f}')::DOUBLE AS y{f}" for f in _FLAGS)
+    steps = [f"s0 AS (SELECT l_linestatus, count(*) AS n, " + ", ".join(
+        f"avg(m{f}) AS m{f}, avg(y{f}) AS y{f}" for f in _FLAGS) + f" FROM (SELECT l_linestatus, {total} FROM lineitem) r GROUP BY 1)"]
+    whole = " + ".join(f"exp(m{f})" for f in _FLAGS)
+    for i in range(_ROUNDS):
+        chances = ", ".join(f"exp(m{f}) / ({whole}) AS p{f}" for f in _FLAGS)
+        steps.append(f"p{i} AS (SELECT *, {chances} FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT l_linestatus, n, " + ", ".join(
+            f"m{f} + 0.3 * (y{f} - p{f}) / (p{f} * (1 - p{f})) AS m{f}, y{f}" for f in _FLAGS) + f" FROM p{i})")
+    chances = ", ".join(f"round(exp(m{f}) / ({whole}), 6) + 0.0 AS \"chance_{f}\"" for f in _FLAGS)
+    return f"WITH {', '.join(steps)} SELECT l_linestatus, n, {chances} FROM s{_ROUNDS}"
+
+
 ORACLE: dict[str, str] = {
+    "boost_softmax": _softmax_sql(),
     "shapley_sums": "SELECT c_custkey, CAST(2 AS BIGINT) AS n_features, true AS adds_up FROM customer",
     "kmeans_nearest": "SELECT count(*) AS n, true AS nearest, CAST(4 AS BIGINT) AS k FROM orders",
     "metric_tree_totals": "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 2) + 0.0 AS mean FROM lineitem",

@@ -10,14 +10,13 @@ from datetime import datetime, timezone
 from typing import Any
 from urllib.parse import quote
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .functions import guard
 from .functions.clean import field_type
 from .functions.stages import settle
-from .operators import learn, prep, relate
+from .operators import boost, learn, prep, relate
 from .sources.readers import empty_table, insert_rows, read_table, stem, table_name
 from .table import Table
 
@@ -189,7 +188,8 @@ class Session:
             raise ValueError("Models are saved in a session folder; create one with Session.create.")
         m = table.model(name)
         folder = self._model_folder(table.name, name)
-        m.fitted.write().overwrite().save(f"{folder}/pipeline")
+        for i, c in enumerate(m.plan.levels):
+            m.plan.levels[c].write.mode("overwrite").parquet(f"{folder}/levels/{i}")
         m.data.write.mode("overwrite").parquet(f"{folder}/data")
         kind = field_type(m.data, m.target)
         classes = self.spark.createDataFrame(
@@ -198,6 +198,8 @@ class Session:
         _write_json(self.spark, f"{folder}/model.json", {
             "target": m.target, "task": m.task, "algorithm": m.algorithm, "n_rows": m.n_rows,
             "numeric": m.roles.numeric, "nominal": m.roles.nominal, "ordinal": m.roles.ordinal,
+            "medians": m.plan.medians, "modes": m.plan.modes, "sizes": m.plan.sizes, "levels": list(m.plan.levels),
+            "booster": m.booster.to_json(),
         })
         self._write_meta()
 
@@ -211,8 +213,10 @@ class Session:
             if info is None:
                 raise FileNotFoundError(f"no saved model {name!r}")
             roles = prep.Roles(*(tuple(info[k]) for k in ("numeric", "nominal", "ordinal")))
+            levels = {c: self.spark.read.parquet(f"{folder}/levels/{i}") for i, c in enumerate(info["levels"])}
+            plan = prep.Plan(roles, info["medians"], info["modes"], levels, info["sizes"])
             table.models[name] = learn.TrainedModel(
-                PipelineModel.load(f"{folder}/pipeline"), roles, info["target"], info["task"], info["algorithm"],
+                plan, boost.Booster.from_json(info["booster"]), roles, info["target"], info["task"], info["algorithm"],
                 [r["class"] for r in self.spark.read.parquet(f"{folder}/classes").orderBy("i").collect()],
                 self.spark.read.parquet(f"{folder}/data"), info["n_rows"])
             table.unloaded_models.pop(name, None)

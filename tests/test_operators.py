@@ -234,13 +234,11 @@ def test_preparation_unseen_and_missing(spark):
     df = spark.createDataFrame(
         [(1.0, "lo", "r"), (3.0, "hi", "r"), (None, None, None), (5.0, "mid", "g")], "x double, o string, n string")
     roles = prep.Roles(("x",), ("n",), ("o",))
-    from pyspark.ml import Pipeline
     plan = prep.learn(df, roles, scale=False)
-    fitted = Pipeline(stages=prep.stages(df, plan)).fit(df)
-    got = [r["features"].toArray().tolist() for r in fitted.transform(df).select("features").collect()]
+    got = [r[prep.FEATURES].toArray().tolist() for r in prep.assemble(prep.encode(df, plan), plan).select(prep.FEATURES).collect()]
     assert got == [[1.0, 1.0, 0.0, 1.0], [3.0, 0.0, 0.0, 1.0], [3.0, 0.0, 0.0, 1.0], [5.0, 2.0, 1.0, 0.0]]
     new = spark.createDataFrame([(2.0, "never", "never")], df.schema)
-    assert fitted.transform(new).first()["features"].toArray().tolist() == [2.0, -1.0, 0.0, 0.0]
+    assert prep.assemble(prep.encode(new, plan), plan).first()[prep.FEATURES].toArray().tolist() == [2.0, -1.0, 0.0, 0.0]
 
 
 def test_unrefined_columns_stop_modelling():
