@@ -21,7 +21,7 @@ from ..functions import tails
 from ..functions.clean import numeric, present, quoted
 from ..functions.joins import lookup
 from ..functions.ordering import (
-    COUNT, boundaries, column_ranks, cumulate, place, quantiles_of, value_counts, with_range,
+    COUNT, RANGE, boundaries, column_ranks, cumulate, place, quantiles_of, value_counts, with_range,
 )
 from ..functions.stages import settle
 
@@ -453,47 +453,67 @@ def two_samples(df: DataFrame) -> DataFrame:
 # --- all pairs --------------------------------------------------------------------------
 
 
-def ranked_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
-    """Rows with ``_rank_<i>`` for each column, written once, and each column's tie term."""
-    ranks = column_ranks(df, columns)
+def partner_ranks(df: DataFrame, columns: Sequence[str], gaps: Sequence[str]) -> DataFrame:
+    """``(column, slot, value, ties, avg_rank)``: ranks of each column's values, among all its rows and among fewer.
+
+    Slot 0 counts all rows that have the column; slot j + 1 those that also have ``gaps[j]``. Values are counted once by
+    the pattern of what their rows lack, and each pattern adds to the slots it belongs to, so rows are read once.
+    """
+    cuts = boundaries(df, columns)
+    has = F.array_compact(F.array(F.lit(0), *[F.when(F.col(quoted(g)).isNotNull(), j + 1) for j, g in enumerate(gaps)]))
+    ranged, parts = df.select(*[F.col(quoted(c)) for c in columns], has.alias("_slots")), []
+    for i, c in enumerate(columns):
+        ranged = with_range(ranged, c, cuts[c], f"_r{i}")
+        parts.append(f"'{c}', {quoted(c)}, _r{i}")
+    tall = ranged.select("_slots", F.expr(f"stack({len(columns)}, {', '.join(parts)}) as (column, value, {RANGE})"))
+    patterns = tall.where("value is not null").groupBy("column", "value", RANGE, "_slots").agg(F.count(F.lit(1)).alias(COUNT))
+    counts = patterns.select("column", "value", RANGE, COUNT, F.explode("_slots").alias("slot")).groupBy(
+        "column", "slot", "value", RANGE).agg(F.sum(COUNT).alias(COUNT))
+    placed = place(counts, "value", ["column", "slot"])
+    return placed.select("column", "slot", "value", "ties", (F.col("less") + (F.col("ties") + 1) / 2.0).alias("avg_rank"))
+
+
+def ranked_columns(df: DataFrame, columns: Sequence[str], gaps: Sequence[str]) -> tuple[DataFrame, dict[tuple[str, int], float]]:
+    """Rows with ``_rank_<i>_<slot>`` (see ``partner_ranks``), written once, and tie terms by column and slot."""
+    ranks = settle(partner_ranks(df, columns, gaps))
     t = F.col("ties").cast("double")
-    found = ranks.groupBy("column").agg(F.sum(t * t * t - t).alias("tie_term")).collect()
-    return settle(attach_ranks(df, columns, ranks)), {r["column"]: r["tie_term"] for r in found}
+    found = ranks.groupBy("column", "slot").agg(F.sum(t * t * t - t).alias("tie_term")).collect()  # a row per pair at most
+    each = F.map_from_entries(F.collect_list(F.struct("slot", "avg_rank")))  # one entry per slot
+    table = settle(ranks.groupBy("column", "value").agg(each.alias("ranks"), F.max("ties").alias("ties")))
+    for i, c in enumerate(columns):
+        df = lookup(df, c, table.where(F.col("column") == c), "value", "ties", {"ranks": f"_ranks_{i}"}, settled=True)
+    slots = [(i, s) for i, c in enumerate(columns) for s in range(len(gaps) + 1) if s == 0 or gaps[s - 1] != c]
+    spread = df.select(
+        *[F.col(quoted(c)) for c in df.columns if not c.startswith("_ranks_")],
+        *[F.try_element_at(F.col(f"_ranks_{i}"), F.lit(s)).alias(f"_rank_{i}_{s}") for i, s in slots])
+    return settle(spread), {(r["column"], r["slot"]): r["tie_term"] for r in found}
 
 
 def association_matrix(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str]) -> list[dict]:
     """``col_a, col_b, method, effect_size`` of every pair, in column order.
 
-    Columns without missing values are handled together: one moments pass, one rank per
-    column, one grouped pass for all category × number pairs, one contingency pass. Pairs
-    with missing values (their ranks depend on the partner) and the rare pairs that need
-    group medians or small-sample checks take the single-pair route.
+    All columns are handled together, with missing values or without: one moments pass, one table of ranks for each
+    column and each partner that lacks values, one grouped pass for all category × number pairs, one contingency pass.
+    Pairs with few common rows and the rare pairs that need group medians take the single-pair route.
     """
     order = [c for c in df.columns if c in continuous or c in categorical]
     clean = df.select(*[(numeric(df, c) if c in continuous else present(df, c)).alias(c) for c in order])
     shape = clean.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(quoted(c)).alias(f"n_{i}") for i, c in enumerate(order)],
-        *[
-            F.when((F.max(quoted(c)) > F.min(quoted(c))) & (F.count(quoted(c)) > SHAPIRO_MAX_N),
-                   normal_by_moments(F.count(quoted(c)), F.skewness(quoted(c)), F.kurtosis(quoted(c)))
-                   ).otherwise(False).alias(f"normal_{i}")
-            for i, c in enumerate(order) if c in continuous
-        ],
     ).first()
-    n = shape["n"]
-    full = {c for i, c in enumerate(order) if shape[f"n_{i}"] == n} if n > SHAPIRO_MAX_N else set()
-    normal = {c: bool(shape[f"normal_{i}"]) for i, c in enumerate(order) if c in continuous}
-    nums = [c for c in order if c in continuous and c in full]
-    cats = [c for c in order if c in categorical and c in full]
+    nums = [c for c in order if c in continuous]
+    cats = [c for c in order if c in categorical]
+    gaps = [c for i, c in enumerate(order) if shape[f"n_{i}"] < shape["n"]]
     out: dict[tuple[str, str], tuple[str, float | None]] = {}
-    if nums:
-        ranked, ties = ranked_columns(clean, nums)
-        out |= _number_matrix(clean, ranked, nums, normal)
-        if cats:
-            out |= _group_matrix(ranked, nums, cats, ties, order)
-    if len(cats) > 1:
-        out |= _category_matrix(clean, cats, order)
+    if shape["n"] > SHAPIRO_MAX_N:
+        if nums:
+            ranked, ties = ranked_columns(clean, nums, gaps)
+            out |= _number_matrix(ranked, nums, gaps)
+            if cats:
+                out |= _group_matrix(ranked, nums, cats, gaps, ties, order)
+        if len(cats) > 1:
+            out |= _category_matrix(clean, cats, order)
     rows = []
     for a, b in combinations(order, 2):
         if (a, b) not in out:
@@ -507,19 +527,47 @@ def association_matrix(df: DataFrame, continuous: Sequence[str], categorical: Se
     return rows
 
 
-def _number_matrix(clean: DataFrame, ranked: DataFrame, nums: list[str], normal: dict[str, bool]) -> dict:
+def _slot(gaps: Sequence[str], partner: str) -> int:
+    return gaps.index(partner) + 1 if partner in gaps else 0
+
+
+def _number_matrix(ranked: DataFrame, nums: list[str], gaps: list[str]) -> dict:
     pairs = list(combinations(nums, 2))
-    linear = [p for p in pairs if normal[p[0]] and normal[p[1]]]
-    ordinal = [p for p in pairs if p not in linear]
+    if not pairs:
+        return {}
+    # Normality is asked for among the rows of a pair; columns whose partner lacks nothing share their answer.
+    asked = sorted({(c, p if p in gaps else c) for a, b in pairs for c, p in ((a, b), (b, a))})
+    stats = []
+    for i, (c, p) in enumerate(asked):
+        x = F.when(F.col(quoted(p)).isNotNull(), F.col(quoted(c)))
+        stats.append(F.struct(F.count(x), F.max(x) > F.min(x), F.skewness(x), F.kurtosis(x)).alias(f"m{i}"))
+    row = ranked.agg(*stats).first()
+    moments = [(i, *row[f"m{i}"]) for i in range(len(asked))]
+    flags = ranked.sparkSession.createDataFrame(moments, "i int, n long, varies boolean, skew double, kurt double").select(
+        "i", "n", F.when(F.col("varies") & (F.col("n") > SHAPIRO_MAX_N),
+                         normal_by_moments(F.col("n"), F.col("skew"), F.col("kurt"))).otherwise(False).alias("normal"))
+    known = {asked[r["i"]]: (r["n"], bool(r["normal"])) for r in flags.collect()}
+    chosen = []
+    for a, b in pairs:
+        (n, a_normal), (_, b_normal) = (known[c, p if p in gaps else c] for c, p in ((a, b), (b, a)))
+        n = min(n, known[b, a if a in gaps else b][0])
+        if n > SHAPIRO_MAX_N:
+            chosen.append((a, b, "pearson" if a_normal and b_normal else "spearman"))
+    if not chosen:
+        return {}
+
+    def rank(c: str, partner: str) -> str:
+        return f"_rank_{nums.index(c)}_{_slot(gaps, partner)}"
+
+    row = ranked.agg(*[
+        correlation(quoted(a), quoted(b)).alias(f"p{i}") if method == "pearson"
+        else correlation(rank(a, b), rank(b, a)).alias(f"p{i}")
+        for i, (a, b, method) in enumerate(chosen)
+    ]).first()
     out = {}
-    for method, chosen, frame in (("pearson", linear, clean), ("spearman", ordinal, ranked)):
-        if not chosen:
-            continue
-        name = (lambda c: quoted(c)) if method == "pearson" else (lambda c: f"_rank_{nums.index(c)}")
-        row = frame.agg(*[correlation(name(a), name(b)).alias(f"p{i}") for i, (a, b) in enumerate(chosen)]).first()
-        for i, pair in enumerate(chosen):
-            r = row[f"p{i}"]
-            out[pair] = ("degenerate", 0.0) if r is None or math.isnan(r) else (method, min(1.0, abs(r)))
+    for i, (a, b, method) in enumerate(chosen):
+        r = row[f"p{i}"]
+        out[a, b] = ("degenerate", 0.0) if r is None or math.isnan(r) else (method, min(1.0, abs(r)))
     return out
 
 
@@ -527,23 +575,31 @@ def _pair(order: list[str], a: str, b: str) -> tuple[str, str]:
     return (a, b) if order.index(a) < order.index(b) else (b, a)
 
 
-def _group_matrix(ranked: DataFrame, nums: list[str], cats: list[str], ties: dict[str, float], order: list[str]) -> dict:
-    levels = ", ".join(f"'{c}', cast({quoted(c)} as string)" for c in cats)
+def _group_matrix(
+    ranked: DataFrame, nums: list[str], cats: list[str], gaps: list[str], ties: dict[tuple[str, int], float], order: list[str],
+) -> dict:
+    # A number's ranks among the rows that have the category travel with that category's row.
+    wide = ", ".join(
+        f"'{c}', cast({quoted(c)} as string), " + ", ".join(f"_rank_{i}_{_slot(gaps, c)}" for i in range(len(nums)))
+        for c in cats
+    )
     keep = [F.col(quoted(c)).alias(f"v{i}") for i, c in enumerate(nums)]
-    keep += [F.col(f"_rank_{i}").alias(f"r{i}") for i in range(len(nums))]
-    tall = ranked.select(F.expr(f"stack({len(cats)}, {levels}) as (cat, g)"), *keep)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    tall = ranked.select(
+        F.expr(f"stack({len(cats)}, {wide}) as (cat, g, {', '.join(f'r{i}' for i in range(len(nums)))})"), *keep
+    ).where("g is not null")
+    aggs = []
     for i in range(len(nums)):
         aggs += [
+            F.count(f"v{i}").alias(f"n{i}"),
             F.avg(f"v{i}").alias(f"mean{i}"), F.var_samp(f"v{i}").alias(f"var{i}"),
             F.skewness(f"v{i}").alias(f"skew{i}"), F.kurtosis(f"v{i}").alias(f"kurt{i}"),
             F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"), F.sum(f"r{i}").alias(f"rs{i}"),
         ]
-    fields = ("mean", "var", "skew", "kurt", "lo", "hi", "rs")
+    fields = ("n", "mean", "var", "skew", "kurt", "lo", "hi", "rs")
     stacked = ", ".join(f"{i}, " + ", ".join(f"{f}{i}" for f in fields) for i in range(len(nums)))
     groups = tall.groupBy("cat", "g").agg(*aggs).select(
-        "cat", "g", "n", F.expr(f"stack({len(nums)}, {stacked}) as (num, {', '.join(fields)})")
-    )
+        "cat", "g", F.expr(f"stack({len(nums)}, {stacked}) as (num, {', '.join(fields)})")
+    ).where("n > 0")
     per = Window.partitionBy("cat", "num")
     total = F.sum("n").over(per)
     centred = F.col("rs") - F.col("n") * (total + 1) / 2
@@ -568,6 +624,8 @@ def _group_matrix(ranked: DataFrame, nums: list[str], cats: list[str], ties: dic
     for r in rows:
         num, k, n = nums[r["num"]], r["k"], float(r["n"])
         pair = _pair(order, r["cat"], num)
+        if n <= SHAPIRO_MAX_N:
+            continue  # small samples: the single-pair route decides
         if k < 2:
             out[pair] = ("skipped: fewer than 2 groups", None)
         elif r["lo"] == r["hi"]:
@@ -577,7 +635,7 @@ def _group_matrix(ranked: DataFrame, nums: list[str], cats: list[str], ties: dic
         elif r["maybe_normal"] and r["smallest"] >= MIN_GROUP:
             out[pair] = ("welch_t_test", r["ssb"] / (r["ssb"] + r["ssw"]))
         else:
-            h = 12 * r["h_part"] / (n * (n + 1)) / (1 - ties[num] / (n**3 - n))
+            h = 12 * r["h_part"] / (n * (n + 1)) / (1 - ties[num, _slot(gaps, r["cat"])] / (n**3 - n))
             out[pair] = ("mann_whitney" if k == 2 else "kruskal_wallis", min(1.0, max(0.0, h / (n - 1))))
     return out
 
@@ -587,10 +645,12 @@ def _category_matrix(clean: DataFrame, cats: list[str], order: list[str]) -> dic
     spec = ", ".join(
         f"{i}, cast({quoted(a)} as string), cast({quoted(b)} as string)" for i, (a, b) in enumerate(pairs)
     )
-    tall = clean.selectExpr(f"stack({len(pairs)}, {spec}) as (pair, a, b)")
+    tall = clean.selectExpr(f"stack({len(pairs)}, {spec}) as (pair, a, b)").where("a is not null and b is not null")
     out = {}
     for row in contingency(tall).collect():
         pair = _pair(order, *pairs[row["pair"]])
+        if row["n"] <= SHAPIRO_MAX_N:
+            continue
         if row["r"] < 2 or row["c"] < 2:
             out[pair] = ("degenerate", 0.0)
         else:

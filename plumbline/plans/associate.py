@@ -106,6 +106,10 @@ def assoc_fisher(spark, sf_dir):
     return rounded(out.select("n", F.try_divide(four[0] * four[3], four[1] * four[2]).alias("odds_ratio")), 8, "odds_ratio")
 
 
+#: Column → divisor and remainder of the order keys that lack it.
+_GAPS = {"o_custkey": (20, 3), "o_totalprice": (19, 1), "o_orderstatus": (23, 5), "o_orderpriority": (21, 8)}
+
+
 def assoc_matrix(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"
@@ -116,6 +120,17 @@ def assoc_matrix(spark, sf_dir):
     return rounded(tidy, 8, "effect_size")
 
 
+def assoc_matrix_gaps(spark, sf_dir):
+    """The same columns with about one value in twenty missing, from other rows in each column."""
+    key = F.col("o_orderkey")
+    df = table(spark, sf_dir, "orders").select(
+        *[F.when(key % m != r, F.col(c)).alias(c) for c, (m, r) in _GAPS.items()])
+    rows = assoc.association_matrix(df, ["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"])
+    schema = "col_a string, col_b string, effect_size double"
+    tidy = spark.createDataFrame([(r["col_a"], r["col_b"], r["effect_size"]) for r in rows], schema)
+    return rounded(tidy, 8, "effect_size")
+
+
 def assoc_routes(spark, sf_dir):
     """The test chosen for one pair of each kind."""
     cases = [
@@ -137,7 +152,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         assoc_pearson, assoc_normality, assoc_spearman, assoc_spearman_ties, assoc_welch, assoc_anova, assoc_levene,
-        assoc_mwu, assoc_kruskal, assoc_kruskal_ties, assoc_chi2, assoc_chi2_yates, assoc_fisher, assoc_matrix,
+        assoc_mwu, assoc_kruskal, assoc_kruskal_ties, assoc_chi2, assoc_chi2_yates, assoc_fisher, assoc_matrix, assoc_matrix_gaps,
         assoc_routes,
     )
 }
@@ -179,10 +194,23 @@ _FISHER_CELLS = """
                       count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS n22 FROM labels)"""
 
 _PEARSON_MOM = _moments_sql("lineitem", {"x": "l_quantity", "y": "l_extendedprice"})
-_SPEARMAN_MATRIX = f"""
-    SELECT 'o_custkey' AS col_a, 'o_totalprice' AS col_b, round(abs(corr(x.r, y.r)), 8) + 0.0 AS effect_size
-    FROM ({_rank_sql('o_custkey', 'orders', 'o_orderkey')}) x JOIN ({_rank_sql('o_totalprice', 'orders', 'o_orderkey')}) y
-    USING (o_orderkey)"""
+
+
+def _matrix_sql(source) -> str:
+    """Effect sizes of the four order columns, each pair over its own rows: rho, epsilon squared, Cramér's V."""
+    x, y, status, priority = _GAPS
+    rho = f"""
+        SELECT '{x}' AS col_a, '{y}' AS col_b, round(abs(corr(x.r, y.r)), 8) + 0.0 AS effect_size
+        FROM ({_rank_sql(x, source(x, y), 'o_orderkey')}) x JOIN ({_rank_sql(y, source(x, y), 'o_orderkey')}) y USING (o_orderkey)"""
+    epsilon = [
+        f"SELECT '{v}', '{g}', e FROM (SELECT round(epsilon_squared, 8) + 0.0 AS e FROM ("
+        + _kruskal_sql(g, v, source(v, g)).replace(", 7)", ", 12)") + ") q) w"
+        for v in (x, y) for g in (status, priority)
+    ]
+    cramer = (f"SELECT '{status}', '{priority}', e FROM (" + _chi2_sql(status, priority, source(status, priority))
+              + " SELECT round(sqrt(sum((o - e) ** 2 / e) / (any_value(n) * 2)), 8) + 0.0 AS e FROM grid) w")
+    return " UNION ALL ".join([rho, *epsilon, cramer])
+
 
 
 ORACLE: dict[str, str] = {
@@ -251,19 +279,7 @@ ORACLE: dict[str, str] = {
         FROM grid""",
     "assoc_fisher": f"""{_FISHER_CELLS}
         SELECT n, round(n11 * n22 / nullif(n12 * n21, 0)::DOUBLE, 8) + 0.0 AS odds_ratio FROM c""",
-    "assoc_matrix": " UNION ALL ".join(
-        [
-            _SPEARMAN_MATRIX,
-            "SELECT 'o_custkey', 'o_orderstatus', e FROM (SELECT round(epsilon_squared, 8) + 0.0 AS e FROM ("
-            + _kruskal_sql("o_orderstatus", "o_custkey", "orders").replace(", 7)", ", 12)") + ") q) w",
-            "SELECT 'o_custkey', 'o_orderpriority', e FROM (SELECT round(epsilon_squared, 8) + 0.0 AS e FROM ("
-            + _kruskal_sql("o_orderpriority", "o_custkey", "orders").replace(", 7)", ", 12)") + ") q) w",
-            "SELECT 'o_totalprice', 'o_orderstatus', e FROM (SELECT round(epsilon_squared, 8) + 0.0 AS e FROM ("
-            + _kruskal_sql("o_orderstatus", "o_totalprice", "orders").replace(", 7)", ", 12)") + ") q) w",
-            "SELECT 'o_totalprice', 'o_orderpriority', e FROM (SELECT round(epsilon_squared, 8) + 0.0 AS e FROM ("
-            + _kruskal_sql("o_orderpriority", "o_totalprice", "orders").replace(", 7)", ", 12)") + ") q) w",
-            "SELECT 'o_orderstatus', 'o_orderpriority', e FROM (" + _chi2_sql("o_orderstatus", "o_orderpriority", "orders")
-            + " SELECT round(sqrt(sum((o - e) ** 2 / e) / (any_value(n) * 2)), 8) + 0.0 AS e FROM grid) w",
-        ]
-    ),
+    "assoc_matrix": _matrix_sql(lambda a, b: "orders"),
+    "assoc_matrix_gaps": _matrix_sql(
+        lambda a, b: "(SELECT * FROM orders WHERE " + " AND ".join(f"o_orderkey % {m} <> {r}" for m, r in (_GAPS[a], _GAPS[b])) + ") o"),
 }

@@ -162,6 +162,27 @@ def test_matrix_equals_pair_by_pair(spark, mixed):
         assert row["effect_size"] == pytest.approx(test.effect), row
 
 
+def test_matrix_with_gaps_everywhere(spark, mixed, monkeypatch):
+    """Every column lacks values in rows of its own; none of the large pairs goes one by one."""
+    rng = np.random.default_rng(8)
+    frame = mixed.copy()
+    for c in list(frame.columns):
+        gone = rng.random(len(frame)) < 0.15
+        frame[c] = frame[c].where(~gone) if frame[c].dtype != object else frame[c].where(~gone, None)
+    frame["rare"] = frame["x"].where(np.arange(len(frame)) < 30)  # too few rows for the joint route
+    numbers, coded = ["x", "y", "skewed", "rare"], ["g", "h"]
+    df = spark.createDataFrame(frame[numbers + coded])
+    expected = {(a, b): assoc.test_pair(df, a, b, numbers) for a, b in itertools.combinations(numbers + coded, 2)}
+    single, one = [], assoc.test_pair
+    monkeypatch.setattr(assoc, "test_pair", lambda d, a, b, c: single.append((a, b)) or one(d, a, b, c))
+    for row in assoc.association_matrix(df, numbers, coded):
+        test = expected[row["col_a"], row["col_b"]]
+        assert row["method"] == test.method, row
+        assert row["effect_size"] == pytest.approx(test.effect), row
+    joint = {("x", "y"), ("x", "skewed"), ("y", "skewed"), ("g", "h"), ("skewed", "g"), ("skewed", "h")}
+    assert not joint & set(single) and any("rare" in pair for pair in single)
+
+
 def test_two_samples_by_brute_force(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 30, 200) * 1.0, rng.integers(5, 40, 300) * 1.0
