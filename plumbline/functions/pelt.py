@@ -76,6 +76,21 @@ def best_intervals(histograms: np.ndarray, centres: np.ndarray, gamma: float, pe
     return starts[::-1]
 
 
+def best_split(histograms: np.ndarray, centres: np.ndarray, gamma: float, allowed: list[int]) -> int | None:
+    """The first interval of the right side where the two sides of consecutive intervals cost least together."""
+    if not allowed:
+        return None
+    kernel = np.exp(-np.clip(gamma * (centres[:, None] - centres[None, :]) ** 2, *CLIP))
+    upto = np.cumsum(histograms, axis=0)[np.array(allowed) - 1]
+    rest = histograms.sum(0) - upto
+    own = 1.0 - np.exp(-CLIP[0])
+    cost = 0.0
+    for side in (upto, rest):
+        n = side.sum(1)
+        cost = cost + n - (np.einsum("ij,ij->i", side @ kernel, side) + own * n) / np.maximum(n, 1)
+    return int(allowed[int(np.argmin(cost))])
+
+
 def change_points(x: np.ndarray, penalty: float, gamma: float | None = None) -> list[int]:
     """Positions where a new segment starts (the end of the series is left out).
 

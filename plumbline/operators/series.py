@@ -16,7 +16,7 @@ from ..functions import arima
 from ..functions.clean import micros, numeric, quoted, require
 from ..functions.joins import lookup
 from ..functions.ordering import quantiles, series_positions
-from ..functions.pelt import JUMP, best_intervals, change_points, scale_of, weighted_median_square_gap
+from ..functions.pelt import JUMP, MIN_SIZE, best_intervals, best_split, change_points, scale_of, weighted_median_square_gap
 from ..functions.stages import settle
 from .associate import two_samples
 
@@ -30,6 +30,7 @@ BLOCK = 20_000
 MERGE = 64
 #: Points of a block that proposes changes, intervals decided together, bins of their histograms.
 CHANGE_BLOCK, CHANGE_CHUNK, CHANGE_BINS = 20_000, 256, 512
+_REACH = 8  # how many grid places off a proposal may be
 
 
 def bucketed(df: DataFrame, time: str, value: str, unit: str, agg: str = "sum", series: str | None = None) -> DataFrame:
@@ -307,32 +308,21 @@ def _long_forecast(points: DataFrame, horizon: int, block: int) -> DataFrame:
 def changepoints(points: DataFrame, penalty: float = 10.0, block: int = CHANGE_BLOCK, chunk: int = CHANGE_CHUNK) -> DataFrame:
     """``(series, segment, start, end, mean, n)`` of every series of 4 points or more.
 
-    The kernel cost compares all points of a stretch. Overlapping blocks of a series propose changes; all points then
-    count in the histograms of the intervals between proposals, and a second pass over overlapping chunks of intervals
-    decides which proposals stay, with kernel sums that follow from the histograms. No task sees more than a block. A
-    series within one block has exact costs throughout, so its proposals are the answer.
+    The kernel cost compares all points of a stretch. At every length it is the cost of the points' bins: at most
+    ``CHANGE_BINS``, cut at quantiles of the series (so up to that many different values are compared as they are), each
+    standing at its mean. Histograms of bins add up, so the same cost can be had for any stretch of any series.
+
+    A series within one block is searched whole. For longer ones overlapping blocks propose changes, and stretches of a
+    grid, and of coarser grids until one task sees the whole series, propose those too weak for a block. Proposals are
+    decided together, then each moves to its best place between its neighbours, on ever finer grids down to the spacing
+    of the search; what no longer pays goes. No task sees more than a block of points or a chunk of intervals.
     """
     kind = _series_type(points)
     usable = points.where(F.col("n") >= MIN_CHANGE)
-
-    def segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x, t = pdf["v"].to_numpy(), pdf["t"].to_numpy()
-        edges = [0, *change_points(x, penalty), len(x)]
-        return pd.DataFrame(
-            [(key[0], i, int(t[a]), int(t[b - 1]), float(x[a:b].mean()), b - a) for i, (a, b) in enumerate(zip(edges, edges[1:]))],
-            columns=["series", "segment", "start", "end", "mean", "n"],
-        )
-
-    found = usable.where(F.col("n") <= block).groupBy("series").applyInPandas(
-        segments, f"series {kind}, segment int, start long, end long, mean double, n long"
-    )
-    long_points = usable.where(F.col("n") > block)
-    named, unnamed = long_points.where(F.col("series").isNotNull()), long_points.where(F.col("series").isNull())
-    if not named.isEmpty():
-        found = found.unionByName(_long_changes(named, penalty, block, chunk))
-    if not unnamed.isEmpty():  # joins below would lose a null key
-        one = _long_changes(unnamed.withColumn("series", F.lit(0)), penalty, block, chunk)
+    found = _changes(usable.where(F.col("series").isNotNull()), penalty, block, chunk)
+    unnamed = usable.where(F.col("series").isNull())
+    if not unnamed.isEmpty():  # joins would lose a null key
+        one = _changes(unnamed.withColumn("series", F.lit(0)), penalty, block, chunk)
         found = found.unionByName(one.withColumn("series", F.lit(None).cast(kind)))
     return found.withColumns({c: as_time(F.col(c)) for c in ("start", "end")})
 
@@ -341,76 +331,193 @@ def _same(key: tuple, n: int) -> pd.Series:
     return pd.Series([key[0]] * n, dtype=object)
 
 
-def _long_changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataFrame:
+def _binned(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with ``bin`` and its mean ``x``, and per series the kernel's scale with its bins and their means."""
     kind = _series_type(points)
-    # Bins at quantiles: each holds a like share of the points however far the rest lies out.
     at = F.percentile_approx("v", [k / CHANGE_BINS for k in range(1, CHANGE_BINS)], 20 * CHANGE_BINS)
-    spans = settle(points.groupBy("series").agg(F.array_sort(F.array_distinct(at)).alias("cuts")))  # a row per long series
+    spans = settle(points.groupBy("series").agg(F.array_sort(F.array_distinct(at)).alias("cuts")))
     halves = F.array(*[F.lit(1 << k) for k in reversed(range(CHANGE_BINS.bit_length()))])
     # Number of cuts at or below a value, by bisection.
     below = F.aggregate(halves, F.lit(0), lambda found, half: F.when(
         F.coalesce(F.get("cuts", found + half - 1) <= F.col("v"), F.lit(False)), found + half).otherwise(found))
-    binned = settle(points.join(spans, "series").withColumn("bin", below.cast("int")).drop("cuts"))
+    marked = settle(points.join(spans, "series").withColumn("bin", below.cast("int")).drop("cuts"))
+    bins = settle(marked.groupBy("series", "bin").agg(F.avg("v").alias("x"), F.count(F.lit(1)).alias("c")))
 
     def scales(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
-        gamma = scale_of(weighted_median_square_gap(pdf["centre"].to_numpy(), pdf["c"].to_numpy()))
-        return pd.DataFrame({"series": _same(key, 1), "gamma": [gamma], "bins": [pdf["bin"].tolist()], "centres": [pdf["centre"].tolist()]})
+        gamma = scale_of(weighted_median_square_gap(pdf["x"].to_numpy(), pdf["c"].to_numpy()))
+        return pd.DataFrame({"series": _same(key, 1), "gamma": [gamma], "bins": [pdf["bin"].tolist()], "centres": [pdf["x"].tolist()]})
 
-    bins = binned.groupBy("series", "bin").agg(F.avg("v").alias("centre"), F.count(F.lit(1)).alias("c"))
     scale = settle(bins.groupBy("series").applyInPandas(  # at most CHANGE_BINS rows each
         scales, f"series {kind}, gamma double, bins array<int>, centres array<double>"))
+    ready = marked.join(bins.drop("c"), ["series", "bin"]).join(scale.select("series", "gamma"), "series")
+    return settle(ready.select("series", "t", "pos", "n", "v", "bin", "x", "gamma")), scale
+
 
+def _changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataFrame:
+    binned, scale = _binned(points)
     step = max(JUMP, block * 3 // 4 // JUMP * JUMP)
+    kind = _series_type(points)
 
-    def propose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        cuts = change_points(pdf["v"].to_numpy(), penalty, float(pdf["gamma"].iloc[0])) if len(pdf) >= MIN_CHANGE else []
+        cuts = change_points(pdf["x"].to_numpy(), penalty, float(pdf["gamma"].iloc[0])) if len(pdf) >= MIN_CHANGE else []
         return pd.DataFrame({"series": _same(key, len(cuts)), "pos": pdf["pos"].to_numpy()[cuts]})
 
+    # A series within one block has a single cell; a longer one has overlapping cells.
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - block) / step) + 1)
-    cells = binned.join(scale.select("series", "gamma"), "series").withColumn(
-        "cell", F.explode(F.sequence(first.cast("long"), F.floor(F.col("pos") / step).cast("long"))))
-    proposed = settle(cells.groupBy("series", "cell").applyInPandas(propose, f"series {kind}, pos long").distinct())
-
-    # Number of proposals at or before a point: inside its cell, and in the cells before.
-    marked = binned.join(proposed.withColumn("mark", F.lit(1)), ["series", "pos"], "left").withColumn("cell", F.floor(F.col("pos") / step))
+    cells = F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(first.cast("long"), F.floor(F.col("pos") / step).cast("long")))
+    found = settle(binned.withColumn("cell", F.explode(cells)).groupBy("series", "cell").applyInPandas(
+        search, f"series {kind}, pos long").distinct())
+    long_points = binned.where(F.col("n") > block)
+    longest = long_points.agg(F.max("n")).first()[0]
+    if longest is not None:
+        long_series = settle(long_points.select("series").distinct())
+        proposed = found.join(long_series, "series")
+        kept = _placed(long_points, scale, _coarse(long_points, scale, proposed, longest, penalty, block, chunk), penalty, chunk, step)
+        found = settle(found.join(long_series, "series", "left_anti").unionByName(kept))
+    numbered = _numbered(binned, found, step)
+    segments = numbered.groupBy("series", F.col("interval").cast("int").alias("segment")).agg(
+        F.min(F.struct("pos", "t")).alias("first"), F.max(F.struct("pos", "t")).alias("last"), F.avg("v").alias("mean"),
+        F.count(F.lit(1)).alias("n"))
+    return segments.select("series", "segment", F.col("first.t").alias("start"), F.col("last.t").alias("end"), "mean", "n")
+
+
+def _numbered(points: DataFrame, marks: DataFrame, step: int) -> DataFrame:
+    """Add ``interval``: how many marks (series, pos) lie at or before a point, in its cell and in the cells before."""
+    cell = F.floor(F.col("pos") / step)
+    marked = points.join(marks.select("series", "pos", F.lit(1).alias("mark")), ["series", "pos"], "left").withColumn("cell", cell)
     inside = Window.partitionBy("series", "cell").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("series").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = proposed.groupBy("series", F.floor(F.col("pos") / step).alias("cell")).agg(F.count(F.lit(1)).alias("m"))
-    every = binned.select("series", F.floor(F.col("pos") / step).alias("cell")).distinct()
-    offsets = every.join(offsets, ["series", "cell"], "left").select(
+    before = Window.partitionBy("series").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    counts = marks.groupBy("series", cell.alias("cell")).agg(F.count(F.lit(1)).alias("m"))
+    every = points.select("series", cell.alias("cell")).distinct()
+    ahead = every.join(counts, ["series", "cell"], "left").select(
         "series", "cell", F.coalesce(F.sum(F.coalesce("m", F.lit(0))).over(before), F.lit(0)).alias("ahead"))
-    numbered = marked.withColumn("own", F.sum(F.coalesce("mark", F.lit(0))).over(inside)).join(offsets, ["series", "cell"]).withColumn(
-        "interval", F.col("own") + F.col("ahead"))
-    pieces = settle(numbered.groupBy("series", "interval", "bin").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.min(F.struct("pos", "t")).alias("first"), F.max(F.struct("pos", "t")).alias("last")))
+    own = F.sum(F.coalesce("mark", F.lit(0))).over(inside)
+    return marked.withColumn("own", own).join(ahead, ["series", "cell"]).withColumn("interval", F.col("own") + F.col("ahead"))
+
+
+def _tabled(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Interval numbers, their histograms, the bins' means and the kernel's scale from rows of one series."""
+    numbers = np.sort(pdf["interval"].unique())
+    where = {b: i for i, b in enumerate(pdf["bins"].iloc[0])}
+    table = np.zeros((len(numbers), len(where)))
+    np.add.at(table, (np.searchsorted(numbers, pdf["interval"]), pdf["bin"].map(where).to_numpy()), pdf["c"].to_numpy())
+    return numbers, table, np.array(pdf["centres"].iloc[0]), float(pdf["gamma"].iloc[0])
 
+
+def _decided(pieces: DataFrame, scale: DataFrame, by: list[str], penalty: float, chunk: int) -> DataFrame:
+    """Intervals that start a segment: ``pieces`` (``by``, interval, bin, c) are weighed in overlapping chunks."""
     margin = chunk // 4
     part = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("interval") - margin) / chunk)).cast("long"),
                                 F.floor((F.col("interval") + margin) / chunk).cast("long")))
 
     def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers = np.sort(pdf["interval"].unique())
-        where = {b: i for i, b in enumerate(pdf["bins"].iloc[0])}
-        table = np.zeros((len(numbers), len(where)))
-        table[np.searchsorted(numbers, pdf["interval"]), pdf["bin"].map(where)] = pdf["c"]
-        starts = best_intervals(table, np.array(pdf["centres"].iloc[0]), float(pdf["gamma"].iloc[0]), penalty)
-        kept = [int(numbers[i]) for i in starts if numbers[i] // chunk == key[1]]
-        return pd.DataFrame({"series": _same(key, len(kept)), "interval": pd.Series(kept, dtype="int64")})
-
-    chunks = pieces.select("series", "interval", "bin", "c").withColumn("part", part).join(scale, "series")
-    kept = settle(chunks.groupBy("series", "part").applyInPandas(decide, f"series {kind}, interval long"))
-    intervals = pieces.groupBy("series", "interval").agg(
-        F.sum("c").alias("c"), F.sum("s").alias("s"), F.min("first").alias("first"), F.max("last").alias("last"))
-    upto = Window.partitionBy("series").orderBy("interval").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        intervals.join(kept.withColumn("starts", F.lit(1)), ["series", "interval"], "left")
-        .withColumn("segment", F.sum(F.coalesce("starts", F.lit(0))).over(upto).cast("int"))
-        .groupBy("series", "segment")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.sum("s") / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
-        .select("series", "segment", F.col("first.t").alias("start"), F.col("last.t").alias("end"), "mean", "n")
+        numbers, table, centres, gamma = _tabled(pdf)
+        starts = best_intervals(table, centres, gamma, penalty)
+        kept = [int(numbers[i]) for i in starts if numbers[i] // chunk == key[-1]]
+        return pd.DataFrame({**{c: pd.Series([k] * len(kept), dtype=object if c == "series" else "int64") for c, k in zip(by, key)},
+                             "interval": pd.Series(kept, dtype="int64")})
+
+    kinds = dict(pieces.dtypes)
+    chunks = pieces.withColumn("part", part).join(scale, "series")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", interval long"
+    return chunks.groupBy(*by, "part").applyInPandas(decide, schema)
+
+
+def _coarse(points: DataFrame, scale: DataFrame, proposed: DataFrame, longest: int, penalty: float, block: int, chunk: int) -> DataFrame:
+    """``series, pos, reach``: the blocks' proposals, and those of grids where no finer proposal is within reach."""
+    grid = max(JUMP, block // 4 // JUMP * JUMP)
+    levels = 0
+    while -(-longest // (grid << levels)) > chunk:
+        levels += 1
+    pieces = settle(points.groupBy("series", F.floor(F.col("pos") / grid).alias("interval"), "bin").agg(F.count(F.lit(1)).alias("c")))
+    level = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(levels).cast("long")))
+    every = pieces.select("series", "bin", "c", "interval", level.alias("level")).withColumn(
+        "interval", F.floor(F.col("interval") / F.pow(F.lit(2.0), F.col("level")))
+    ).groupBy("series", "level", "interval", "bin").agg(F.sum("c").alias("c"))
+    decided = _decided(every, scale, ["series", "level"], penalty, chunk)
+    width = (F.lit(float(grid)) * F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    coarse = settle(decided.select("series", "level", (F.col("interval") * width).alias("pos"), width.alias("reach")))
+    taken = proposed.select("series", "pos", F.lit(_REACH * JUMP).cast("long").alias("reach"))
+    for number in range(levels + 1):
+        own = coarse.where(F.col("level") == number).select("series", "pos", "reach", F.lit(True).alias("new"))
+        both = taken.withColumn("new", F.lit(False)).unionByName(own)
+        side = Window.partitionBy("series").orderBy("pos")  # a row per proposal
+        finer = F.when(~F.col("new"), F.col("pos"))
+        last = F.last(finer, ignorenulls=True).over(side.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        after = F.first(finer, ignorenulls=True).over(side.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        near = F.least(F.col("pos") - F.coalesce(last, F.col("pos") - (1 << 60)), F.coalesce(after, F.col("pos") + (1 << 60)) - F.col("pos"))
+        taken = settle(both.withColumn("near", near).where(~F.col("new") | (F.col("near") > F.col("reach"))).select("series", "pos", "reach"))
+    return taken
+
+
+def _kept(points: DataFrame, scale: DataFrame, marks: DataFrame, penalty: float, chunk: int, step: int) -> DataFrame:
+    """Those of the marks that the cost of all intervals between them keeps."""
+    pieces = settle(_numbered(points, marks, step).groupBy("series", "interval", "bin").agg(
+        F.count(F.lit(1)).alias("c"), F.min("pos").alias("first")))
+    starts = pieces.groupBy("series", "interval").agg(F.min("first").alias("pos"))
+    decided = _decided(pieces.drop("first"), scale, ["series"], penalty, chunk)
+    return settle(decided.join(starts, ["series", "interval"]).select("series", "pos"))
+
+
+def _placed(points: DataFrame, scale: DataFrame, marks: DataFrame, penalty: float, chunk: int, step: int) -> DataFrame:
+    """Decide on the marks, then move each to its best place; ``reach`` tells how far off it may be."""
+    kept = settle(_kept(points, scale, marks, penalty, chunk, step).join(marks, ["series", "pos"]))
+    moved = False
+    while True:
+        widest = kept.agg(F.max("reach")).first()[0] or 0
+        if widest <= JUMP:
+            break
+        moved = True
+        finer = F.greatest(F.lit(JUMP), F.floor(F.col("reach") / _REACH / JUMP) * JUMP).cast("long")
+        kept = _moved(points, scale, kept.withColumn("finer", finer), step)
+    ready = kept.select("series", "pos")
+    return _kept(points, scale, ready, penalty, chunk, step) if moved else ready
+
+
+def _moved(points: DataFrame, scale: DataFrame, kept: DataFrame, step: int) -> DataFrame:
+    """Each mark at the place within twice its reach where the two segments beside it cost least, on its finer grid."""
+    kind = _series_type(points)
+    order = Window.partitionBy("series").orderBy("pos")  # a row per change
+    sizes = points.groupBy("series").agg(F.max("n").alias("n"))
+    changes = settle(
+        kept.join(sizes, "series").withColumns({
+            "number": F.row_number().over(order).cast("long"),
+            "before": F.coalesce(F.lag("pos").over(order), F.lit(0)), "behind": F.coalesce(F.lead("pos").over(order), F.col("n")),
+        })
     )
+    tries = F.sequence(F.lit(-2 * _REACH), F.lit(2 * _REACH))
+    at = F.col("pos") + F.col("step") * F.col("finer")
+    places = changes.withColumn("step", F.explode(F.when(F.col("reach") > JUMP, tries).otherwise(F.array(F.lit(0))))).withColumn("place", at)
+    inside = (F.col("place") >= F.col("before") + MIN_SIZE) & (F.col("place") <= F.col("behind") - MIN_SIZE)
+    places = settle(places.where(inside | (F.col("step") == 0)).select("series", "number", F.col("place").alias("pos"), (F.col("step") == 0).alias("own")))
+    marks = places.select("series", "pos").distinct()
+    pieces = settle(_numbered(points, marks, step).groupBy("series", "interval", "bin").agg(
+        F.count(F.lit(1)).alias("c"), F.min("pos").alias("first")))
+    starts = settle(pieces.groupBy("series", "interval").agg(F.min("first").alias("pos")))
+    # Every interval counts for the change behind it and for the one before it.
+    segment = starts.join(changes.select("series", "pos", "number"), ["series", "pos"], "left").withColumn(
+        "segment", F.coalesce(F.max("number").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    candidates = places.groupBy("series", "pos").agg(F.collect_set("number").alias("tried"))
+    shaped = settle(segment.join(candidates, ["series", "pos"], "left").select("series", "interval", "pos", "segment", "tried"))
+    rows = pieces.drop("first").join(shaped, ["series", "interval"]).withColumn(
+        "number", F.explode(F.array(F.col("segment"), F.col("segment") + 1))).join(
+        changes.select("series", "number", F.col("pos").alias("now")), ["series", "number"]).join(scale, "series")
+
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        numbers, table, centres, gamma = _tabled(pdf)
+        first = pdf.drop_duplicates("interval").sort_values("interval")
+        allowed = [i for i, tried in enumerate(first["tried"]) if i and tried is not None and key[1] in list(tried)]
+        at = best_split(table, centres, gamma, allowed)
+        place = int(pdf["now"].iloc[0]) if at is None else int(first["pos"].iloc[at])
+        return pd.DataFrame({"series": _same(key, 1), "number": [key[1]], "pos": [place]})
+
+    found = rows.groupBy("series", "number").applyInPandas(best, f"series {kind}, number long, pos long")
+    rest = F.when((F.col("reach") > JUMP) & (F.col("finer") > JUMP), F.col("finer")).otherwise(F.lit(0))
+    return settle(found.join(changes.select("series", "number", rest.cast("long").alias("reach")), ["series", "number"]).groupBy(
+        "series", "pos").agg(F.max("reach").alias("reach")))
 
 
 def changepoint_status(points: DataFrame) -> DataFrame:

@@ -51,6 +51,16 @@ def changepoints_by_key(spark, sf_dir):
     return rounded(series.changepoints(series.ordered(hourly, "ts", "value", "event_type")), 6, "mean")
 
 
+def changepoints_planted(spark, sf_dir):
+    """A series with levels 0, 12 and 5 and a known wobble, searched in blocks of 400 points."""
+    key = F.col("o_orderkey")
+    level = F.when(key < 600, 0.0).when(key < 1000, 12.0).otherwise(5.0)
+    rows = table(spark, sf_dir, "orders").select(
+        F.timestamp_seconds(key).alias("t"), (level + (key * 7919 % 101) / 25.0).alias("v"))
+    found = series.changepoints(series.ordered(rows, "t", "v"), block=400)
+    return rounded(found.select("segment", "n", "mean"), 6, "mean")
+
+
 _COMPARED = ("mean_before", "mean_after", "delta", "pct_change", "cohens_d", "d")
 
 
@@ -72,7 +82,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         series_period, decompose_daily, decompose_by_priority, forecast_by_key, forecast_status, changepoints_by_key,
-        compare_periods, compare_periods_ties,
+        changepoints_planted, compare_periods, compare_periods_ties,
     )
 }
 
@@ -124,6 +134,11 @@ def _compare_sql(source: str, time: str, value: str) -> str:
 _PERIOD_RULE = "CASE WHEN n >= 24 THEN 12 WHEN n >= 14 THEN 7 WHEN n >= 8 THEN 4 ELSE greatest(2, n // 2) END"
 
 ORACLE: dict[str, str] = {
+    "changepoints_planted": """
+        SELECT CAST(level AS INTEGER) AS segment, count(*) AS n, round(avg(v), 6) + 0.0 AS mean
+        FROM (SELECT (o_orderkey >= 600)::INTEGER + (o_orderkey >= 1000)::INTEGER AS level,
+                     CASE WHEN o_orderkey < 600 THEN 0.0::DOUBLE WHEN o_orderkey < 1000 THEN 12 ELSE 5 END
+                     + (o_orderkey * 7919 % 101) / 25.0::DOUBLE AS v FROM orders) p GROUP BY level""",
     "series_period": f"""
         SELECT series, n, CAST({_PERIOD_RULE} AS INTEGER) AS period FROM
         (SELECT o_custkey AS series, count(DISTINCT year(o_orderdate)) AS n FROM orders GROUP BY 1) s""",

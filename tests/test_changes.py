@@ -74,3 +74,32 @@ def test_far_off_points_do_not_hide_a_shift(spark, kind):
     ends = lambda found: np.cumsum([r["n"] for r in found])
     assert len(exact) == len(blocks) >= 3 and abs(ends(exact) - ends(blocks)).max() <= 5
     assert abs(ends(blocks) - [1_000, 2_000, 3_000]).max() <= 5
+
+
+def test_block_size_does_not_decide(spark):
+    """Strong, weak and short segments: the same whatever the blocks, and as one search over the whole series."""
+    rng = np.random.default_rng(11)
+    levels = np.repeat([0.0, 0.45, 8.0, 3.2, 0.4, 0.4], [4_000, 3_000, 60, 2_440, 2_500, 1_000])
+    x = levels + rng.normal(0, 1, len(levels))
+    whole = ts.changepoints(points(spark, {"a": x})).orderBy("segment").collect()
+    assert len(whole) == 5 and max(r["n"] for r in whole) < 4_200
+    for block in (500, 5_000):
+        found = ts.changepoints(points(spark, {"a": x}), block=block).orderBy("segment").collect()
+        assert [(r["start"], r["n"]) for r in found] == [(r["start"], r["n"]) for r in whole], block
+
+
+def test_the_best_split_by_all_splits():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 40), rng.normal(2, 1, 30)])
+    centres, where = np.unique(x, return_inverse=True)
+    table = np.zeros((14, len(centres)))
+    np.add.at(table, (np.arange(70) // 5, where), 1)
+
+    def cost(part):
+        k = np.exp(-np.clip(0.3 * (part[:, None] - part) ** 2, *pelt.CLIP))
+        np.fill_diagonal(k, 1.0)
+        return len(part) - k.sum() / len(part)
+
+    best = min(range(1, 14), key=lambda i: cost(x[: 5 * i]) + cost(x[5 * i :]))
+    assert pelt.best_split(table, centres, 0.3, list(range(1, 14))) == best
+    assert pelt.best_split(table, centres, 0.3, []) is None
