@@ -27,6 +27,7 @@ MIN_CURVATURE = 1e-3
 RATE = 0.3
 _FLUSH = 5  # rounds between writes of the scores
 _EMIT = 1 << 20
+_ONE_TASK = 50_000
 SQUARED, LOGISTIC, SOFTMAX = "squared", "logistic", "softmax"
 
 
@@ -215,8 +216,14 @@ def _sums(loss: str, pending: list[list[Tree]], growing: list[Tree], active: lis
     return run
 
 
-def _best(sums: DataFrame, ordered: int, penalty: float, min_rows: int) -> DataFrame:
-    """The best split of every (output, node) that has one, with the sums of both sides."""
+def _best(sums: DataFrame, ordered: int, penalty: float, min_rows: int, slots: int) -> DataFrame:
+    """The best split of every (output, node) that has one, with the sums of both sides.
+
+    Up to ``_ONE_TASK`` bins in all, a node's sums go to one task, which then needs no further shuffle; with more, nominal
+    columns of many levels, they are spread by bin.
+    """
+    if slots <= _ONE_TASK:
+        sums = sums.repartition("output", "node")
     total = sums.groupBy("output", "node", "feature", "bin").agg(
         F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
     whole = Window.partitionBy("output", "node", "feature")
@@ -241,15 +248,17 @@ def _best(sums: DataFrame, ordered: int, penalty: float, min_rows: int) -> DataF
 
 def boost(
     df: DataFrame, features: Sequence[Column], label: Column, loss: str, edges: list[list[float]], base: Sequence[float],
-    rounds: int = 20, depth: int = 5, rate: float = RATE, penalty: float = 0.0, min_rows: int = MIN_ROWS,
+    rounds: int = 20, depth: int = 5, rate: float = RATE, penalty: float = 0.0, min_rows: int = MIN_ROWS, levels: int = 0,
 ) -> Booster:
     """Trees for the rows of ``df``: the first ``len(edges)`` features are ordered, the others are slots of levels.
 
-    ``base`` has the score that each output starts from. A round without any split ends the fit. Of equal gains the
+    ``base`` has the score that each output starts from; ``levels`` is how many the nominal features have, as far as it is
+    known, and only shapes the jobs. A round without any split ends the fit. Of equal gains the
     first feature and lowest bin win.
     """
     model = Booster(loss, len(edges), [list(e) for e in edges], [float(b) for b in base])
     data = settle(binned(df, features, label, edges, model.base))
+    slots = levels + sum(len(e) + 1 for e in edges)
     pending: list[list[Tree]] = []
     for _ in range(rounds):
         growing = [Tree.empty(depth) for _ in base]
@@ -259,7 +268,7 @@ def boost(
                 _sums(loss, pending, growing, active, model.ordered),
                 "output int, node int, feature int, bin int, g double, h double, n long")
             active = [[] for _ in base]
-            for r in _best(sums, model.ordered, penalty, min_rows).collect():  # a row per node that splits
+            for r in _best(sums, model.ordered, penalty, min_rows, slots).collect():  # a row per node that splits
                 tree, node, f = growing[r["output"]], r["node"], r["feature"]
                 tree.feature[node], tree.bin[node] = f, r["bin"]
                 tree.cut[node] = edges[f][r["bin"]] if f < model.ordered else r["bin"]

@@ -185,7 +185,8 @@ def train(
     names = encoded_names(plan)
     ordered = len(roles.numeric + roles.ordinal)
     edges = boost.bin_edges(rows, names[:ordered])
-    booster = boost.boost(rows, [F.col(c) for c in names], F.col(LABEL), loss, edges, base, rounds, depth)
+    booster = boost.boost(rows, [F.col(c) for c in names], F.col(LABEL), loss, edges, base, rounds, depth,
+                          levels=sum(plan.sizes.get(c, 0) for c in roles.nominal))
     return TrainedModel(plan, booster, roles, target, task, ALGORITHM, classes, data, n)
 
 

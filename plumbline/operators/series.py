@@ -318,12 +318,15 @@ def changepoints(points: DataFrame, penalty: float = 10.0, block: int = CHANGE_B
     of the search; what no longer pays goes. No task sees more than a block of points or a chunk of intervals.
     """
     kind = _series_type(points)
-    usable = points.where(F.col("n") >= MIN_CHANGE)
-    found = _changes(usable.where(F.col("series").isNotNull()), penalty, block, chunk)
-    unnamed = usable.where(F.col("series").isNull())
-    if not unnamed.isEmpty():  # joins would lose a null key
-        one = _changes(unnamed.withColumn("series", F.lit(0)), penalty, block, chunk)
-        found = found.unionByName(one.withColumn("series", F.lit(None).cast(kind)))
+    usable = settle(points.where(F.col("n") >= MIN_CHANGE))
+    found = _short_changes(usable.where(F.col("n") <= block), penalty)
+    long_points = usable.where(F.col("n") > block)
+    if not long_points.isEmpty():
+        found = found.unionByName(_long_changes(long_points.where(F.col("series").isNotNull()), penalty, block, chunk))
+        unnamed = long_points.where(F.col("series").isNull())
+        if not unnamed.isEmpty():  # joins would lose a null key
+            one = _long_changes(unnamed.withColumn("series", F.lit(0)), penalty, block, chunk)
+            found = found.unionByName(one.withColumn("series", F.lit(None).cast(kind)))
     return found.withColumns({c: as_time(F.col(c)) for c in ("start", "end")})
 
 
@@ -331,16 +334,40 @@ def _same(key: tuple, n: int) -> pd.Series:
     return pd.Series([key[0]] * n, dtype=object)
 
 
-def _binned(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points with ``bin`` and its mean ``x``, and per series the kernel's scale with its bins and their means."""
-    kind = _series_type(points)
+def _with_bin(points: DataFrame) -> DataFrame:
+    """Add ``bin``: the number of the series' cuts at or below the value, by bisection."""
     at = F.percentile_approx("v", [k / CHANGE_BINS for k in range(1, CHANGE_BINS)], 20 * CHANGE_BINS)
-    spans = settle(points.groupBy("series").agg(F.array_sort(F.array_distinct(at)).alias("cuts")))
+    spans = points.groupBy(F.col("series").alias("_series")).agg(F.array_sort(F.array_distinct(at)).alias("cuts"))
     halves = F.array(*[F.lit(1 << k) for k in reversed(range(CHANGE_BINS.bit_length()))])
-    # Number of cuts at or below a value, by bisection.
     below = F.aggregate(halves, F.lit(0), lambda found, half: F.when(
         F.coalesce(F.get("cuts", found + half - 1) <= F.col("v"), F.lit(False)), found + half).otherwise(found))
-    marked = settle(points.join(spans, "series").withColumn("bin", below.cast("int")).drop("cuts"))
+    return points.join(spans, F.col("series").eqNullSafe(F.col("_series"))).withColumn("bin", below.cast("int")).drop("cuts", "_series")
+
+
+def _short_changes(points: DataFrame, penalty: float) -> DataFrame:
+    """Series within one block, each searched whole by one task: the bins' means and the scale are had on the spot."""
+    kind = _series_type(points)
+
+    def segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        v, t = pdf["v"].to_numpy(), pdf["t"].to_numpy()
+        _, bins, counts = np.unique(pdf["bin"].to_numpy(), return_inverse=True, return_counts=True)
+        centres = np.bincount(bins, v) / counts
+        gamma = scale_of(weighted_median_square_gap(centres, counts))
+        edges = [0, *change_points(centres[bins], penalty, gamma), len(v)]
+        return pd.DataFrame(
+            [(key[0], i, int(t[a]), int(t[b - 1]), float(v[a:b].mean()), b - a) for i, (a, b) in enumerate(zip(edges, edges[1:]))],
+            columns=["series", "segment", "start", "end", "mean", "n"],
+        )
+
+    return _with_bin(points).groupBy("series").applyInPandas(
+        segments, f"series {kind}, segment int, start long, end long, mean double, n long")
+
+
+def _binned(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with ``bin`` and its mean ``x``, and per series the kernel's scale with its bins and their means."""
+    kind = _series_type(points)
+    marked = settle(_with_bin(points))
     bins = settle(marked.groupBy("series", "bin").agg(F.avg("v").alias("x"), F.count(F.lit(1)).alias("c")))
 
     def scales(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -354,7 +381,7 @@ def _binned(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settle(ready.select("series", "t", "pos", "n", "v", "bin", "x", "gamma")), scale
 
 
-def _changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataFrame:
+def _long_changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataFrame:
     binned, scale = _binned(points)
     step = max(JUMP, block * 3 // 4 // JUMP * JUMP)
     kind = _series_type(points)
@@ -364,21 +391,13 @@ def _changes(points: DataFrame, penalty: float, block: int, chunk: int) -> DataF
         cuts = change_points(pdf["x"].to_numpy(), penalty, float(pdf["gamma"].iloc[0])) if len(pdf) >= MIN_CHANGE else []
         return pd.DataFrame({"series": _same(key, len(cuts)), "pos": pdf["pos"].to_numpy()[cuts]})
 
-    # A series within one block has a single cell; a longer one has overlapping cells.
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - block) / step) + 1)
-    cells = F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(first.cast("long"), F.floor(F.col("pos") / step).cast("long")))
-    found = settle(binned.withColumn("cell", F.explode(cells)).groupBy("series", "cell").applyInPandas(
+    cells = F.sequence(first.cast("long"), F.floor(F.col("pos") / step).cast("long"))
+    proposed = settle(binned.withColumn("cell", F.explode(cells)).groupBy("series", "cell").applyInPandas(
         search, f"series {kind}, pos long").distinct())
-    long_points = binned.where(F.col("n") > block)
-    longest = long_points.agg(F.max("n")).first()[0]
-    if longest is not None:
-        long_series = settle(long_points.select("series").distinct())
-        proposed = found.join(long_series, "series")
-        kept = _placed(long_points, scale, _coarse(long_points, scale, proposed, longest, penalty, block, chunk), penalty, chunk, step)
-        found = settle(found.join(long_series, "series", "left_anti").unionByName(kept))
-    numbered = _numbered(binned, found, step)
-    segments = numbered.groupBy("series", F.col("interval").cast("int").alias("segment")).agg(
+    longest = binned.agg(F.max("n")).first()[0] or 0
+    kept = _placed(binned, scale, _coarse(binned, scale, proposed, longest, penalty, block, chunk), penalty, chunk, step)
+    segments = _numbered(binned, kept, step).groupBy("series", F.col("interval").cast("int").alias("segment")).agg(
         F.min(F.struct("pos", "t")).alias("first"), F.max(F.struct("pos", "t")).alias("last"), F.avg("v").alias("mean"),
         F.count(F.lit(1)).alias("n"))
     return segments.select("series", "segment", F.col("first.t").alias("start"), F.col("last.t").alias("end"), "mean", "n")
