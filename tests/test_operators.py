@@ -230,6 +230,36 @@ def test_causal_declines_a_constant_treatment(spark):
     assert Session(spark).add_table(df, "t").causal_effect("t", "y", []).declined
 
 
+@pytest.mark.parametrize("here", [True, False])
+def test_crossed_categories_are_absorbed(spark, monkeypatch, here):
+    """As the regression with a 0/1 column for each level of both categories, in memory and by joins."""
+    monkeypatch.setattr(causal, "CELLS", 10**9 if here else 0)
+    rng = np.random.default_rng(6)
+    n = 700
+    g, h = rng.integers(0, 12, n), rng.integers(0, 7, n)
+    c = rng.normal(size=n)
+    t = 0.3 * g - 0.2 * h + c + rng.normal(size=n)
+    y = 1.5 * t + g * 0.7 - h + 2 * c + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"t": t, "y": y, "c": c, "g": g.astype(str), "h": h.astype(str)}))
+    x = np.column_stack([t, c, np.eye(12)[g], np.eye(7)[h]])
+    expected = np.linalg.lstsq(x, y, rcond=None)[0][0]
+    rows = causal.complete_rows(df, "t", "y", ["c"], ["g", "h"])
+    cov = causal.absorbed(rows, ["_t", "_n0", "_y"], ["_c0", "_c1"])
+    assert causal._coefficient(cov, [0, 1], 2) == pytest.approx(expected, abs=1e-8)
+    explained = df.withColumn("t", F.col("g").cast("double"))
+    cov = causal.absorbed(causal.complete_rows(explained, "t", "y", ["c"], ["g"]), ["_t", "_n0", "_y"], ["_c0"])
+    assert cov[0, 0] == 0.0 and causal._coefficient(cov, [0, 1], 2) == 0.0
+
+
+def test_a_hundred_thousand_levels(spark):
+    """Each level has an effect of its own, which would hide the treatment's."""
+    rows = spark.range(200_000).select(
+        (F.col("id") % 100_000).cast("string").alias("level"), ((F.col("id") * 7919 % 1009) / 500.0).alias("t"), "id")
+    df = rows.select("level", "t", (3 * F.col("t") + F.col("level").cast("double") % 97 + (F.col("id") * 31 % 11) / 100.0).alias("y"))
+    found = causal.causal_effect(df, "t", "y", [], ["level"])
+    assert found.n == 200_000 and found.effect == pytest.approx(3.0, abs=0.02) and found.passed
+
+
 def test_preparation_unseen_and_missing(spark):
     df = spark.createDataFrame(
         [(1.0, "lo", "r"), (3.0, "hi", "r"), (None, None, None), (5.0, "mid", "g")], "x double, o string, n string")
