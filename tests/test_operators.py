@@ -395,3 +395,32 @@ def test_json_and_keys():
     assert json_safe({"a": NAN, "b": [INF, np.int64(3)], "d": dt.date(2020, 1, 2)}) == {"a": None, "b": [None, 3], "d": "2020-01-02"}
     assert operation_key("x", {"a": 1, "b": 2}, "f") == operation_key("x", {"b": 2, "a": 1}, "f")
     assert operation_key("x", {"a": 1}, "f") != operation_key("x", {"a": 1}, "g")
+
+
+def test_edges_by_all_pairs_of_columns(spark):
+    """Signatures lose no edge: children far smaller and far larger than a signature, at, above and below the coverage."""
+    rng = random.Random(8)
+    ids = rng.sample(range(10**9), 6_000)
+    parents = spark.createDataFrame([(v, f"name {v}", v % 50, "x" * 300 + str(v)) for v in ids], "id long, name string, part int, note string")
+    rows = [(i, rng.choice(ids), ids[i % 40], ids[i] if i % 100 < 95 else -i, ids[i] if i % 100 < 90 else -i,
+             f"name {ids[i]}" if i % 50 else None, rng.randrange(50)) for i in range(5_000)]
+    children = spark.createDataFrame(rows, "own long, any_id long, few long, edge long, short long, named string, part long")
+    empty = spark.createDataFrame([], "id long, name string")
+    tables = {"parents": parents, "children": children, "empty": empty}
+    values, kinds, keys = {}, {}, set()
+    for t, df in tables.items():
+        for f in df.schema.fields:
+            got = [r[0] for r in df.select(f.name).collect()]
+            values[t, f.name], kinds[t, f.name] = {v for v in got if v is not None}, f.dataType.simpleString() == "string"
+            if got and len(set(got)) == len(got) and None not in got:
+                keys.add((t, f.name))
+    expected = set()
+    for c, p in itertools.permutations(values, 2):
+        if p in keys and kinds[c] == kinds[p] and len(values[c]) >= 2 and (c not in keys or relate.strong_name(c[1], p[0])):
+            share = len(values[c] & values[p]) / len(values[c])
+            if share >= 0.95:
+                expected.add((*c, *p, round(share, 4)))
+    found = {(e.child_table, e.child_column, e.parent_table, e.parent_column, e.coverage) for e in relate.find_edges(tables).relationships}
+    assert found == expected and len(expected) >= 4
+    assert not any("note" in (c[1], p[1]) for c, p in relate.candidate_pairs(tables))
+    assert relate.find_edges({"empty": empty}).relationships == []
