@@ -79,6 +79,14 @@ def causal_linear(spark, sf_dir):
     return rounded(frame, 4, "effect")
 
 
+def causal_absorbed(spark, sf_dir):
+    """A confounder with as many levels as there are parts."""
+    found = causal.causal_effect(
+        table(spark, sf_dir, "lineitem"), "l_discount", "l_extendedprice", ["l_quantity"], ["l_partkey"])
+    frame = spark.createDataFrame([(found.n, found.effect)], "n long, effect double")
+    return rounded(frame, 4, "effect")
+
+
 def causal_adjusted(spark, sf_dir):
     """Numeric and categorical confounders, with the random-common-cause check."""
     found = causal.causal_effect(
@@ -95,7 +103,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         rfm_scores, rfm_segments, retention_orders, retention_events, basket_itemsets, basket_itemsets_all,
-        basket_rules, basket_rules_all, basket_top_rules, causal_linear, causal_adjusted,
+        basket_rules, basket_rules_all, basket_top_rules, causal_linear, causal_absorbed, causal_adjusted,
     )
 }
 
@@ -180,6 +188,11 @@ ORACLE: dict[str, str] = {
         SELECT a AS antecedent, c AS consequent, round(r.freq / n, 9) + 0.0 AS support,
                round(r.freq / x.freq, 9) + 0.0 AS confidence, round(r.freq / x.freq * n / y.freq, 9) + 0.0 AS lift
         FROM r, n, one x, one y WHERE x.i = r.a AND y.i = r.c AND r.freq / x.freq >= 0.2""",
+    "causal_absorbed": """
+        WITH d AS (SELECT l_discount - avg(l_discount) OVER w AS t, l_quantity - avg(l_quantity) OVER w AS q,
+                          l_extendedprice - avg(l_extendedprice) OVER w AS y FROM lineitem WINDOW w AS (PARTITION BY l_partkey)),
+             f AS (SELECT sum(t * q) / sum(q * q) AS b FROM d)
+        SELECT count(*) AS n, round(sum((t - b * q) * y) / sum((t - b * q) * (t - b * q)), 4) + 0.0 AS effect FROM d, f""",
     "causal_linear": """
         WITH f AS (SELECT regr_slope(l_discount, l_quantity) AS bt, regr_slope(l_extendedprice, l_quantity) AS bo,
                           avg(l_quantity) AS mq, avg(l_discount) AS mt, avg(l_extendedprice) AS my FROM lineitem)
