@@ -30,10 +30,11 @@ class Rule:
     least: int
 
 
+#: Runs are maximal, so a least length may stand in the pattern: a shorter run holds no longer one.
 RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 24),
+    Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20),
+    Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
 #: Cheap patterns that match wherever a rule can count; texts without one are not searched further.
 _HINTS = {
@@ -41,30 +42,52 @@ _HINTS = {
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
 }
+_BLOCK = 256
 _SPANS = "array<struct<start:int,end:int>>"
 _LEDGER = f"blob binary, rule string, version int, spans {_SPANS}"
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """Starts and ends (exclusive, in code points) of the leftmost non-overlapping matches that count."""
+    """Starts and ends (exclusive, in code points) of the leftmost non-overlapping matches that count.
+
+    Matches are walked in blocks: a block starts behind the lengths of those before it and keeps what counts, so a text
+    of very many matches costs little more than their number.
+    """
     pattern = F.lit(rule.pattern)
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), F.transform(found, F.length),
-                       lambda gap, width: F.struct(gap.alias("gap"), width.alias("width")))
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["width"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"),
-                                                  (acc["at"] + s["gap"] + s["width"]).alias("end")))).alias("out"),
-        ),
-    )["out"]
-    kept = F.filter(F.zip_with(placed, counted, lambda p, c: F.struct(p.alias("p"), (F.length(c) >= rule.least).alias("ok"))),
-                    lambda x: x["ok"])
-    return F.transform(kept, lambda x: x["p"])
+    sized = F.zip_with(found, counted, lambda m, c: F.struct(F.length(m).alias("width"), (F.length(c) >= rule.least).alias("ok")))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), sized,
+                       lambda gap, m: F.struct(gap.alias("gap"), m["width"].alias("width"), m["ok"].alias("ok")))
+    none = F.array().cast(_SPANS)
+
+    def walked(block: Column, at: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["width"]
+            span = F.array(F.struct(start.alias("start"), end.alias("end")))
+            return F.struct(end.alias("at"), F.when(s["ok"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n)
+
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once, however often ``use`` names it: a lambda's argument is."""
+        return F.flatten(F.transform(F.array(value), use))
+
+    def of_steps(given: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(given) - 1) / _BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(given, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.when(F.size(given) == 0, none).otherwise(bound(blocks, of_blocks))
+
+    def of_blocks(blocks: Column) -> Column:
+        lengths = F.transform(blocks, lambda block: total(F.transform(block, lambda s: s["gap"] + s["width"])))
+        return bound(lengths, lambda known: F.flatten(F.transform(
+            blocks, lambda block, b: walked(block, total(F.slice(known, F.lit(1), b))))))
+
+    return bound(steps, of_steps)
 
 
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +142,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
         .select("blob", F.transform("spans", lambda s: F.struct(
             s["start"].alias("start"), rank[F.col("rule")].alias("rank"), s["end"].alias("end"), F.col("rule").alias("kind"),
         )).alias("part"))
-        .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("part")))).alias("findings"))
+        .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("part"))).alias("findings"))  # a pair appended twice is one
     )
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return (

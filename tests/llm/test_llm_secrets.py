@@ -1,5 +1,6 @@
 """Secret scans against Python's regular expressions, and what the ledger keeps from being scanned again."""
 
+import random
 import re
 
 from plumbline.functions.stages import new_path
@@ -23,6 +24,23 @@ def brute(text):
     return sorted(found)
 
 
+#: The rules as they are given: a pattern without a least length, and matches that fail it dropped.
+GIVEN = (
+    (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), (r"AKIA[A-Z0-9]+", 0, 20),
+    (r"[0-9a-f]+", 0, 24),
+)
+
+
+def test_least_lengths_in_the_patterns_change_nothing():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(["AKIA", "A", "K", "Z9", "a", "f0", " ", "0123456789", "token=", "secret:"], k=30)) for _ in range(3000)]
+    for text in [*texts, "AKIAAKIA" + "A" * 15, "AKIA" * 5, "AKIA" + "A" * 14 + " AKIA" + "B" * 16]:
+        given = sorted(
+            (m.start(), rank, m.end(), rule.name) for rank, ((pattern, group, least), rule) in enumerate(zip(GIVEN, secret_scan.RULES))
+            for m in re.finditer(pattern, text) if len(m[group]) >= least)
+        assert brute(text) == given
+
+
 def docs(spark, rows=ROWS):
     return spark.createDataFrame([(i, t, "b", "r", "s") for i, t in rows], SCHEMA)
 
@@ -73,3 +91,18 @@ def test_redaction(spark):
 def test_empty(spark):
     assert secret_scan.scan(docs(spark, []), new_path(spark, "ledger")).count() == 0
     assert secret_scan.redact(docs(spark, []), new_path(spark, "ledger")).count() == 0
+
+
+def test_five_megabytes_in_one_text(spark, tmp_path):
+    """Short runs by the million, and genuine finds by the ten thousand: time grows with the text."""
+    import time
+
+    short = "ag " * 1_700_000 + "0123456789abcdef0123456789ab"
+    many = "token=abcdef0 password: xyz " * 40_000
+    docs = spark.createDataFrame([(1, short), (2, many)], "doc_id long, text string")
+    secret_scan.scan_all(spark, docs.limit(0)).collect()  # compiled before the clock runs
+    begun = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scan_all(spark, docs).collect()}
+    assert time.time() - begun < 60
+    assert got[1]["spans"] == f"hex:{3 * 1_700_000}:{3 * 1_700_000 + 28}"
+    assert got[2]["n_assign"] == 40_000 and got[2]["spans"].split(",")[39_999] == f"assign:{28 * 39_999}:{28 * 39_999 + 13}"
