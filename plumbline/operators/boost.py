@@ -133,23 +133,25 @@ def binned(df: DataFrame, features: Sequence[Column], label: Column, edges: list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = _matrix(batch.column(0))
+            matrix = rows_matrix(batch.column(0))
             bins = np.empty(matrix.shape, np.int32)
             for f in range(matrix.shape[1]):
                 bins[:, f] = np.searchsorted(edges[f], matrix[:, f], side="left") if f < ordered else matrix[:, f]
             margins = np.tile(np.array(base), (len(bins), 1))
-            yield pa.RecordBatch.from_arrays([_lists(bins), batch.column(1), _lists(margins)], names=["bins", "label", "margin"])
+            yield pa.RecordBatch.from_arrays([matrix_lists(bins), batch.column(1), matrix_lists(margins)], names=["bins", "label", "margin"])
 
     rows = df.select(F.array(*[c.cast("double") for c in features]).alias("x"), label.cast("double").alias("label"))
     return rows.mapInArrow(run, "bins array<int>, label double, margin array<double>")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def rows_matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1)
 
 
-def _lists(matrix: np.ndarray) -> pa.Array:
+def matrix_lists(matrix: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists."""
     n, k = matrix.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(matrix.reshape(-1)))
 
@@ -183,7 +185,7 @@ def _sums(loss: str, pending: list[list[Tree]], growing: list[Tree], active: lis
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, label, margins = _matrix(batch.column(0)), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            bins, label, margins = rows_matrix(batch.column(0)), batch.column(1).to_numpy(), rows_matrix(batch.column(2))
             g, h = gradients(loss, _advanced(margins, bins, pending, ordered), label)
             for c, tree in enumerate(growing):
                 if not active[c]:
@@ -291,8 +293,8 @@ def _flushed(pending: list[list[Tree]], ordered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                margins = _advanced(_matrix(batch.column(2)), _matrix(batch.column(0)), pending, ordered)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(margins)], names=["bins", "label", "margin"])
+                margins = _advanced(rows_matrix(batch.column(2)), rows_matrix(batch.column(0)), pending, ordered)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), matrix_lists(margins)], names=["bins", "label", "margin"])
 
     return run
 
@@ -302,6 +304,6 @@ def answer(model: Booster, features: Sequence[Column]) -> Column:
 
     @F.arrow_udf("array<double>")
     def scored(rows: pa.Array) -> pa.Array:
-        return _lists(model.answers(_matrix(rows))) if len(rows) else pa.array([], pa.list_(pa.float64()))
+        return matrix_lists(model.answers(rows_matrix(rows))) if len(rows) else pa.array([], pa.list_(pa.float64()))
 
     return scored(F.array(*[c.cast("double") for c in features]))

@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric, quoted
 from ..functions.hashing import hash_text
 from ..functions.stages import settle
+from .boost import Booster, matrix_lists, rows_matrix
 from .learn import LABEL, PREDICTION, ROW, TrainedModel, hold_out, label_index
 from .prep import FEATURES, Roles, encode, encoded_names, learn
 
@@ -23,8 +25,7 @@ from .prep import FEATURES, Roles, encode, encoded_names, learn
 REPEATS = 10
 MIN_LEAF = 0.05
 BLOCK = 1000
-BACKGROUND = 20
-ORDERINGS = 8
+BACKGROUND = 100
 _LISTED = 100
 
 
@@ -78,87 +79,119 @@ def permutation_importance(model: TrainedModel, repeats: int = REPEATS) -> DataF
     )
 
 
-def shapley(
-    model: TrainedModel,
-    rows: DataFrame,
-    row_key: str,
-    background: int = BACKGROUND,
-    orderings: int = ORDERINGS,
-    explained: int | None = None,
-) -> DataFrame:
-    """``(row key, feature, contribution, base_value, prediction)`` for every given row.
-
-    Each row walks from a background row to itself, one feature at a time, along seeded
-    orderings and their reverses; a feature's contribution is the mean change of the score
-    at its step. Contributions of a row add up to prediction minus base value exactly.
-    The score is the probability of the explained class, or the predicted number.
+def path_tables(model: Booster, background: np.ndarray) -> list[tuple[int, list[tuple], np.ndarray]]:
+    """For every leaf: its output, its conditions by feature, and what a row that meets some of them gains per feature.
+
+    A leaf speaks for a mix of the row and a background row if every feature of its path comes from one that meets the
+    condition. Features that only the row meets must come from the row, those that only the other meets must not; over
+    all orders of the features that gives each of a and b such features the weight (a-1)! b! / (a+b)! or its counterpart.
+    Summed over the background rows, which differ by the conditions they meet alone, this is one table per leaf.
     """
-    features = list(model.roles.names)
-    k = len(features)
-    sample = (
-        model.test.select(*[F.col(quoted(c)) for c in features], ROW)
-        .orderBy(hash_text(7, F.col(ROW)), ROW)
-        .limit(background)
-        .drop(ROW)
-        .collect()
-    )
-    types = {f.name: f.dataType for f in model.test.schema.fields}
-    base_rows = F.array(
-        *[F.struct(*[F.lit(r[c]).cast(types[c]).alias(f"b{i}") for i, c in enumerate(features)]) for r in sample]
-    )
-    rng = np.random.default_rng(0)
-    walks = []
-    for _ in range(max(1, orderings // 2)):
-        order = rng.permutation(k)
-        walks += [order, order[::-1]]
-    # at[i] is the step at which feature i switches from the background row to the row.
-    steps = F.array(*[F.array(*[F.lit(int(v)) for v in np.argsort(w)]) for w in walks])
-    paths = (
-        rows.select(F.col(quoted(row_key)).alias("_key"), *[F.col(quoted(c)).alias(f"x{i}") for i, c in enumerate(features)])
-        .withColumn("b", F.explode(base_rows))
-        .withColumn("at", F.explode(steps))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    )
-    mixed = paths.select(
-        "_key", "at", "step",
-        *[F.when(F.get("at", F.lit(i)) < F.col("step"), F.col(f"x{i}")).otherwise(F.col(f"b.b{i}")).alias(c)
-          for i, c in enumerate(features)],
-    )
-    scored = model.score(mixed)
-    if model.task == "classification":
-        target_class = explained if explained is not None else 1
-        value = F.get("_proba", F.lit(target_class))
-    else:
-        value = F.col(PREDICTION)
-    n_paths = len(sample) * len(walks)
-    # A path point raises the feature just switched on and lowers the one switched on next.
-    arrived = F.array_position("at", F.col("step") - 1) - 1
-    leaving = F.array_position("at", F.col("step")) - 1
-    moves = F.array(
-        F.struct(arrived.cast("int").alias("i"), value.alias("v")),
-        F.struct(leaving.cast("int").alias("i"), (-value).alias("v")),
-        F.struct(F.when(F.col("step") == 0, -2).alias("i"), value.alias("v")),
-        F.struct(F.when(F.col("step") == k, -3).alias("i"), value.alias("v")),
-    )
-    sums = (
-        scored.select("_key", F.explode(moves).alias("m"))
-        .where("m.i is not null and m.i <> -1")
-        .groupBy("_key", F.col("m.i").alias("i"))
-        .agg((F.sum("m.v") / n_paths).alias("v"))
-    )
-    per = Window.partitionBy("_key")
-    names = F.array(*[F.lit(c) for c in features])
-    return (
-        sums.withColumns(
-            {
-                "base_value": F.max(F.when(F.col("i") == -2, F.col("v"))).over(per),
-                "prediction": F.max(F.when(F.col("i") == -3, F.col("v"))).over(per),
-            }
-        )
-        .where("i >= 0")
-        .select(F.col("_key").alias(row_key), F.get(names, F.col("i")).alias("feature"),
-                F.col("v").alias("contribution"), "base_value", "prediction")
-    )
+    out = []
+    for trees in model.rounds:
+        for output, tree in enumerate(trees):
+            stack: list[tuple[int, dict]] = [(0, {})]
+            while stack:
+                node, path = stack.pop()
+                f = int(tree.feature[node])
+                if f >= 0:
+                    for child, left in ((2 * node + 1, True), (2 * node + 2, False)):
+                        stack.append((child, path | {f: _narrowed(path.get(f), f < model.ordered, float(tree.cut[node]), left)}))
+                elif path and tree.value[node]:
+                    conditions = list(path.items())
+                    out.append((output, conditions, _leaf_table(_met(conditions, background), len(conditions), float(tree.value[node]))))
+    return out
+
+
+def _narrowed(known: tuple | None, ordered: bool, cut: float, left: bool) -> tuple:
+    """A feature's condition after one more split: above and up to a number, or one level, or none of some levels."""
+    if ordered:
+        low, high = known[1:] if known else (-math.inf, math.inf)
+        return ("range", low, min(high, cut)) if left else ("range", max(low, cut), high)
+    if left:
+        return ("is", cut)
+    return known if known and known[0] == "is" else ("not", (*(known[1] if known else ()), cut))
+
+
+def _met(conditions: list[tuple], matrix: np.ndarray) -> np.ndarray:
+    """Which of the conditions each row meets, as bits of a number."""
+    found = np.zeros(len(matrix), np.int64)
+    for bit, (f, (kind, *given)) in enumerate(conditions):
+        x = matrix[:, f]
+        if kind == "range":
+            ok = (x > given[0]) & (x <= given[1])
+        else:
+            ok = x == given[0] if kind == "is" else ~np.isin(x, given[0])
+        found |= ok.astype(np.int64) << bit
+    return found
+
+
+def _leaf_table(others: np.ndarray, width: int, value: float) -> np.ndarray:
+    """Mean contribution of each condition's feature, for every set of conditions that a row may meet."""
+    kinds, counts = np.unique(others, return_counts=True)
+    table = np.zeros((1 << width, width))
+    for own in range(1 << width):
+        for other, times in zip(kinds.tolist(), counts.tolist()):
+            if own | other != (1 << width) - 1:
+                continue  # a condition that neither meets: the leaf is out of reach
+            mine, theirs = own & ~other, other & ~own
+            a, b = mine.bit_count(), theirs.bit_count()
+            if not a + b:
+                continue
+            whole = math.factorial(a + b)
+            for bit in range(width):
+                if mine >> bit & 1:
+                    table[own, bit] += times * value * math.factorial(a - 1) * math.factorial(b) / whole
+                elif theirs >> bit & 1:
+                    table[own, bit] -= times * value * math.factorial(a) * math.factorial(b - 1) / whole
+    return table / len(others)
+
+
+def contributions(model: Booster, tables: list[tuple], matrix: np.ndarray) -> np.ndarray:
+    """Rows x outputs x features."""
+    out = np.zeros((len(matrix), len(model.base), matrix.shape[1]))
+    for output, conditions, table in tables:
+        gains = table[_met(conditions, matrix)]
+        for bit, (f, _) in enumerate(conditions):
+            out[:, output, f] += gains[:, bit]
+    return out
+
+
+def shapley(model: TrainedModel, rows: DataFrame, row_key: str, background: int = BACKGROUND) -> DataFrame:
+    """``(row key, class, feature, contribution, base_value, prediction)`` for every given row.
+
+    Shapley values of the model's score against the mean over some held-out rows, in closed form from the leaves' paths.
+    The score is the predicted number (class is null), the log odds of the second of two classes (class 1), or of
+    more classes the score of each (class 0, 1, ...). Contributions add up to prediction minus base value.
+    """
+    plan, booster = model.plan, model.booster
+    names = [F.col(c) for c in encoded_names(plan)]
+    sample = model.test.orderBy(hash_text(7, F.col(ROW)), ROW).limit(background).select(*[F.col(quoted(c)) for c in model.roles.names])
+    known = encode(sample, plan).select(F.array(*names).alias("x")).collect()  # at most ``background`` rows
+    matrix = np.array([r["x"] for r in known], float).reshape(len(known), len(names))
+    tables = path_tables(booster, matrix)
+    outputs, p = len(booster.base), len(names)
+
+    @F.arrow_udf("array<double>")
+    def explained(column: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.list_(pa.float64()))
+        x = rows_matrix(column)
+        return matrix_lists(np.column_stack([contributions(booster, tables, x).reshape(len(x), -1), booster.margins(x)]))
+
+    given = rows.select(F.col(quoted(row_key)).alias("_key"), *[F.col(quoted(c)) for c in model.roles.names])
+    told = encode(given, plan).select("_key", explained(F.array(*names)).alias("_told"))
+    # Slots of the encoding: numbers, then ordinals, then nominals.
+    ordered = [*model.roles.numeric, *model.roles.ordinal, *model.roles.nominal]
+    base = booster.margins(matrix).mean(0)
+    number = {"squared": F.lit(None).cast("int"), "logistic": F.lit(1)}
+    parts = F.array(*[
+        F.struct(
+            number.get(booster.loss, F.lit(o)).alias("class"), F.lit(c).alias("feature"), F.get("_told", F.lit(o * p + i)).alias("contribution"),
+            F.lit(float(base[o])).alias("base_value"), F.get("_told", F.lit(outputs * p + o)).alias("prediction"))
+        for o in range(outputs) for i, c in enumerate(ordered)
+    ])
+    return told.select(F.col("_key").alias(row_key), F.inline(parts))
 
 
 class MetricTree:

@@ -436,21 +436,23 @@ class Table:
             rows = row
             if row_key is None:
                 raise ValueError("Name the key column of the rows to explain.")
-        explained = 1 if m.task == "classification" else None
-        if single and m.task == "classification" and len(m.classes) > 2:
-            proba = m.score(rows).first()["_proba"]
-            explained = max(range(len(proba)), key=lambda i: proba[i])
-        frame = interpret.shapley(m, rows, row_key, explained=explained)
+        frame = interpret.shapley(m, rows, row_key)
         values: dict[str, Any] = {}
         summary = "Contributions per row"
+        meta = {"target": m.target, "task": m.task, "backend": m.algorithm, "scale": "log_odds" if m.task == "classification" else "value"}
         if single:
             got = frame.collect()
+            # Of several classes, the one whose contributions are the largest in sum; the first of equals.
+            sizes: dict[Any, float] = {}
+            for r in got:
+                sizes[r["class"]] = sizes.get(r["class"], 0.0) + abs(r["contribution"])
+            shown = max(sizes, key=lambda c: sizes[c])
+            got = [r for r in got if r["class"] == shown]
             ranked = sorted(((r["feature"], r["contribution"]) for r in got), key=lambda kv: (-abs(kv[1]), kv[0]))
             values = {"contributions": dict(ranked), "base_value": got[0]["base_value"], "prediction": got[0]["prediction"]}
             summary = f"Top driver: {ranked[0][0]}"
-        meta = {"target": m.target, "task": m.task, "backend": m.algorithm, "scale": "probability" if explained is not None else "value"}
-        if explained is not None:
-            meta["explained_class"] = m.classes[explained]
+            if m.task == "classification":
+                meta["explained_class"] = m.classes[shown]
         trust = Trust(TrustLevel.MODERATE, ("Explains these rows only; it is not a general rule.",), ("shapley",))
         return Result("shap", summary, values, meta, trust, frame)
 

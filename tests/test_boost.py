@@ -1,12 +1,16 @@
 """Boosted trees against a brute-force booster, and encodings with many levels."""
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import Session
-from plumbline.operators import boost, cluster, learn, prep
+from plumbline.functions.hashing import hash_text
+from plumbline.operators import boost, cluster, interpret, learn, prep
 
 
 def _brute(x, y, edges, ordered, k, rounds, depth, rate, min_rows):
@@ -135,13 +139,53 @@ def test_saved_models_answer_alike(spark, tmp_path):
     path = str(tmp_path / "in.parquet")
     df.write.parquet(path)
     session = Session.create(spark, [path], str(tmp_path))
-    table = session.table(session.tables()[0])
+    table = session.table(session.tables[0])
     table.set_column_type("g", "categorical_nominal")
-    table.set_column_type("x", "continuous")
-    table.set_column_type("y", "continuous")
+    table._types |= {"i": "identifier", "x": "continuous", "y": "continuous"}
     table.train_regressor("y", "m", rounds=5, depth=3)
     before = {r["i"]: r["_prediction"] for r in table.model("m").score(df).collect()}
     session.save()
     session.save_model(table, "m")
     again = Session.open(spark, session.key, str(tmp_path)).table(table.name).model("m")
     assert {r["i"]: r["_prediction"] for r in again.score(df).collect()} == before
+
+
+def test_contributions_equal_all_subsets(spark):
+    """Against the definition: every subset of features from the row, the rest from each background row."""
+    rng = np.random.default_rng(3)
+    n = 500
+    frame = pd.DataFrame({"i": np.arange(n), "a": rng.normal(size=n), "b": rng.normal(size=n), "c": rng.choice(list("uvw"), n), "o": rng.integers(0, 4, n)})
+    score = frame["a"] * (frame["c"] == "u") + frame["b"] * frame["o"]
+    frame["y"] = np.where(score > 1, "hi", np.where(score < -1, "lo", "mid"))
+    frame["z"] = score
+    frame["two"] = np.where(score > 0, "yes", "no")
+    df = spark.createDataFrame(frame)
+    roles = prep.Roles(("a", "b"), ("c",), ("o",))
+    names = ["a", "b", "o", "c"]
+    for target, task, outputs in (("y", "classification", 3), ("z", "regression", 1), ("two", "classification", 1)):
+        model = learn.train(df, target, task, roles, ["i"], rounds=4, depth=4)
+        got = interpret.shapley(model, df.where("i < 6"), "i", background=9).toPandas()
+        assert len(got) == 6 * outputs * 4 and sorted(got["feature"].unique()) == sorted(names)
+        sample = model.test.orderBy(hash_text(7, F.col(learn.ROW)), learn.ROW).limit(9)
+        rows, others = (
+            np.array([r["x"] for r in prep.encode(d, model.plan).select(F.array(*prep.encoded_names(model.plan)).alias("x")).collect()])
+            for d in (df.where("i < 6").orderBy("i"), sample))
+
+        def value(row, subset):
+            mixed = others.copy()
+            mixed[:, list(subset)] = row[list(subset)]
+            return model.booster.margins(mixed).mean(0)
+
+        for i, row in enumerate(rows):
+            for f, name in enumerate(names):
+                rest = [k for k in range(4) if k != f]
+                expected = sum(
+                    (value(row, (*s, f)) - value(row, s)) * math.factorial(len(s)) * math.factorial(3 - len(s)) / 24
+                    for size in range(4) for s in itertools.combinations(rest, size))
+                mine = got[(got["i"] == i) & (got["feature"] == name)]
+                if outputs == 3:
+                    mine = mine.sort_values("class")
+                    assert mine["class"].tolist() == [0, 1, 2]
+                assert np.allclose(mine["contribution"], expected, atol=1e-9), (target, i, name)
+        sums = got.groupby(["i", got["class"].fillna(-1)]).agg(c=("contribution", "sum"), b=("base_value", "first"), p=("prediction", "first"))
+        assert np.allclose(sums["c"], sums["p"] - sums["b"])
