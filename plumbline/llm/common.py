@@ -47,6 +47,11 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def return_memory() -> None:
+    """Hand Arrow's free buffers back to the system: a worker lives on between stages, and a batch of texts is large."""
+    pa.default_memory_pool().release_unused()
+
+
 def regrouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows sorted by ``key`` arrive in batches; pass them on in tables that never cut a run of one key in two.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stages import settle
-from .common import docs_columns, id_and_text, spare_names
+from .common import docs_columns, id_and_text, return_memory, spare_names
 
 FOLD_BYTES = 16 << 20
 TRIE_BYTES = 64 << 20
@@ -163,6 +163,7 @@ def _fold(keep: str):
             yield from trie.terminals()
 
         yield from _batches(((len(t), hashlib.sha256(t).digest(), t, o, n) for t, o, n in rows()), _FOLDED_ARROW)
+        return_memory()
 
     return fold
 
@@ -188,6 +189,7 @@ def _own(keep: str, budget: int):
                     yield *key, owner, n
 
             yield from _batches(rows(), _OWNED_ARROW)
+        return_memory()
 
     return own
 

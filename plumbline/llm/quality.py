@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, id_and_text, remainder
+from .common import SPACE, id_and_text, remainder, return_memory
 
 SAMPLE = 20_000
 BINS = 48
@@ -232,6 +232,7 @@ def scorer(model: Additive):
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         x = np.array([features(t) for t in text], float).reshape(-1, len(FEATURES))
+        return_memory()
         return pd.Series(model.score(x))
 
     return lambda column: score(as_bytes(column))

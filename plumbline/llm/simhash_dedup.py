@@ -14,7 +14,7 @@ from xxhash import xxh64_intdigest
 
 from ..functions.stages import settle
 from .components import components
-from .common import docs_columns, spare_names, text_bytes
+from .common import docs_columns, return_memory, spare_names, text_bytes
 from .hamming import BLOCK, PIVOTS, links
 
 WORDS = 4
@@ -98,21 +98,24 @@ def drop_near_copies(
 
     Should several rows have that doc_id, the one with the smallest fingerprint stays, and any one of equals.
     """
-    prints = settle(fingerprints(docs, words))
-    named = _named(prints, limit, block, pivot_count)
     print_name, turn = spare_names(docs, "fp", "turn")
+
+    @F.pandas_udf("long")
+    def own(text: pd.Series) -> pd.Series:
+        found = pd.Series(np.array([fingerprint(t, words) for t in text], np.uint64).view(np.int64))
+        return_memory()
+        return found
+
+    # Each text is fingerprinted once; the rows are written with it.
+    marked = settle(docs.withColumn(print_name, own(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(print_name).alias("fp"))
+    named = _named(prints, limit, block, pivot_count)
     stay = (
         prints.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("id"))
         .select(F.col("fp").alias(f"{print_name}_"), F.col("id").alias(f"{turn}_"))
     )
-
-    @F.pandas_udf("long")
-    def own(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in text], np.uint64).view(np.int64))
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.withColumn(print_name, own(text)).join(
+    rows = marked.join(
         settle(stay), (F.col(print_name) == F.col(f"{print_name}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{turn}_")))
     order = Window.partitionBy(print_name, "doc_id").orderBy("doc_id")
     return rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*docs_columns(docs))
