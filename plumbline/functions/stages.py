@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _REGISTERED: set[str] = set()
@@ -48,3 +52,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def at_once(*calls: Callable[[], Any], together: int = 4) -> list[Any]:
+    """Results of calls that each run Spark jobs of their own; jobs of several share the executors."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max(1, min(together, len(calls)))) as pool:
+        return [job.result() for job in [pool.submit(inherit(call)) for call in calls]]

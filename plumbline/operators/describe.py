@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric, present, quoted
-from ..functions.ordering import column_quantiles, quantiles
+from ..functions.selection import exact_quantiles, settle_quantiles, sketch
+from ..functions.stages import at_once
 from .typing import distinct_counts, distinct_values
 
 TOP_VALUES = 5
@@ -29,9 +30,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return tidy.withColumn("missing_rate", rate)
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, n, min, max, mean, std, skew)`` of every numeric column, one pass."""
-    columns = list(columns)
+def _moments(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     aggs = []
     for i, c in enumerate(columns):
         x = numeric(df, c)
@@ -43,20 +42,32 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.stddev_samp(x).alias(f"sd{i}"),
             F.skewness(x).alias(f"sk{i}"),
         ]
-    pairs = ", ".join(f"'{c}', n{i}, lo{i}, hi{i}, mean{i}, sd{i}, sk{i}" for i, c in enumerate(columns))
-    tidy = df.agg(*aggs).selectExpr(f"stack({len(columns)}, {pairs}) as (column, n, min, max, mean, std, skew)")
-    small = F.when(F.col("n") > 2, F.coalesce("skew", F.lit(0.0))).when(F.col("n") > 0, 0.0)
-    return tidy.withColumn("skew", small)
+    return aggs
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, median)``, exact, every column in one job."""
+    """``(column, median)``, exact, every column in the same two passes."""
     clean = df.select(*[numeric(df, c).alias(c) for c in columns])
-    return column_quantiles(clean, columns, [0.5]).select("column", F.col("q0").alias("median"))
+    found = exact_quantiles(clean, columns, [0.5])
+    return df.sparkSession.createDataFrame([(c, q[0]) for c, q in found.items()], "column string, median double")
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return moments(df, columns).join(medians(df, columns), "column", "left")
+    """``(column, n, min, max, mean, std, skew, median)``: moments and sketches first, then the middles of all columns exactly."""
+    columns = list(columns)
+    clean = df.select(*[numeric(df, c).alias(c) for c in columns])
+    row, near = at_once(  # sketches would take the moments out of generated code
+        df.agg(*_moments(df, columns)).first,
+        clean.agg(*[sketch(F.col(quoted(c)), [0.5]).alias(c) for c in columns]).first,
+    )
+    middle = settle_quantiles(clean, {c: row[f"n{i}"] for i, c in enumerate(columns)}, {c: near[c] for c in columns}, [0.5])
+    out = []
+    for i, c in enumerate(columns):
+        n, skew = row[f"n{i}"], row[f"sk{i}"]
+        skew = None if not n else 0.0 if n <= 2 or skew is None else skew
+        out.append((c, n, *(row[f"{k}{i}"] for k in ("lo", "hi", "mean", "sd")), skew, middle.get(c, [None])[0]))
+    return df.sparkSession.createDataFrame(
+        out, "column string, n long, min double, max double, mean double, std double, skew double, median double")
 
 
 def profile_values(df: DataFrame, columns: Sequence[str], top_for: Sequence[str]) -> DataFrame:
@@ -89,9 +100,9 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def outlier_limits(df: DataFrame, column: str) -> dict[str, float | None]:
     """Fences and z-score scale: six numbers, all that reaches the driver."""
     clean = df.select(numeric(df, column).alias("x"))
-    quarts = quantiles(clean, "x", [0.25, 0.75]).first()
+    quarts = exact_quantiles(clean, ["x"], [0.25, 0.75]).get("x")
     row = clean.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("x").alias("n")).first()
-    q1, q3 = (quarts["q0"], quarts["q1"]) if quarts else (None, None)
+    q1, q3 = quarts or (None, None)
     spread = None if q1 is None else IQR_FENCE * (q3 - q1)
     return {
         "low": None if q1 is None else q1 - spread,

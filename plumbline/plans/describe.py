@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.stages import at_once
 from ..operators import describe, typing
 from .common import TABLES, Query, rounded, table
 
@@ -48,10 +49,10 @@ def _union(frames):
 
 
 def profile_numeric(spark, sf_dir):
-    frames = [
-        describe.profile_numeric(table(spark, sf_dir, t), cols).withColumn("table", F.lit(t))
+    frames = at_once(*[
+        lambda t=t, cols=cols: describe.profile_numeric(table(spark, sf_dir, t), cols).withColumn("table", F.lit(t))
         for t, cols in _NUMERIC.items()
-    ]
+    ])
     return rounded(_union(frames), 4, "min", "max", "mean", "std", "skew", "median")
 
 
@@ -123,7 +124,8 @@ _OUTLIER_SQL = """
 
 
 def column_types(spark, sf_dir):
-    rows = [(t, c, kind) for t in TABLES for c, kind in typing.detect_types(table(spark, sf_dir, t)).items()]
+    found = at_once(*[lambda t=t: typing.detect_types(table(spark, sf_dir, t)) for t in TABLES])
+    rows = [(t, c, kind) for t, kinds in zip(TABLES, found) for c, kind in kinds.items()]
     return spark.createDataFrame(rows, "`table` string, column string, type string")
 
 
