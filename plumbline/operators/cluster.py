@@ -7,14 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric, quoted
 from ..functions.stages import settle
-from .prep import FEATURES, Plan, Roles, encode, encoded_names, learn, matrix, working_columns
+from .prep import Plan, Roles, encode, encoded_names, learn
 
 LABEL = "cluster"
 K_RANGE = (2, 10)
@@ -22,6 +20,8 @@ STARTS = 3
 #: Rounds over all rows and over the sample, movement that counts as none, rows of the sample, and how many numbers the
 #: centres of the models in one pass may have together.
 ROUNDS, SAMPLE_ROUNDS, STILL, SAMPLE, CENTRE_ENTRIES = 40, 100, 1e-4, 2_000, 1 << 20
+#: Directions in a block, blocks held at once, passes, and the share of the widest variance that may be left over.
+BLOCK, AXIS_BLOCKS, AXIS_PASSES, AXIS_STILL = 24, 6, 80, 1e-9
 
 
 @dataclass
@@ -293,18 +293,97 @@ def profile_categories(df: DataFrame, columns: Sequence[str], label: str = LABEL
     )
 
 
+def _gram(rows: _Rows, block: np.ndarray) -> np.ndarray:
+    """Transposed rows times (rows times the block): one job, and each task hands on as many numbers as the block has."""
+    width, wide = rows.width, block.shape[1]
+    turned = np.ascontiguousarray(block.T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((turned.shape[1], wide))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, slots = _split(batch, width)
+            y = _products(x, slots, turned)
+            total[:width] += x.T @ y
+            for j in range(slots.shape[1]):
+                known = slots[:, j] >= 0
+                np.add.at(total, width + slots[known, j], y[known])
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), *[pa.array(total[at, i]) for i in range(wide)]], names=["dim", *[f"c{i}" for i in range(wide)]])
+
+    tall = rows.data.mapInArrow(run, "dim int, " + ", ".join(f"c{i} double" for i in range(wide)))
+    found = tall.groupBy("dim").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(wide)]).toArrow()
+    out = np.zeros(block.shape)
+    if found.num_rows:
+        out[found["dim"].to_numpy()] = np.stack([found[f"c{i}"].to_numpy() for i in range(wide)], axis=1)
+    return out
+
+
+def _axes(rows: _Rows, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``(loadings, variances, means, total variance)`` of the ``n`` widest directions.
+
+    A block of directions grows by what it leaves unexplained, one pass over the rows each time, until the wanted
+    directions stand still; the driver holds a few blocks, never a square of the columns. Up to ``BLOCK`` columns take
+    one pass, because the first block then spans them all.
+    """
+    wide = rows.width + rows.slots
+    if not 1 <= n <= wide:
+        raise ValueError(f"{n} components were asked for, but there are {wide} encoded columns.")
+    (sums, counts, squares, _), = _pass(rows, [np.zeros((1, wide))])
+    size = float(counts[0])
+    means = sums[0] / max(size, 1.0)
+    spread = max(size - 1.0, 1.0)
+
+    def times(block: np.ndarray) -> np.ndarray:
+        return (_gram(rows, block) - size * np.outer(means, means @ block)) / spread
+
+    step = min(wide, max(n + 6, BLOCK))
+    basis = np.eye(wide) if step == wide else np.linalg.qr(np.random.default_rng(0).normal(size=(wide, step)))[0]
+    image = times(basis)
+    for _ in range(AXIS_PASSES):
+        inner = basis.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        axes = basis @ turn[:, :step]
+        left = image @ turn[:, :step] - axes * values[:step]
+        if np.linalg.norm(left[:, :n], axis=0).max() <= AXIS_STILL * max(values[0], 1e-300):
+            break
+        if basis.shape[1] + step > AXIS_BLOCKS * step:
+            basis, image = basis @ turn[:, : 2 * step], image @ turn[:, : 2 * step]
+        for _ in range(2):
+            left -= basis @ (basis.T @ left)
+        fresh, sizes, _ = np.linalg.svd(left, full_matrices=False)
+        fresh = fresh[:, sizes > AXIS_STILL * 1e-3 * max(values[0], 1e-300)]
+        if not fresh.shape[1]:
+            break
+        basis, image = np.hstack([basis, fresh]), np.hstack([image, times(fresh)])
+    total = (float(squares[0]) - size * float(means @ means)) / spread
+    return axes[:, :n], np.maximum(values[:n], 0.0), means, total
+
+
 def principal_components(df: DataFrame, roles: Roles, n: int = 2) -> tuple[DataFrame, list[float], np.ndarray]:
     """Add ``pca_0 …``; also the explained variance ratios and the loadings.
 
     A component's sign is fixed by making its largest loading positive.
     """
-    encoded, plan = matrix(df, roles)
-    centred = StandardScaler(inputCol=FEATURES, outputCol="_centred", withMean=True, withStd=False).fit(encoded)
-    ready = centred.transform(encoded)
-    model = PCA(k=n, inputCol="_centred", outputCol="_scores").fit(ready)
-    loadings = model.pc.toArray()
-    signs = [1.0 if loadings[np.argmax(np.abs(loadings[:, j])), j] >= 0 else -1.0 for j in range(n)]
-    scores = vector_to_array("_scores")
-    out = model.transform(ready).withColumns({f"pca_{j}": scores[j] * signs[j] for j in range(n)})
-    ratios = [float(v) for v in model.explainedVariance.toArray()]
-    return out.drop(*working_columns(plan), "_centred", "_scores"), ratios, loadings * np.array(signs)
+    rows = _encoded(df, roles)
+    loadings, variances, means, total = _axes(rows, n)
+    at = np.abs(loadings).argmax(0)
+    loadings = loadings * np.where(loadings[at, np.arange(n)] >= 0, 1.0, -1.0)
+    width, turned, middle = rows.width, np.ascontiguousarray(loadings.T), means @ loadings
+
+    @F.arrow_udf("array<double>")
+    def scores(x: pa.Array, slots: pa.Array) -> pa.Array:
+        size = len(x)
+        offsets = pa.array(np.arange(size + 1) * n, pa.int32())
+        if not size:
+            return pa.ListArray.from_arrays(offsets, pa.array([], pa.float64()))
+        both = _split(pa.RecordBatch.from_arrays([x, slots], names=["x", "slots"]), width)
+        return pa.ListArray.from_arrays(offsets, pa.array((_products(*both, turned) - middle).ravel()))
+
+    scored = encode(df, rows.plan).withColumn("_scores", scores(*_columns(rows.plan)))
+    out = scored.withColumns({f"pca_{j}": F.col("_scores")[j] for j in range(n)})
+    ratios = [float(v) / total if total > 0 else 0.0 for v in variances]
+    return out.drop(*encoded_names(rows.plan), "_scores"), ratios, loadings
