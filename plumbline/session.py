@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import secrets
 import string
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import Any
@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 
 from .functions import guard
 from .functions.clean import field_type
-from .functions.stages import settle
+from .functions.stages import new_path
 from .operators import boost, learn, prep, relate
-from .sources.readers import empty_table, insert_rows, read_table, stem, table_name
+from .sources.appends import AppendLog
+from .sources.files import hadoop_path, read_json, write_json
+from .sources.readers import insert_rows, read_table, stem, table_name, typed_columns
 from .table import Table
 
 _KEY_LETTERS = string.ascii_lowercase + string.digits
@@ -34,6 +36,7 @@ class Session:
         self.folder = folder
         self._tables: dict[str, Table] = {}
         self._version: dict[str, int] = {}
+        self._logs: dict[str, AppendLog] = {}
 
     # --- building -----------------------------------------------------------------------
 
@@ -58,13 +61,19 @@ class Session:
     @classmethod
     def open(cls, spark: SparkSession, key: str, base: str) -> "Session":
         folder = f"{base.rstrip('/')}/sessions/{key}"
-        meta = _read_json(spark, f"{folder}/meta.json")
+        meta = read_json(spark, f"{folder}/meta.json")
         if not meta or "tables" not in meta:
             raise FileNotFoundError(f"There is no session {key!r} under {base}.")
         session = cls(spark, key, folder)
         for name, info in meta["tables"].items():
-            df = spark.read.parquet(f"{folder}/tables/{name}/v{info['version']}")
-            table = session._add(name, df, info.get("key"))
+            if info.get("log"):
+                log = AppendLog.open(spark, f"{folder}/tables/{name}/{info['log']}", info["log_version"])
+                table = session._add(name, log.frame(), info.get("key"))
+                session._logs[name] = log
+                if log.is_newest():  # else rows were added and never saved: inserts go on from what was
+                    session._logged(table, log)
+            else:
+                table = session._add(name, spark.read.parquet(f"{folder}/tables/{name}/v{info['version']}"), info.get("key"))
             table._types = dict(info.get("types", {}))
             table.derived = set(info.get("derived", []))
             session._version[name] = info["version"]
@@ -74,12 +83,12 @@ class Session:
 
     @staticmethod
     def list(spark: SparkSession, base: str) -> list[str]:
-        root = _path(spark, f"{base.rstrip('/')}/sessions")
+        root = hadoop_path(spark, f"{base.rstrip('/')}/sessions")
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
         found = [s.getPath() for s in fs.listStatus(root)]
-        return sorted(p.getName() for p in found if fs.exists(_path(spark, f"{p}/meta.json")))
+        return sorted(p.getName() for p in found if fs.exists(hadoop_path(spark, f"{p}/meta.json")))
 
     def _add(self, name: str, df: DataFrame, key: Sequence[str] | None = None) -> Table:
         table = Table(name, df, self, key)
@@ -94,17 +103,41 @@ class Session:
     def create_table(self, name: str, columns: Sequence[tuple[str, str]] | None = None, select_sql: str | None = None) -> Table:
         if (columns is None) == (select_sql is None):
             raise ValueError("Give either columns (an empty table) or select_sql, not both.")
-        df = empty_table(self.spark, list(columns)) if columns is not None else settle(self.run_sql(select_sql))
-        return self._add(table_name(name, list(self._tables)), df)
-
-    def insert_into(self, name: str, source_sql: str) -> dict[str, int]:
-        """Append rows by column position; ``{inserted, n_rows}``."""
+        name = table_name(name, list(self._tables))
+        if columns is not None:
+            log = AppendLog.new(self.spark, self._log_folder(name), typed_columns(list(columns)))
+        else:
+            rows = self.run_sql(select_sql)
+            log = AppendLog.new(self.spark, self._log_folder(name), rows.schema)
+            log.append(rows)
+        return self._logged(self._add(name, log.frame()), log)
+
+    def insert_into(self, name: str, source_sql: str, batch: str | None = None) -> dict[str, int]:
+        """Append rows by column position; ``{inserted, n_rows}``.
+
+        Rows are written once, as a part of their own. A ``batch`` name makes a repeated call harmless: the first one's
+        count comes back and nothing is added. Rows that came before the first insert stay where they are.
+        """
         table = self.table(name)
-        added = settle(insert_rows(table.df.limit(0), self.run_sql(source_sql)))  # written once, whatever is asked later
-        inserted = added.count()
-        table.replace(table.df.unionByName(added))
-        table._types.clear()
-        return {"inserted": inserted, "n_rows": table.count_rows()}
+        source = insert_rows(table.df.limit(0), self.run_sql(source_sql))
+        log = self._logs.get(name)
+        if log is None or table.df is not log.seen:  # the rows were replaced since, or never came from a log
+            schema = table.df.schema
+            log = AppendLog.new(self.spark, self._log_folder(name), schema, base=table.df, batches=log.batches() if log else {})
+        inserted = log.append(source, batch)
+        types = dict(table._types) if not inserted else {}
+        table.replace(log.frame())
+        table._types = types
+        self._logged(table, log)
+        return {"inserted": inserted, "n_rows": log.count()}
+
+    def _logged(self, table: Table, log: AppendLog) -> Table:
+        log.seen = table.df
+        self._logs[table.name] = log
+        return table
+
+    def _log_folder(self, name: str) -> str:
+        return f"{self.folder}/tables/{name}/log-{uuid.uuid4().hex}" if self.folder else new_path(self.spark, f"log-{name}")
 
     # --- asking ---------------------------------------------------------------------------
 
@@ -157,10 +190,15 @@ class Session:
     # --- saving -----------------------------------------------------------------------------
 
     def save(self) -> None:
-        """Write every table as a new Parquet version, then switch the metadata to it in one rename."""
+        """Write every table as a new Parquet version, then switch the metadata to it in one rename.
+
+        A table that only grew by inserts since it was made is in the folder already: its metadata names the log's version.
+        """
         if self.folder is None:
             raise ValueError("This session has no folder; create it with Session.create.")
         for name, table in self._tables.items():
+            if self._saved_log(name):
+                continue
             version = self._version.get(name, 0) + 1
             path = f"{self.folder}/tables/{name}/v{version}"
             table.df.write.mode("overwrite").parquet(path)
@@ -168,16 +206,25 @@ class Session:
             self._version[name] = version
         self._write_meta()
 
+    def _saved_log(self, name: str) -> AppendLog | None:
+        log = self._logs.get(name)
+        mine = log is not None and log.base is None and log.folder.startswith(f"{self.folder}/tables/")
+        return log if mine and self._tables[name].df is log.seen else None
+
     def _write_meta(self) -> None:
         path = f"{self.folder}/meta.json"
         now = datetime.now(timezone.utc).isoformat()
-        old = _read_json(self.spark, path) or {}
+        old = read_json(self.spark, path) or {}
         tables = {
             n: {"version": self._version.get(n, 1), "types": t._types, "derived": sorted(t.derived), "key": t.key,
                 "models": sorted({*t.models, *t.unloaded_models})}
             for n, t in self._tables.items()
         }
-        _write_json(self.spark, path, {"session_id": self.key, "created_at": old.get("created_at") or now,
+        for n in tables:
+            log = self._saved_log(n)
+            if log:
+                tables[n] |= {"log": log.folder.rsplit("/", 1)[1], "log_version": log.version}
+        write_json(self.spark, path, {"session_id": self.key, "created_at": old.get("created_at") or now,
                                        "updated_at": now, "tables": tables})
 
     def _model_folder(self, table: str, model: str) -> str:
@@ -195,7 +242,7 @@ class Session:
         classes = self.spark.createDataFrame(
             list(enumerate(m.classes)), T.StructType([T.StructField("i", T.IntegerType()), T.StructField("class", kind)]))
         classes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/classes")  # typed: dates and decimals come back as such
-        _write_json(self.spark, f"{folder}/model.json", {
+        write_json(self.spark, f"{folder}/model.json", {
             "target": m.target, "task": m.task, "algorithm": m.algorithm, "n_rows": m.n_rows,
             "numeric": m.roles.numeric, "nominal": m.roles.nominal, "ordinal": m.roles.ordinal,
             "medians": m.plan.medians, "modes": m.plan.modes, "sizes": m.plan.sizes, "levels": list(m.plan.levels),
@@ -209,7 +256,7 @@ class Session:
             return
         folder = self._model_folder(table.name, name)
         try:
-            info = _read_json(self.spark, f"{folder}/model.json")
+            info = read_json(self.spark, f"{folder}/model.json")
             if info is None:
                 raise FileNotFoundError(f"no saved model {name!r}")
             roles = prep.Roles(*(tuple(info[k]) for k in ("numeric", "nominal", "ordinal")))
@@ -222,37 +269,3 @@ class Session:
             table.unloaded_models.pop(name, None)
         except Exception as exc:
             table.unloaded_models[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
-
-
-def _path(spark: SparkSession, text: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(text)
-
-
-def _read_json(spark: SparkSession, path: str) -> dict[str, Any] | None:
-    """A small JSON file on any Hadoop file system; None when missing or unreadable."""
-    p = _path(spark, path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        return json.loads(text)
-    except ValueError:
-        return None
-    finally:
-        stream.close()
-
-
-def _write_json(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
-    """Write beside the target, then rename over it, so a reader never sees half a file."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    target, draft = _path(spark, path), _path(spark, path + ".draft")
-    fs = target.getFileSystem(conf)
-    out = fs.create(draft, True)
-    out.write(json.dumps(value, indent=2).encode())
-    out.close()
-    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    options[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
