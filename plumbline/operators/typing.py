@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import NUMERIC, TEMPORAL, present
+from ..functions.clean import NUMERIC, TEMPORAL, field_type, micros, present
 
 CONTINUOUS, CATEGORICAL = "continuous", "categorical"
 NOMINAL, ORDINAL = "categorical_nominal", "categorical_ordinal"
@@ -26,31 +26,45 @@ _CLEARLY_REPEATED = 0.6
 _LONG_TEXT = 64
 
 
-def values_long(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
-    """``(column, value)`` pairs with values as text; with ``digest`` long text is replaced by its MD5."""
-    clean = []
-    for i, c in enumerate(columns):
-        text = present(df, c).cast("string")
-        if digest:
-            text = F.when(F.length(text) > _LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
-        clean.append(text.alias(f"_{i}"))
+def values_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value)`` pairs with values as text."""
+    clean = [present(df, c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)]
     pairs = ", ".join(f"'{c}', _{i}" for i, c in enumerate(columns))
     return df.select(*clean).selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)")
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, n)``: every column's distinct non-null values, one shuffle for all of them."""
-    return (
-        values_long(df, columns, digest)
-        .where("value is not null")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    found = values_long(df, columns).where("value is not null")
+    return found.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, n_distinct)``, exact, for all columns in one job; documents are counted by their digest."""
-    return distinct_values(df, columns, digest=True).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    """``(column, n_distinct)``, exact, for all columns in one job.
+
+    Whole numbers, real numbers and text have a column each, so that no number is turned into text; long text is
+    counted by its digest. 0.0 and -0.0 are one value.
+    """
+    cells = []
+    for i, c in enumerate(columns):
+        kind, value = field_type(df, c), present(df, c)
+        whole = real = text = F.lit(None)
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+            whole = value
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            real = value
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            whole = micros(df, c)
+        else:
+            text = value.cast("string")
+            text = F.when(F.length(text) > _LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+        cells += [whole.cast("long").alias(f"w{i}"), real.cast("double").alias(f"r{i}"), text.cast("string").alias(f"t{i}")]
+    parts = ", ".join(f"{i}, w{i}, r{i}, t{i}" for i in range(len(columns)))
+    tall = df.select(*cells).selectExpr(f"stack({len(columns)}, {parts}) as (at, whole, real, text)")
+    known = tall.where("whole is not null or real is not null or text is not null")
+    counts = known.groupBy("at", "whole", "real", "text").agg(F.lit(1).alias("one")).groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(names[F.col("at")].alias("column"), "n_distinct")
 
 
 def _decide(kind: T.DataType, n_rows: int, n_distinct: int) -> str:

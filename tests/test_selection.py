@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import selection
-from plumbline.operators import describe
+from plumbline.operators import describe, typing
 
 SHARES = [0.0, 0.25, 0.5, 0.999, 1.0]
 
@@ -66,3 +66,14 @@ def test_profile_of_names_and_bad_numbers(spark):
         F.col("id").alias("a b`c"), F.when(F.col("id") < 3, float("nan")).when(F.col("id") < 5, float("inf")).otherwise(F.col("id")).alias("x"))
     rows = {r["column"]: r for r in describe.profile_numeric(df, ["a b`c", "x"]).collect()}
     assert rows["a b`c"]["median"] == 50.0 and rows["x"]["n"] == 96 and rows["x"]["median"] == 52.5
+
+
+def test_distinct_counts_of_every_type(spark):
+    df = spark.range(200).selectExpr(
+        "cast(id % 7 as int) i", "id % 3 = 0 flag", "if(id % 2 = 0, 0.0D, -0.0D) zeros", "cast(id % 5 as float) / 3 f",
+        "if(id < 4, double('nan'), id % 9 + 0.5D) bad", "cast(id % 11 as decimal(9, 2)) d", "date_add(date'2020-01-01', int(id % 13)) day",
+        "timestamp_micros(id % 17) at", "cast(timestamp_micros(id % 6) as timestamp_ntz) plain", "cast(id % 4 as string) `te'xt`",
+        "concat(repeat('x', 100), id % 12) long", "array(id % 8) many", "if(id < 0, 1, null) nothing", "binary(cast(id % 10 as string)) raw")
+    got = {r["column"]: r["n_distinct"] for r in typing.distinct_counts(df, df.columns).collect()}
+    assert got == {"i": 7, "flag": 2, "zeros": 1, "f": 5, "bad": 9, "d": 11, "day": 13, "at": 17, "plain": 6, "te'xt": 4,
+                   "long": 12, "many": 8, "raw": 10}
