@@ -189,3 +189,72 @@ def test_contributions_equal_all_subsets(spark):
                 assert np.allclose(mine["contribution"], expected, atol=1e-9), (target, i, name)
         sums = got.groupby(["i", got["class"].fillna(-1)]).agg(c=("contribution", "sum"), b=("base_value", "first"), p=("prediction", "first"))
         assert np.allclose(sums["c"], sums["p"] - sums["b"])
+
+
+def _random_tree(rng, depth, width, ordered, cuts):
+    tree = boost.Tree.empty(depth)
+
+    def grow(node, level):
+        tree.value[node] = rng.normal()
+        if level < depth and (level < 2 or rng.random() < 0.8):
+            f = int(rng.integers(width))
+            tree.feature[node], tree.bin[node] = f, rng.integers(cuts)
+            tree.cut[node] = tree.bin[node] / 2 if f < ordered else tree.bin[node]
+            grow(2 * node + 1, level + 1)
+            grow(2 * node + 2, level + 1)
+
+    grow(0, 0)
+    return tree
+
+
+@pytest.mark.parametrize("depth", [0, 3, 6, 8])
+@pytest.mark.parametrize("cuts", [3, 400])
+def test_paths_end_in_the_same_leaves(depth, cuts):
+    rng = np.random.default_rng(3)
+    trees = [_random_tree(rng, depth, 4, 2, cuts) for _ in range(6)]
+    x = np.column_stack([rng.integers(-2, cuts, (5000, 2)) / 2, rng.integers(0, cuts + 2, (5000, 2))]).astype(float)
+    x[:50, 0], x[50:99, 1] = np.nan, np.inf
+    paths = boost.Paths(trees, 2, 4, "cut")
+    codes = paths.codes(x.T)
+    for k, tree in enumerate(trees):
+        assert np.array_equal(paths.leaves(k, codes), tree.leaves(x, tree.cut, 2))
+    model = boost.Booster(boost.SOFTMAX, 2, [], [0.5, -1.0], [trees[:2], trees[2:4], trees[4:]])
+    expected = np.tile([0.5, -1.0], (5000, 1))
+    for pair in model.rounds:
+        for c, tree in enumerate(pair):
+            expected[:, c] += tree.value[tree.leaves(x, tree.cut, 2)]
+    scorer = boost.Scorer(model, 4)
+    for _ in range(30):  # by the trees, then by the table of all answers where it is small
+        assert np.array_equal(scorer(x.T), expected)
+
+
+@pytest.mark.parametrize("loss", [boost.SQUARED, boost.LOGISTIC])
+def test_equal_rows_are_learned_from_once(spark, loss):
+    rng = np.random.default_rng(4)
+    n, columns = 30_000, ["a", "b", "c"]
+    x = np.column_stack([rng.integers(0, 6, n), rng.integers(0, 4, n), rng.integers(0, 3, n)]).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.integers(0, 9, n) if loss == boost.SQUARED else (x[:, 0] + rng.integers(0, 5, n) > 5).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=columns).assign(y=y)).repartition(5)
+    edges, base = boost.bin_edges(df, columns[:2]), [float(y.mean())]
+    features = [F.col(c) for c in columns]
+    kept = boost.binned(df, features, F.col("y"), loss, edges, base).collect()
+    times = np.concatenate([np.frombuffer(r["n"]) for r in kept])
+    assert times.sum() == n and len(times) == (72 if loss == boost.SQUARED else len(np.unique(np.column_stack([x, y]), axis=0)))
+    model = boost.boost(df, features, F.col("y"), loss, edges, base, rounds=2, depth=2)
+    tree, bins = model.rounds[0][0], [np.searchsorted(edges[f], x[:, f]) if f < 2 else x[:, 2].astype(int) for f in range(3)]
+    g = base[0] - y if loss == boost.SQUARED else 1 / (1 + np.exp(-base[0])) - y
+    gains = {}
+    for f in range(3):
+        for b in range(bins[f].max() + 1):
+            left = bins[f] <= b if f < 2 else bins[f] == b
+            if boost.MIN_ROWS <= left.sum() <= n - boost.MIN_ROWS:
+                gains[f, b] = g[left].sum() ** 2 / left.sum() + g[~left].sum() ** 2 / (~left).sum()
+    assert (tree.feature[0], tree.bin[0]) == max(gains, key=gains.get)
+
+
+def test_more_columns_than_one_number_tells_apart():
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(-1, 2, 4000) * (1 << 20) for _ in range(6)]
+    kinds, first, place, times = boost.same_rows(columns)
+    rows = np.column_stack(columns)
+    assert len(kinds) == len(np.unique(rows, axis=0)) and times.sum() == 4000 and np.array_equal(rows[first[place]], rows)
