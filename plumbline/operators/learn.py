@@ -201,10 +201,10 @@ def start(sizes: dict[int, int], classes: int) -> tuple[str, list[float]]:
 # --- metrics on a frame of labels and predictions -----------------------------------------
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """``(label, prediction, n)``: at most classes² rows."""
+def confusion(df: DataFrame, label: str, prediction: str, count: str | None = None) -> DataFrame:
+    """``(label, prediction, n)``: at most classes² rows. A row of ``df`` stands for as many as its ``count`` says."""
     return df.groupBy(F.col(quoted(label)).alias("label"), F.col(quoted(prediction)).alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
+        (F.sum(count) if count else F.count(F.lit(1))).alias("n")
     )
 
 
@@ -244,12 +244,13 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
-def class_auc(df: DataFrame) -> DataFrame:
+def class_auc(df: DataFrame, count: str | None = None) -> DataFrame:
     """From ``(class, positive, score)``: ``(class, n_pos, n_neg, auc)``, one-vs-rest, ties halved.
 
-    Scores are counted per (class, score) and cut where they lie, so no class is ranked in one task.
+    Scores are counted per (class, score) and cut where they lie, so no class is ranked in one task. A row of ``df`` stands
+    for as many as its ``count`` says.
     """
-    counts = df.groupBy("class", "positive", "score").agg(F.count(F.lit(1)).alias(COUNT))
+    counts = df.groupBy("class", "positive", "score").agg((F.sum(count) if count else F.count(F.lit(1))).alias(COUNT))
     cuts = boundaries(df, ["score"])["score"]
     placed = place(with_range(counts, "score", cuts), "score", ["class"])
     c = F.col(COUNT).cast("double")
@@ -266,19 +267,25 @@ def class_auc(df: DataFrame) -> DataFrame:
 
 
 def holdout_metrics(model: TrainedModel) -> dict[str, Any]:
-    """All held-out numbers of a model; only aggregates reach the driver."""
-    scored = model.score(model.with_label(model.test))
+    """All held-out numbers of a model; only aggregates reach the driver.
+
+    Rows are scored once: those of a class that got the same chances are counted, and all numbers of a classifier follow
+    from the counts.
+    """
+    features = [F.col(quoted(c)) for c in model.roles.names]
+    scored = model.score(model.with_label(model.test).select(*features, LABEL))
     if model.task == "regression":
         return regression_metrics(scored, LABEL, PREDICTION).first().asDict()
-    cells = confusion(scored, LABEL, PREDICTION)
+    scored = settle(scored.groupBy(LABEL, PREDICTION, "_proba").agg(F.count(F.lit(1)).alias(COUNT)))
+    cells = settle(confusion(scored, LABEL, PREDICTION, COUNT))
     counts = {(int(r["label"]), int(r["prediction"])): r["n"] for r in cells.collect()}
     values = classification_metrics(cells).first().asDict()
     k = len(model.classes)
     values["confusion_matrix"] = [[counts.get((i, j), 0) for j in range(k)] for i in range(k)]
-    tall = scored.select(LABEL, F.posexplode("_proba").alias("class", "score")).select(
-        "class", (F.col(LABEL) == F.col("class")).alias("positive"), "score"
+    tall = scored.select(LABEL, COUNT, F.posexplode("_proba").alias("class", "score")).select(
+        "class", (F.col(LABEL) == F.col("class")).alias("positive"), "score", F.col(COUNT).alias("times")
     )
-    aucs = class_auc(tall.where("class = 1") if k == 2 else tall).collect()
+    aucs = class_auc(tall.where("class = 1") if k == 2 else tall, "times").collect()
     weight = sum(r["n_pos"] for r in aucs)
     known = all(r["auc"] is not None and not math.isnan(r["auc"]) for r in aucs) and weight
     values["roc_auc"] = sum(r["auc"] * r["n_pos"] for r in aucs) / weight if known else None

@@ -258,3 +258,36 @@ def test_more_columns_than_one_number_tells_apart():
     kinds, first, place, times = boost.same_rows(columns)
     rows = np.column_stack(columns)
     assert len(kinds) == len(np.unique(rows, axis=0)) and times.sum() == 4000 and np.array_equal(rows[first[place]], rows)
+
+
+def test_held_out_rows_are_scored_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 2000
+    x, g = rng.integers(0, 5, n).astype(float), rng.choice(list("pq"), n)
+    y = np.where(x + (g == "p") + rng.integers(0, 4, n) > 4, "high", "low")
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "x": x, "g": g, "y": y}))
+    model = learn.train(df, "y", "classification", prep.Roles(("x",), ("g",)), ["i"], rounds=3, depth=2)
+    test = model.score(model.with_label(model.test)).select(learn.LABEL, learn.PREDICTION, "_proba").toPandas()
+    label, chance = test[learn.LABEL].to_numpy(), np.stack(test["_proba"])[:, 1]
+    calls = spark.sparkContext.accumulator(0)
+
+    def watched(booster, features):
+        scorer = boost.Scorer(booster, len(features))
+
+        @F.arrow_udf("array<double>")
+        def scored(*columns):
+            calls.add(len(columns[0]))
+            return boost.matrix_lists(boost.respond(booster.loss, scorer([c.to_numpy(zero_copy_only=False) for c in columns])))
+
+        return scored(*[c.cast("double") for c in features])
+
+    monkeypatch.setattr(boost, "answer", watched)
+    found = learn.holdout_metrics(model)
+    assert calls.value == len(test) == found["n"]
+    assert found["accuracy"] == pytest.approx((label == test[learn.PREDICTION]).mean())
+    one, none = chance[label == 1], chance[label == 0]
+    pairs = (one[:, None] > none).mean() + (one[:, None] == none).mean() / 2
+    assert found["roc_auc"] == pytest.approx(pairs)
+    cells = np.zeros((2, 2), int)
+    np.add.at(cells, (label.astype(int), test[learn.PREDICTION].astype(int)), 1)
+    assert found["confusion_matrix"] == cells.tolist()
