@@ -12,7 +12,7 @@ are evaluated on the way (see ``Paths``).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -141,23 +141,40 @@ class Scorer:
         self.paths = Paths([t for _, t in flat], model.ordered, width, "cut")
         self._outputs, self._values, self._base = [c for c, _ in flat], [t.value for _, t in flat], np.array(model.base, float)
         self._table: np.ndarray | None = None
-        self._seen, self.cells = 0, math.prod(self.paths.sizes)
-        #: By how much a column's code moves a row's place in the table.
-        self.strides = [math.prod(self.paths.sizes[f + 1:]) for f in range(width)]
+        self._seen, self._cells, self._most = 0, math.prod(self.paths.sizes), _CELLS
+        self._strides = [math.prod(self.paths.sizes[f + 1:]) for f in range(width)]
+        self._used = [set(t.feature[t.feature >= 0].tolist()) for _, t in flat]
 
-    def _evaluated(self, codes: Sequence[np.ndarray]) -> np.ndarray:
+    def _evaluated(self, codes: Sequence[np.ndarray], known: Sequence[np.ndarray] | None = None, moved: int = -1) -> np.ndarray:
+        """Scores, tree by tree; trees without the ``moved`` column answer as ``known``."""
         out = np.tile(self._base, (len(codes[0]), 1))
-        for k, (c, value) in enumerate(zip(self._outputs, self._values)):
-            out[:, c] += value[self.paths.leaves(k, codes)]
+        for k, c in enumerate(self._outputs):
+            out[:, c] += self._told(k, codes) if known is None or moved in self._used[k] else known[k]
         return out
 
+    def _told(self, k: int, codes: Sequence[np.ndarray]) -> np.ndarray:
+        return self._values[k][self.paths.leaves(k, codes)]
+
+    def _looked_up(self, n: int) -> bool:
+        """Whether there is a table of all answers; it is made once as many rows were asked for."""
+        self._seen += n
+        if self._table is None and self._cells <= min(self._most, self._seen):
+            self._table = self._evaluated(np.unravel_index(np.arange(self._cells), self.paths.sizes))
+        return self._table is not None
+
+    def _cell(self, codes: Sequence[np.ndarray]) -> np.ndarray:
+        return sum(code * stride for code, stride in zip(codes, self._strides))
+
     def margins(self, codes: Sequence[np.ndarray]) -> np.ndarray:
-        self._seen += len(codes[0])
-        if self._table is None and self.cells <= min(_CELLS, self._seen):
-            self._table = self._evaluated(np.unravel_index(np.arange(self.cells), self.paths.sizes))
-        if self._table is None:
-            return self._evaluated(codes)
-        return self._table[sum(code * stride for code, stride in zip(codes, self.strides))]
+        return self._table[self._cell(codes)] if self._looked_up(len(codes[0])) else self._evaluated(codes)
+
+    def moving(self, codes: Sequence[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+        """Scores with one column's codes replaced by others, for the number of the column and those codes."""
+        if self._looked_up(len(codes[0])):
+            cell = self._cell(codes)
+            return lambda f, other: self._table[cell + (other - codes[f]) * self._strides[f]]
+        known = [self._told(k, codes) for k in range(len(self._outputs))]
+        return lambda f, other: self._evaluated([*codes[:f], other, *codes[f + 1:]], known, f)
 
     def __call__(self, columns: Sequence[np.ndarray]) -> np.ndarray:
         return self.margins(self.paths.codes(columns))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import numeric, quoted
 from ..functions.hashing import hash_text
 from ..functions.stages import settle
-from .boost import Booster, matrix_lists, rows_matrix
+from .boost import Booster, Scorer, matrix_lists, respond, rows_matrix
 from .learn import LABEL, PREDICTION, ROW, TrainedModel, hold_out, label_index
 from .prep import FEATURES, Roles, encode, encoded_names, learn
 
@@ -29,46 +29,104 @@ BACKGROUND = 100
 _LISTED = 100
 
 
-def permuted_copies(df: DataFrame, features: Sequence[str], keep: Sequence[str], repeats: int, n: int) -> DataFrame:
-    """Every row once per (feature, repeat) with that feature taken from a shuffled row.
+#: What Spark's xxhash64 multiplies and adds.
+_PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
-    Rows are hashed into blocks of about a thousand and shuffled inside their block, so a
-    copy never needs a table-wide sort and no task holds more than one block. ``copy`` is
-    -1 for the untouched rows, else ``feature number * repeats + repeat``.
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _finished(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _PRIMES[1]
+    x = (x ^ (x >> np.uint64(29))) * _PRIMES[2]
+    return x ^ (x >> np.uint64(32))
+
+
+def copy_hashes(copies: int, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """``xxhash64(copy, row)`` as Spark has it, for the int copies from 0 and long row numbers."""
+    one, two, three, four, five = _PRIMES
+    number = np.arange(copies, dtype=np.uint64) * one
+    seeds = _finished(_rotated((np.uint64(42) + five + np.uint64(4)) ^ number, 23) * two + three)
+    mixed = _rotated(rows.astype(np.int64).view(np.uint64) * two, 31) * one
+    for k in range(copies):
+        yield _finished(_rotated((seeds[k : k + 1] + five + np.uint64(8)) ^ mixed, 27) * one + four).view(np.int64)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first of them, never cut within a value of it."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = [np.concatenate(pair) for pair in zip(held, columns)] if held else columns
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if cut:
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held:
+        yield held
+
+
+def permuted_sums(df: DataFrame, scorer: Scorer, columns: Sequence[str], slots: Sequence[int], repeats: int, n: int, loss: str,
+                  regression: bool) -> DataFrame:
+    """``(copy, n, total)``: squared gaps (hits of a classifier) with one feature at a time taken from a shuffled row.
+
+    Rows are hashed into blocks of about a thousand and shuffled inside their block, so a copy never needs a table-wide sort
+    and no task holds more than one block beside a batch. ``copy`` is -1 for the untouched rows, else
+    ``feature number * repeats + repeat``. A copy is an order of its block's rows and made where it is scored: only
+    sums leave a task.
     """
     blocks = max(1, n // BLOCK)
-    block = F.pmod(F.xxhash64(F.col(ROW)), F.lit(blocks))
-    record = F.struct(F.col(ROW), *[F.col(quoted(c)).alias(f"f{i}") for i, c in enumerate(features)],
-                      *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)])
-    grouped = df.groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list(record)).alias("rows"))
-    copies = grouped.withColumn("copy", F.explode(F.sequence(F.lit(-1), F.lit(len(features) * repeats - 1))))
-    shuffled = F.array_sort(
-        F.transform("rows", lambda x: F.struct(F.xxhash64(F.col("copy"), x[ROW]).alias("h"), x.alias("x")))
-    )
-    pairs = copies.select("copy", F.explode(F.arrays_zip(F.col("rows").alias("a"), shuffled.alias("b"))).alias("z"))
-    which = F.when(F.col("copy") >= 0, F.floor(F.col("copy") / repeats))
-    return pairs.select(
-        "copy",
-        *[
-            F.when(which == i, F.col(f"z.b.x.f{i}")).otherwise(F.col(f"z.a.f{i}")).alias(c)
-            for i, c in enumerate(features)
-        ],
-        *[F.col(f"z.a.k{i}").alias(c) for i, c in enumerate(keep)],
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies = len(slots) * repeats
+        seen, totals = -1, np.zeros(copies + 1)
+
+        def total(margins: np.ndarray, label: np.ndarray) -> float:
+            if regression:
+                gap = label - margins[:, 0]
+                return float(gap @ gap)
+            return float((respond(loss, margins).argmax(1) == label).sum())  # the first of equals
+
+        for block, row, label, *values in _whole_blocks(batches):
+            codes = scorer.paths.codes(values)
+            known = ~np.isnan(label)
+            some = slice(None) if known.all() else known
+            seen = max(seen, 0) + int(known.sum())
+            moving = scorer.moving(codes)
+            totals[0] += total(moving(0, codes[0])[some], label[some])
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for k, hashes in enumerate(copy_hashes(copies, row)):
+                order = np.concatenate([np.argsort(hashes[a:b]) + a for a, b in zip(cuts, cuts[1:])])
+                f = slots[k // repeats]
+                totals[k + 1] += total(moving(f, codes[f][order])[some], label[some])
+        if seen >= 0:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(-1, copies, dtype=np.int32)), pa.array(np.full(copies + 1, seen)), pa.array(totals)], names=["copy", "n", "total"])
+
+    block = F.pmod(F.xxhash64(F.col(ROW)), F.lit(blocks)).alias("_block")
+    rows = df.select(block, ROW, F.col(LABEL).cast("double"), *columns).repartition("_block").sortWithinPartitions("_block", ROW)
+    return rows.mapInArrow(run, "copy int, n long, total double").groupBy("copy").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def permutation_importance(model: TrainedModel, repeats: int = REPEATS) -> DataFrame:
-    """``(feature, importance)``: mean drop of accuracy or R² on held-out rows, one Spark job."""
+    """``(feature, importance)``: mean drop of accuracy or R² on held-out rows, which are encoded once."""
     features = list(model.roles.names)
     labelled = model.with_label(model.test).select(*[F.col(quoted(c)) for c in features], LABEL, ROW)
-    n = labelled.count()
-    scored = model.score(permuted_copies(labelled, features, [LABEL], repeats, n))
-    if model.task == "classification":
-        score = F.avg((F.col(LABEL) == F.col(PREDICTION)).cast("double"))
-    else:
-        gap = F.col(LABEL) - F.col(PREDICTION)
-        score = 1 - F.try_divide(F.avg(gap * gap), F.var_pop(LABEL))
-    per_copy = scored.groupBy("copy").agg(score.alias("score"))
+    regression = model.task == "regression"
+    whole = labelled.agg(F.count(F.lit(1)).alias("n"), F.var_pop(LABEL).alias("spread")).first()
+    made = encoded_names(model.plan)
+    # Slots of the encoding: numbers, then ordinals, then nominals.
+    ordered = [*model.roles.numeric, *model.roles.ordinal, *model.roles.nominal]
+    sums = settle(permuted_sums(
+        encode(labelled, model.plan), Scorer(model.booster, len(made)), made, [ordered.index(c) for c in features], repeats,
+        whole["n"], model.booster.loss, regression))
+    score = F.try_divide("total", "n")
+    if regression:
+        score = 1 - F.try_divide(score, F.lit(whole["spread"]).cast("double"))
+    per_copy = sums.select("copy", score.alias("score"))
     base = per_copy.where("copy = -1").select("score").scalar()
     names = F.array(*[F.lit(c) for c in features])
     return (

@@ -224,7 +224,7 @@ def test_paths_end_in_the_same_leaves(depth, cuts):
         for c, tree in enumerate(pair):
             expected[:, c] += tree.value[tree.leaves(x, tree.cut, 2)]
     scorer = boost.Scorer(model, 4)
-    for _ in range(30):  # by the trees, then by the table of all answers where it is small
+    for _ in range(30):  # by the trees, then by the table of all answers where that is small
         assert np.array_equal(scorer(x.T), expected)
 
 
@@ -291,3 +291,43 @@ def test_held_out_rows_are_scored_once(spark, monkeypatch):
     cells = np.zeros((2, 2), int)
     np.add.at(cells, (label.astype(int), test[learn.PREDICTION].astype(int)), 1)
     assert found["confusion_matrix"] == cells.tolist()
+
+
+def test_hashes_are_those_of_spark(spark):
+    rows = [0, 1, -5, 2**40 + 3, -(2**63), 2**63 - 1]
+    found = spark.createDataFrame([(k, r) for k in range(4) for r in rows], "copy int, r long").selectExpr("copy", "r", "xxhash64(copy, r) AS h").collect()
+    made = list(interpret.copy_hashes(4, np.array(rows)))
+    assert {(r["copy"], r["r"]): r["h"] for r in found} == {(k, r): int(made[k][i]) for k in range(4) for i, r in enumerate(rows)}
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+@pytest.mark.parametrize("cells", [1 << 17, 0])
+def test_importance_is_that_of_shuffled_rows(spark, monkeypatch, task, cells):
+    """Every copy made and scored on its own, from the order that Spark's hashes give each block."""
+    monkeypatch.setattr(boost, "_CELLS", cells)
+    monkeypatch.setattr(interpret, "BLOCK", 100)
+    rng = np.random.default_rng(7)
+    n, names = 2600, ("x", "g", "o")
+    x, g, o = rng.integers(0, 7, n).astype(float), rng.choice(["p", "q", None], n), rng.integers(0, 3, n)
+    y = x * (g == "p") + o + rng.integers(0, 3, n)
+    y = y.astype(float) if task == "regression" else np.where(y > 5, "high", np.where(y > 2, "mid", "low"))
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "x": x, "g": g, "o": o, "y": y})).repartition(3)
+    model = learn.train(df, "y", task, prep.Roles(("x",), ("g",), ("o",)), ["i"], rounds=3, depth=3)
+    found = {r["feature"]: r["importance"] for r in interpret.permutation_importance(model, 4).collect()}
+    test = model.with_label(model.test)
+    size = test.count()
+    rows = test.selectExpr(*names, learn.LABEL, learn.ROW, f"pmod(xxhash64({learn.ROW}), {size // 100}) AS block").toPandas().sort_values(["block", learn.ROW])
+    order = spark.createDataFrame(rows[[learn.ROW, "block"]]).crossJoin(spark.range(12).selectExpr("CAST(id AS int) AS copy")).selectExpr(
+        "copy", "block", learn.ROW, f"xxhash64(copy, {learn.ROW}) AS h").toPandas().sort_values(["copy", "block", "h"])
+    known = rows.set_index(learn.ROW)
+    copies = [rows.assign(copy=-1)]
+    for k, own in order.groupby("copy"):
+        copies.append(rows.assign(copy=k, **{names[k // 4]: known.loc[own[learn.ROW], names[k // 4]].to_numpy()}))
+    table = pd.concat(copies)
+    table["g"] = table["g"].astype(object).where(table["g"].notna(), None)
+    scored = model.score(spark.createDataFrame(table)).toPandas()
+    hit = (scored[learn.LABEL] - scored[learn.PREDICTION]) ** 2 if task == "regression" else (scored[learn.LABEL] == scored[learn.PREDICTION]).astype(float)
+    means = hit.groupby(scored["copy"]).mean()
+    score = 1 - means / rows[learn.LABEL].var(ddof=0) if task == "regression" else means
+    expected = {c: score[-1] - score[range(4 * k, 4 * k + 4)].mean() for k, c in enumerate(names)}
+    assert found == pytest.approx(expected, abs=1e-9) and found["x"] > 0.01
