@@ -109,13 +109,14 @@ class Paths:
         return list(tables.items()), np.array(leaves)
 
     def codes(self, columns: Sequence[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for f, (x, marks) in enumerate(zip(columns, self.marks)):
-            code = np.searchsorted(marks, x, side="left")
-            if f >= self.ordered and len(marks):
-                code = np.where(marks[np.minimum(code, len(marks) - 1)] == x, code, len(marks))
-            out.append(code)
-        return out
+        return [self._code(f, np.arange(256))[x] if x.dtype == np.uint8 else self._code(f, x) for f, x in enumerate(columns)]
+
+    def _code(self, f: int, x: np.ndarray) -> np.ndarray:
+        marks = self.marks[f]
+        code = np.searchsorted(marks, x, side="left")
+        if f >= self.ordered and len(marks):
+            code = np.where(marks[np.minimum(code, len(marks) - 1)] == x, code, len(marks))
+        return code
 
     def leaves(self, k: int, codes: Sequence[np.ndarray]) -> np.ndarray:
         """The node that each row ends in, of tree ``k``."""
@@ -312,16 +313,19 @@ def _blobs(matrix: np.ndarray) -> pa.Array:
 
 
 def _packed(bins: np.ndarray, label: np.ndarray, n: np.ndarray, margins: np.ndarray) -> pa.RecordBatch:
-    parts = (bins.astype(np.int32).T, label.astype(float), n.astype(float), margins.astype(float).T)
+    """One row; bins are bytes where all of them are below 256."""
+    parts = (bins.astype(np.uint8 if bins.max() < 256 else np.int32).T, label.astype(float), n.astype(float), margins.astype(float).T)
     return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts], names=["bins", "label", "n", "margin"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], outputs: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _unpacked(batches: Iterator[pa.RecordBatch], outputs: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bins by feature, labels, counts, and scores as rows by output."""
     for batch in batches:
         for k in range(batch.num_rows):
             label, n, margins = (np.frombuffer(batch.column(c)[k].as_buffer(), float) for c in (1, 2, 3))
-            yield np.frombuffer(batch.column(0)[k].as_buffer(), np.int32).reshape(-1, len(label)), label, n, margins.reshape(outputs, -1).T
+            bins = batch.column(0)[k].as_buffer()
+            kind = np.uint8 if bins.size == width * len(label) else np.int32
+            yield np.frombuffer(bins, kind).reshape(width, -1), label, n, margins.reshape(outputs, -1).T
 
 
 def rows_matrix(column: pa.Array) -> np.ndarray:
@@ -368,7 +372,7 @@ def _sums(loss: str, pending: list[list[Tree]], growing: list[Tree], active: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for bins, label, times, margins in _unpacked(batches, len(growing)):
+        for bins, label, times, margins in _unpacked(batches, len(growing), width):
             codes = paths.codes(bins)
             g, h = gradients(loss, _advanced(margins, pending, paths, codes), label, times)
             for c in range(len(growing)):
@@ -480,7 +484,7 @@ def _flushed(pending: list[list[Tree]], ordered: int, width: int):
     paths = Paths([tree for trees in pending for tree in trees], ordered, width, "bin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, label, n, margins in _unpacked(batches, len(pending[0])):
+        for bins, label, n, margins in _unpacked(batches, len(pending[0]), width):
             yield _packed(bins.T, label, n, _advanced(margins, pending, paths, paths.codes(bins)))
 
     return run
